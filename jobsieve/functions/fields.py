@@ -11,7 +11,8 @@ from jobsieve.functions import profile as P
 from jobsieve.functions.html import decoded, element_bodies, without_tags
 from jobsieve.functions.tags import employment_type_loose
 from jobsieve.functions.text import (
-    blank_to_null, contains_any, ellipsis, first_match, last_line_value, last_newline, squeezed, trimmed,
+    ascii_lower, blank_to_null, contains_any, earliest, ellipsis, first_keyword, first_match, last_line_value,
+    last_newline, let, squeezed, trimmed,
 )
 
 
@@ -182,8 +183,6 @@ def labelled(lines: Column, rule) -> Column:
 
 def line_location(lines: Column, cities: Sequence[str] = P.CITIES) -> Column:
     """Last line that names a city or carries a location label; the city wins within a line."""
-    from jobsieve.functions.text import first_keyword
-
     def value(line):
         city = F.initcap(first_keyword(F.lower(line), cities))
         return F.coalesce(city, _labelled_value(line, P.LOCATION_LINE))
@@ -211,9 +210,12 @@ def details_map(rows: Column, text: Column | None = None) -> Column:
         known.insert(4, F.struct(F.lit("employment_type").alias("k"),
                                  blank_to_null(employment_type_loose(text)).alias("v")))
         entries = F.concat(entries, F.filter(F.array(*known), lambda e: e["v"].isNotNull()))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, values)
+
+    def last_of_each(found):
+        keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
+            F.filter(found, lambda e: e["k"] == k), -1)["v"]))
+    return let(entries, last_of_each)
 
 
 # --- sections ----------------------------------------------------------------
@@ -227,19 +229,41 @@ def _clean_section(found: Column, label: str, bullet: str) -> Column:
     return trimmed(F.regexp_replace(flat, r"(?:^|\n)[\h\v]*\d+\.[\h\v]*", "\n• "))
 
 
-def _section(text: Column, patterns, label, bullet, bounds) -> Column:
-    candidates = F.array(*[_clean_section(F.regexp_extract(text, p, 0), label, bullet) for p in patterns])
-    fitting = F.filter(candidates, lambda x: F.length(x).between(*bounds))
-    return F.coalesce(F.get(fitting, 0), F.lit(""))
+def rule_section(text: Column, rule) -> Column:
+    """Section from the rule's opening to its earliest end; '' without the opening.
+
+    The opening is found by a regex, the end by plain substring search behind it.
+    """
+    opening, stops, blank_line = rule
+
+    def cut(head, after):
+        def inner(low):
+            end = earliest(low, [s.lower() for s in stops])
+            if blank_line:
+                end = F.least(end, F.nullif(F.regexp_instr(low, F.lit(r"\n\n[a-z]")), F.lit(0)))
+            return F.concat(head, F.substr(after, F.lit(1), end - 1))
+        return let(ascii_lower(after), inner)
+
+    def from_head(head):
+        return F.when(head == "", head).otherwise(
+            let(F.substr(text, F.instr(text, head) + F.length(head)), lambda after: cut(head, after)))
+    return let(F.regexp_extract(text, opening, 0), from_head)
+
+
+def _section(text: Column, rules, label, bullet, bounds) -> Column:
+    def fitting(rule):
+        return let(_clean_section(rule_section(text, rule), label, bullet),
+                   lambda x: F.when(F.length(x).between(*bounds), x))
+    return F.coalesce(*[fitting(rule) for rule in rules], F.lit(""))
 
 
 def requirements(text: Column) -> Column:
     """First requirements section whose cleaned text has a sensible length."""
-    return _section(text, P.REQUIREMENTS_PATTERNS, P.REQUIREMENTS_LABEL, P.REQUIREMENTS_BULLET, P.REQUIREMENTS_LENGTH)
+    return _section(text, P.REQUIREMENTS_RULES, P.REQUIREMENTS_LABEL, P.REQUIREMENTS_BULLET, P.REQUIREMENTS_LENGTH)
 
 
 def benefits(text: Column) -> Column:
-    return _section(text, P.BENEFITS_PATTERNS, P.BENEFITS_LABEL, P.BENEFITS_BULLET, P.BENEFITS_LENGTH)
+    return _section(text, P.BENEFITS_RULES, P.BENEFITS_LABEL, P.BENEFITS_BULLET, P.BENEFITS_LENGTH)
 
 
 def capped_section(text: Column, pattern: str, n: int = 300, flat: bool = False) -> Column:
@@ -252,21 +276,22 @@ def capped_section(text: Column, pattern: str, n: int = 300, flat: bool = False)
 
 def _until_marker(c: Column, markers: Sequence[str]) -> Column:
     """Text before the earliest of the markers."""
-    ends = [F.nullif(F.instr(c, m), F.lit(0)) for m in markers]
-    return F.substr(c, F.lit(1), F.least(*ends, F.length(c) + 1) - 1)
+    return let(c, lambda x: F.substr(x, F.lit(1), earliest(x, markers) - 1))
 
 
 def description(text: Column, marker: str = P.DESCRIPTION_MARKER, marker_skip: int = 16,
                 end_markers: Sequence[str] = P.END_MARKERS) -> Column:
     """Text after the marker up to the earliest end marker; '' without the marker."""
-    start = F.instr(text, marker)
-    after = F.substr(text, start + marker_skip)
-    return F.when(start > 0, trimmed(_until_marker(after, end_markers))).otherwise("")
+    def inner(start):
+        after = F.substr(text, start + marker_skip)
+        return F.when(start > 0, trimmed(_until_marker(after, end_markers))).otherwise("")
+    return let(F.instr(text, marker), inner)
 
 
 def longest_description(current: Column, text: Column) -> Column:
     """Longest of the current text and the content patterns."""
-    return _pick_longest(current, [F.regexp_extract(text, p, 0) for p in P.DESCRIPTION_PATTERNS])
+    found = [rule_section(text, rule) for rule in P.DESCRIPTION_RULES]
+    return _pick_longest(current, [*found, F.regexp_extract(text, P.LONG_STRETCH, 0)])
 
 
 def between_header_and_footer(text: Column) -> Column:
@@ -274,9 +299,8 @@ def between_header_and_footer(text: Column) -> Column:
     marks = F.array(*[F.struct((F.instr(text, m) - 1).alias("at"), F.lit(len(m)).alias("size"))
                       for m in P.HEADER_END_MARKERS])
     start = F.reduce(marks, F.lit(0), lambda pos, m: F.when(m["at"] > pos, m["at"] + m["size"]).otherwise(pos))
-    rest = F.substr(text, start + 1)
-    inner = _until_marker(rest, P.FOOTER_START_MARKERS)
-    return F.when(F.length(inner) > 100, trimmed(inner))
+    inner = _until_marker(F.substr(text, start + 1), P.FOOTER_START_MARKERS)
+    return let(inner, lambda x: F.when(F.length(x) > 100, trimmed(x)))
 
 
 def _calm(c: Column) -> Column:

@@ -1,7 +1,9 @@
 r"""What a site's postings look like, as plain data that compiles to native columns.
 
 Patterns are Java regexes. `[\h\v]` stands for any white space, look-arounds for
-ASCII word boundaries and `\z` for the end of the text.
+ASCII word boundaries and `\z` for the end of the text. A look-behind at the start of a
+repeated class lets a search start only where such a run starts; the leftmost match
+starts there anyway, and long runs cost linear time.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ SALARY_PATTERNS = (
     r"(?i)(\d{4})[\h\v]*(?:SR|SAR|Riyal)",
     r"(?i)(\d{3,5})[\h\v]*SAR",
 )
-LISTING_SALARY = r"(?i)(\d+[\h\v,]*(?:sr|sar|riyal|monthly|yearly))"
+LISTING_SALARY = r"(?i)(?<!\d)(\d+[\h\v,]*(?:sr|sar|riyal|monthly|yearly))"
 LINE_SALARY_LABELLED = r"(?i)(?:salary|wage)[\h\v:]*(.+)"
 LINE_SALARY_CURRENCY = r"(?i)(sr|sar)[\h\v]*([\d,]+)"
-LINE_SALARY_NUMBER = r"(?i)(\d+[\h\v,]*(?:sr|sar|riyal))"
+LINE_SALARY_NUMBER = r"(?i)(?<!\d)(\d+[\h\v,]*(?:sr|sar|riyal))"
 FREE_SALARY_PATTERNS = (
     r"(?i)Salary:?[\h\v]*(\d+[^\n\r]*)",
     r"(?i)salary[\h\v]*(\d+[^\n\r]*)",
@@ -35,15 +37,15 @@ PHONE_PATTERNS = (
     r"\+966\d{9}",
     r"(?<![A-Za-z0-9_])\d{10}(?![A-Za-z0-9_])",
 )
-LOOSE_PHONE = r"(?:\+966|05|01)[\d\h\v-]{8,}"
+LOOSE_PHONE = r"(?:\+966|05|01)[-\d\h\v]{8,}"
 LOOSE_PHONES = (
-    r"\+966[\d\h\v-]{9,}",
-    r"05[\d\h\v-]{8,}",
-    r"01[\d\h\v-]{8,}",
+    r"\+966[-\d\h\v]{9,}",
+    r"05[-\d\h\v]{8,}",
+    r"01[-\d\h\v]{8,}",
     r"0\d{9}",
 )
 
-EMAIL_ADDRESS = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
+EMAIL_ADDRESS = r"(?<![a-zA-Z0-9._%+-])([a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 EMAIL_PATTERNS = (
     r"(?i)From:[\h\v]*([^\h\v@]+@[^\h\v]+\.[^\h\v]+)",
     EMAIL_ADDRESS,
@@ -83,20 +85,28 @@ CONTENT_TITLE_PATTERNS = (
     r"(?i)Looking for ([^\n\r]+)",
 )
 
-REQUIREMENTS_PATTERNS = (
-    r"(?i)(?:✅[\h\v]*)?Requirements:[\s\S]*?(?=What We Offer|Benefits|For More Details|Contact|Salary|Position|Back|Next|\n\n[A-Z]|\z)",
-    r"(?i)(?:Valid And Transferable|Experience required|Must have)[\s\S]*?(?=What We Offer|Benefits|For More Details|Communication|Contact|\z)",
-    r"(?i)(?:Qualifications|Minimum requirements)[\s\S]*?(?=What We Offer|Benefits|For More Details|\z)",
-    r"(?i)(?:Education|Experience).*?(?:required|needed|must)[\s\S]*?(?=What We Offer|Benefits|For More Details|\z)",
+# A section rule: pattern of the opening, words that end the section (in any case), and
+# whether an empty line before a letter ends it too.
+REQUIREMENTS_RULES = (
+    (r"(?i)Requirements:",
+     ("What We Offer", "Benefits", "For More Details", "Contact", "Salary", "Position", "Back", "Next"), True),
+    (r"(?i)(?:Valid And Transferable|Experience required|Must have)",
+     ("What We Offer", "Benefits", "For More Details", "Communication", "Contact"), False),
+    (r"(?i)(?:Qualifications|Minimum requirements)",
+     ("What We Offer", "Benefits", "For More Details"), False),
+    (r"(?i)(?:Education|Experience).*?(?:required|needed|must)",
+     ("What We Offer", "Benefits", "For More Details"), False),
 )
 REQUIREMENTS_LABEL = r"(?i)(?:✅[\h\v]*)?Requirements:[\h\v]*"
 REQUIREMENTS_BULLET = "✅"
 REQUIREMENTS_LENGTH = (31, 599)
 
-BENEFITS_PATTERNS = (
-    r"(?i)(?:🎁[\h\v]*)?What We Offer:[\s\S]*?(?=Requirements|For More Details|Contact|Back|Next|\n\n[A-Z]|\z)",
-    r"(?i)(?:Competitive fixed salary|Company will provide|Benefits include)[\s\S]*?(?=Requirements|For More Details|Contact|\z)",
-    r"(?i)(?:Accommodation|Housing|Medical|Insurance)[\s\S]*?(?:provided|included|covered)[\s\S]*?(?=Requirements|For More Details|Contact|\z)",
+BENEFITS_RULES = (
+    (r"(?i)What We Offer:", ("Requirements", "For More Details", "Contact", "Back", "Next"), True),
+    (r"(?i)(?:Competitive fixed salary|Company will provide|Benefits include)",
+     ("Requirements", "For More Details", "Contact"), False),
+    (r"(?is)(?:Accommodation|Housing|Medical|Insurance).*?(?:provided|included|covered)",
+     ("Requirements", "For More Details", "Contact"), False),
 )
 BENEFITS_LABEL = r"(?i)(?:🎁[\h\v]*)?What We Offer:[\h\v]*"
 BENEFITS_BULLET = "🎁"
@@ -114,11 +124,13 @@ END_MARKERS = (
 MORE_END_MARKERS = END_MARKERS + (
     "Print", "Report", "Previous", "Following", "Search Jobs",
 )
-DESCRIPTION_PATTERNS = (
-    r"(?i)(?:Hiring|We are looking|Job Details|Position)[\s\S]*?(?=Back|Next|Email to a Friend|Page View Count|© 2025|\z)",
-    r"(?i)(?:Accommodation|Company will provide)[\s\S]*?(?:Requirements|What We Offer)[\s\S]*?(?=Back|Next|Email|©|\z)",
-    r"(?i)[^.]{200,}(?=Back|Next|Email to a Friend|©|\z)",
+DESCRIPTION_RULES = (
+    (r"(?i)(?:Hiring|We are looking|Job Details|Position)",
+     ("Back", "Next", "Email to a Friend", "Page View Count", "© 2025"), False),
+    (r"(?is)(?:Accommodation|Company will provide).*?(?:Requirements|What We Offer)",
+     ("Back", "Next", "Email", "©"), False),
 )
+LONG_STRETCH = r"(?i)(?:\A|(?<=\.))[^.]{200,}(?=Back|Next|Email to a Friend|©|\z)"
 HEADER_END_MARKERS = ("Chat on WhatsApp", "Contact", "Phone:", "Email:")
 FOOTER_START_MARKERS = ("Back", "Next", "© 2025", "Email to a Friend")
 
@@ -153,7 +165,7 @@ MORE_CHALLENGE_PHRASES = (
 EMPLOYMENT_2 = ("full-time", "part-time")
 EMPLOYMENT_5 = ("full-time", "part-time", "contract", "temporary", "permanent")
 EMPLOYMENT_7 = EMPLOYMENT_5 + ("internship", "freelance")
-EMPLOYMENT_LOOSE = r"(full[\h\v-]?time|part[\h\v-]?time|contract|temporary|permanent)"
+EMPLOYMENT_LOOSE = r"(full[-\h\v]?time|part[-\h\v]?time|contract|temporary|permanent)"
 
 SKILLS = (
     "english", "arabic", "hindi", "urdu",

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsieve.functions import profile as P
-from jobsieve.functions.text import blank_to_null, contains_any, first_keyword, first_match, last_line_value, trimmed
+from jobsieve.functions.text import blank_to_null, contains_any, first_keyword, first_match, last_line_value, let, trimmed
 
 # Endings and dates that tell the classes of listing links apart.
 STAMP = r"[A-Za-z0-9_]{3}, [A-Za-z0-9_]{3} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2} [AP]M - (?:\d+ [A-Za-z0-9_]+ ago|an hour ago|a day ago)\z"
@@ -80,7 +80,7 @@ def job_family(title: Column, families: Sequence[str] = P.JOB_FAMILIES) -> Colum
 
 def employment_type(text: Column, words: Sequence[str] = P.EMPLOYMENT_7) -> Column:
     """First keyword of the list that occurs; '' when none does."""
-    return F.coalesce(first_keyword(F.lower(text), words), F.lit(""))
+    return F.coalesce(let(F.lower(text), lambda low: first_keyword(low, words)), F.lit(""))
 
 
 def employment_type_loose(text: Column) -> Column:
@@ -90,8 +90,8 @@ def employment_type_loose(text: Column) -> Column:
 
 def tag_skills(text: Column, words: Sequence[str] = P.SKILLS) -> Column:
     """All vocabulary terms that occur in the text, in vocabulary order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words]))
+    vocabulary = F.array(*[F.lit(w) for w in words])
+    return let(F.lower(text), lambda low: F.filter(vocabulary, lambda w: F.contains(low, w)))
 
 
 def detect_city(lines: Column, cities: Sequence[str] = P.CITIES) -> Column:

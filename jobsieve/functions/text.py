@@ -14,9 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every white space character of the browser, as one string.
+SPACES = (" \t\n\r\u000b\f\u00a0\u0085\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff"
+          + "".join(chr(c) for c in range(0x2000, 0x200B)))
+
+
 def trimmed(c: Column) -> Column:
     """Strip every kind of white space at both ends."""
-    return F.regexp_replace(c, r"^[\h\v\x{FEFF}]+|[\h\v\x{FEFF}]+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeezed(c: Column) -> Column:
@@ -51,6 +56,25 @@ def first_match(c: Column, patterns: Sequence[str], group: int = 1) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def ascii_lower(c: Column) -> Column:
+    """Lower case of the same length, so that positions carry over to the original text.
+
+    The two characters whose lower case would be longer or become an ASCII letter are masked.
+    """
+    masked = F.replace(F.replace(c, F.lit("\u0130"), F.lit("\u0001")), F.lit("\u212a"), F.lit("\u0001"))
+    return F.lower(masked)
+
+
+def earliest(c: Column, words: Sequence[str]) -> Column:
+    """1-based position of the first of the words; length + 1 when none occurs."""
+    return F.least(*[F.nullif(F.instr(c, w), F.lit(0)) for w in words], F.length(c) + 1)
+
+
 def first_keyword(lowered: Column, words: Sequence[str]) -> Column:
     """First word of the list, in list order, that occurs in the text; NULL when none does."""
     chain = None

@@ -11,7 +11,7 @@ from jobsieve.functions import profile as P
 from jobsieve.functions import tags
 from jobsieve.functions.fields import class_pattern, contact_loose, job_id, salary_phrase, short_description
 from jobsieve.functions.html import decoded, without_tags, without_unseen
-from jobsieve.functions.text import blank_to_null, ellipsis, squeezed, trimmed
+from jobsieve.functions.text import blank_to_null, ellipsis, let, squeezed, trimmed
 from jobsieve.operators.keyed import dedup
 
 # A block of the page starts at each of these tags; its text stands for the parent element's text.
@@ -24,11 +24,10 @@ SMALL_TABLE_ROWS = 10_000
 
 def _anchors(block: Column) -> Column:
     """Anchors of one block with the block's text."""
-    parent = trimmed(without_tags(block))
     hrefs = F.regexp_extract_all(block, F.lit(ANCHOR), F.lit(1))
     bodies = F.regexp_extract_all(block, F.lit(ANCHOR), F.lit(2))
-    return F.zip_with(hrefs, bodies, lambda h, b: F.struct(
-        decoded(h).alias("href"), trimmed(without_tags(b)).alias("title"), parent.alias("parent_text")))
+    return let(trimmed(without_tags(block)), lambda parent: F.zip_with(hrefs, bodies, lambda h, b: F.struct(
+        decoded(h).alias("href"), trimmed(without_tags(b)).alias("title"), parent.alias("parent_text"))))
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -147,10 +146,8 @@ def listing_rows(pages: DataFrame, base: str, category_path: str, rules=LISTING_
     `date_posted` is NULL where the row carries no date.
     """
     keep = [c for c in pages.columns if c != html]
-    ruled = None
-    for rule in rules:
-        rows = _rule_rows(F.col("_html"), rule)
-        ruled = F.when(F.size(rows) > 0, rows) if ruled is None else ruled.when(F.size(rows) > 0, rows)
+    some = [let(_rule_rows(F.col("_html"), rule), lambda rows: F.when(F.size(rows) > 0, rows)) for rule in rules]
+    ruled = F.coalesce(*some)
     tagged = pages.select(*keep, without_unseen(F.col(html)).alias("_html"))
     if fallback:
         links = F.filter(F.regexp_extract_all(F.col("_html"), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0)),

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobsieve.session import spread
+
 OWN_DOMAIN = "listings.example.com"
 BASE = "https://jobs.example.com"
 STAMP = "2025-07-01T00:00:00.000Z"
@@ -80,7 +82,7 @@ SELECT seq, url, concat(
   'Skills: English, Excel and driving', chr(10), 'Note: a', chr(9), 'b: c', chr(10), 'Note: d', chr(10), employment_type, chr(10),
   CASE WHEN seq % 4 = 0 THEN concat('Chat on WhatsApp', chr(10), 'Short text', chr(10)) ELSE '' END,
   'Job Details: Position: ', title, chr(10), chr(10), chr(10), chr(10), 'Must have a valid license. ',
-  repeat(concat('Long shifts, night work and weekends may apply', chr(10)), CAST(seq % 60 AS INT)),
+  repeat(concat('Long shifts, night work and weekends may apply; meals are served on site and buses run from the city', chr(10)), CAST(seq % 24 AS INT)),
   'Qualifications 1. license 2. iqama', chr(10), 'Medical cover and flights are provided each year', chr(10),
   'For More Details Contact: office', chr(10), '© 2025') AS body_text
 FROM {fx_postings}
@@ -95,8 +97,12 @@ _CTE = {
 _NEEDS = {"fx_posting_text": ("fx_postings",), "fx_rich_text": ("fx_postings",)}
 
 
-def fx_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FX_POSTINGS, **{t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
+def fx_postings(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """`wide` spreads the orders over all cores, for the heavy text expressions."""
+    tables = {t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation")}
+    if wide:
+        tables["orders"] = spread(tables["orders"].drop("o_totalprice"))
+    return spark.sql(FX_POSTINGS, **tables)
 
 
 def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +110,11 @@ def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_posting_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FX_POSTING_TEXT, fx_postings=fx_postings(spark, sf_dir))
+    return spark.sql(FX_POSTING_TEXT, fx_postings=fx_postings(spark, sf_dir, wide=True))
 
 
 def fx_rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FX_RICH_TEXT, fx_postings=fx_postings(spark, sf_dir))
+    return spark.sql(FX_RICH_TEXT, fx_postings=fx_postings(spark, sf_dir, wide=True))
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:

@@ -9,6 +9,7 @@ from jobsieve.operators import links as L
 from jobsieve.operators.extract import with_challenge_flag, with_extraction_ok, with_page_text
 from jobsieve.plans.listing_report import listing_report
 from jobsieve.registry.base import BASE, OWN_DOMAIN, fx_links, fx_posting_text, query, table
+from jobsieve.session import spread
 
 V = ("fx_links",)
 STAMP = "\\w{3}, \\w{3} \\d{1,2}, \\d{4}, \\d{1,2}:\\d{2}:\\d{2} [AP]M - (?:\\d+ \\w+ ago|an hour ago|a day ago)$"
@@ -275,7 +276,7 @@ a AS (SELECT page_id, bno, block, unnest(regexp_extract_all(block, '{ANCHOR}', 1
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY bno, ano) - 1 AS pos, {untag('href')} AS href,
   {trim_sql(untag('body'))} AS title, {trim_sql(untag('block'))} AS parent_text FROM a""")
 def page_links(spark, sf):
-    return L.extract_links(table(spark, sf, "pages").select("page_id", "html"))
+    return L.extract_links(spread(table(spark, sf, "pages")).select("page_id", "html"))
 
 
 TITLE_SQL = f"""trim(regexp_replace({untag("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\\s+', ' ', 'g'))"""
@@ -286,7 +287,7 @@ BODY_SQL = untag(f"regexp_replace(regexp_replace(html, '{UNSEEN}', '', 'g'), '(?
 SELECT page_id, {TITLE_SQL} AS page_title, {trim_sql(f"regexp_replace({TITLE_SQL}, '^.*?Jobs,\\s*', '')")} AS title,
   substring({BODY_SQL}, 1, 1000) AS preview, CAST(length({BODY_SQL}) AS INT) AS n_chars FROM pages""")
 def page_title_text(spark, sf):
-    texts = with_page_text(table(spark, sf, "pages"))
+    texts = with_page_text(spread(table(spark, sf, "pages")))
     return texts.select("page_id", "page_title", X.clean_title(F.col("page_title"), OWN_DOMAIN).alias("title"),
                         X.preview(F.col("body_text")).alias("preview"), F.length("body_text").alias("n_chars"))
 
@@ -304,7 +305,7 @@ SELECT page_id, CAST(row_no AS BIGINT) AS row_no, {SQUEEZED_ROW} AS title,
   '{BASE}' || {untag(f"regexp_extract(row_html, '{ANCHOR}', 1)")} AS link_url, CAST(NULL AS VARCHAR) AS date_posted,
   'Saudi Arabia' AS location, {SQUEEZED_ROW} AS description FROM r WHERE length({SQUEEZED_ROW}) >= 3""")
 def listing_rows(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf, "pages")).select("page_id", "html")
     return L.listing_rows(pages, BASE, "/jobs/", rules=(*L.LISTING_RULES, NAV_RULE))
 
 
@@ -321,7 +322,7 @@ SELECT page_id, CAST(row_no AS BIGINT) AS row_no, {CUT.format(x='t', n=100)} AS
   '{BASE}' || {untag(f"regexp_extract(row_html, '{ANCHOR}', 1)")} AS link_url, CAST(NULL AS VARCHAR) AS date_posted,
   'Saudi Arabia' AS location, {CUT.format(x='t', n=200)} AS description FROM t""")
 def listing_rows_fallback(spark, sf):
-    return L.listing_rows(table(spark, sf, "pages").select("page_id", "html"), BASE, "/")
+    return L.listing_rows(spread(table(spark, sf, "pages")).select("page_id", "html"), BASE, "/")
 
 
 CITIES = {name: f"{BASE}/classifieds/{name.lower()}/jobs/" for name in ("Riyadh", "Jeddah", "Dammam", "Khobar")}
@@ -387,7 +388,7 @@ SELECT page_id, coalesce(nullif({trim_sql(untag("regexp_extract(html, '(?is)<h1(
 FROM pages""")
 def block_fields(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", X.block_title(html).alias("title"), X.first_block(html).alias("first_block"),
         X.longest_block(html, ((X.tag_pattern("article"), 1),)).alias("longest_block"))
 
@@ -402,7 +403,7 @@ c AS (SELECT page_no, {STRICT} AS link_class FROM p), g AS (SELECT page_no, {COU
 SELECT *, {PCT.format(a='sponsored', b='total')} AS sponsored_pct FROM g""")
 def listing_report_pages(spark, sf):
     """Report over links taken from HTML. The pages' own anchors are dressed up as posting links first."""
-    pages = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("page_no"), "html")
+    pages = spread(table(spark, sf, "pages")).select((F.col("page_id") + 1).alias("page_no"), "html")
     size = F.length("parent_text") % 3
     ending = F.when(size == 0, " Sponsored").when(size == 1, " Tue, Jul 1, 2025, 5:43:12 PM - a day ago").otherwise("")
     links = L.extract_links(pages).withColumn("parent_text", F.concat("parent_text", ending))
