@@ -343,7 +343,7 @@ def tag_pattern(tag: str) -> str:
 def class_pattern(name: str, part: bool = False) -> str:
     """Elements with a class (or, with `part`, a class value containing the text); body is group 2."""
     value = rf"[^\"']*{name}[^\"']*" if part else rf"(?:[^\"']*\s)?{name}(?:\s[^\"']*)?"
-    return rf"(?is)<([a-z][a-z0-9]*)\s[^>]*?class\s*=\s*[\"']{value}[\"'][^>]*>(.*?)</\1\s*>"
+    return rf"(?is)<([a-z][a-z0-9]*)\s[^>]*?class\s*=\s*[\"'](?-i:{value})[\"'][^>]*>(.*?)</\1\s*>"
 
 
 def id_pattern(name: str) -> str:

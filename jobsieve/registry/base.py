@@ -58,7 +58,7 @@ FROM {events}
 """
 
 FX_POSTING_TEXT = """
-SELECT seq, url, concat('From: ', CASE WHEN email = '' THEN 'noreply@listings.example.com' ELSE email END, chr(10),
+SELECT seq, url, title, salary, location, concat('From: ', CASE WHEN email = '' THEN 'noreply@listings.example.com' ELSE email END, chr(10),
   'Posted: Sunday, Jun 29, 2025, 9:09:17 PM', chr(10), 'Category: Jobs', chr(10), 'Region: ', location, ' (', location, ')', chr(10),
   CASE WHEN posting_id = '' THEN '' ELSE concat('Posting ID: ', posting_id, chr(10)) END,
   CASE WHEN contact = '' THEN '' ELSE concat(contact, chr(10)) END, 'Chat on WhatsApp', chr(10), 'xx ', title, chr(10),
@@ -71,7 +71,7 @@ FROM {fx_postings}
 
 # A longer text: labelled lines, an English sentence with skills, loose phone numbers, a body over 1,500 characters.
 FX_RICH_TEXT = """
-SELECT seq, url, concat(
+SELECT seq, url, title, salary, location, concat(
   CASE WHEN seq % 2 = 0 THEN concat('Hiring For ', title, ' team', chr(10)) ELSE '' END,
   'Company: ', description, ' Ltd', chr(10), 'Experience: ', CAST(seq % 9 AS STRING), ' years', chr(10),
   'Degree: ', CASE WHEN seq % 3 = 0 THEN 'Diploma' ELSE 'Bachelor' END, ' or higher', chr(10),

@@ -7,7 +7,7 @@ from jobsieve.functions import profile as P
 from jobsieve.functions import tags
 from jobsieve.functions.text import text_lines
 from jobsieve.operators.extract import drop_challenge, extract_postings, with_full_description
-from jobsieve.registry.base import OWN_DOMAIN, STAMP, fx_posting_text, fx_postings, fx_rich_text, query, table
+from jobsieve.registry.base import OWN_DOMAIN, STAMP, fx_posting_text, fx_rich_text, query, table
 from jobsieve.registry.links import CUT, trim_sql
 from jobsieve.schema import POSTING_COLUMNS
 from jobsieve.session import spread
@@ -393,15 +393,14 @@ def phones_in_documents(spark, sf):
 
 # --- whole records ------------------------------------------------------------------
 
-PAGE_TITLE = f"concat(p.location, ' Jobs, ', p.title, ', ', CAST(p.seq AS STRING), ' - {OWN_DOMAIN} classifieds')"
-PAGES_CTE = f"""pg AS (SELECT t.url, t.body_text, {PAGE_TITLE} AS page_title FROM fx_posting_text t JOIN fx_postings p USING (seq) WHERE NOT {CHALLENGE})"""
+PAGE_TITLE = f"concat(location, ' Jobs, ', title, ', ', CAST(seq AS STRING), ' - {OWN_DOMAIN} classifieds')"
+PAGES_CTE = f"""pg AS (SELECT url, body_text, {PAGE_TITLE} AS page_title FROM fx_posting_text WHERE NOT {CHALLENGE})"""
 CLEAN_TITLE = trim_sql("regexp_replace(regexp_replace(" + trim_sql(
     "regexp_replace(page_title, '(?i)\\s*-\\s*listings\\.example\\.com[^\\n\\r]*$', '')") + ", '^.*?Jobs,\\s*', ''), ',\\s*\\d+$', '')")
 
 
 def posting_pages(spark, sf):
-    posts = fx_postings(spark, sf).alias("p").select("seq", F.expr(PAGE_TITLE).alias("page_title"))
-    return fx_posting_text(spark, sf).join(posts, "seq")
+    return fx_posting_text(spark, sf).select("url", "body_text", F.expr(PAGE_TITLE).alias("page_title"))
 
 
 def record_sql(full):
@@ -420,26 +419,25 @@ def record_sql(full):
     return f"WITH {PAGES_CTE} SELECT * REPLACE ({description} AS description) FROM ({inner})"
 
 
-@query("extract_postings", record_sql(False), ("fx_postings", "fx_posting_text"))
+@query("extract_postings", record_sql(False), T)
 def extract_records(spark, sf):
     return extract_postings(posting_pages(spark, sf), P.primary_profile(OWN_DOMAIN), STAMP)
 
 
-@query("extract_full_records", f"SELECT * EXCLUDE (description) FROM ({record_sql(True)})", ("fx_postings", "fx_posting_text"))
+@query("extract_full_records", f"SELECT * EXCLUDE (description) FROM ({record_sql(True)})", T)
 def extract_full_records(spark, sf):
     return extract_postings(posting_pages(spark, sf), P.full_profile(OWN_DOMAIN), STAMP).select(
         *[c for c in POSTING_COLUMNS if c != "description"])
 
 
-HTML = """concat('<html><head><title>', p.title, ' | Jobs</title></head><body><h1>', p.title, '</h1><table><tr><td>Salary: ', p.salary,
-  '</td></tr>', chr(10), '<tr><td>Work site: ', p.location, '</td></tr><tr><td>', t.body_text, '</td></tr></table><time datetime="2025-06-29T21:09:17">now</time></body></html>')"""
-HTML_TEXT = f"""x AS (SELECT p.seq, p.title, p.salary, p.location, t.url, concat(p.title, 'Salary: ', p.salary, chr(10), 'Work site: ', p.location, t.body_text, 'now') AS body_text,
-  concat('Salary: ', p.salary, chr(10), 'Work site: ', p.location, t.body_text) AS table_text, t.body_text AS cell FROM fx_rich_text t JOIN fx_postings p USING (seq))"""
+HTML = """concat('<html><head><title>', title, ' | Jobs</title></head><body><h1>', title, '</h1><table><tr><td>Salary: ', salary,
+  '</td></tr>', chr(10), '<tr><td>Work site: ', location, '</td></tr><tr><td>', body_text, '</td></tr></table><time datetime="2025-06-29T21:09:17">now</time></body></html>')"""
+HTML_TEXT = f"""x AS (SELECT seq, title, salary, location, url, concat(title, 'Salary: ', salary, chr(10), 'Work site: ', location, t.body_text, 'now') AS body_text,
+  concat('Salary: ', salary, chr(10), 'Work site: ', location, t.body_text) AS table_text FROM fx_rich_text t)"""
 
 
 def record_pages(spark, sf):
-    return fx_rich_text(spark, sf).alias("t").join(fx_postings(spark, sf).alias("p"), "seq").select(
-        F.col("t.url").alias("url"), F.expr(HTML).alias("html"))
+    return fx_rich_text(spark, sf).select("url", F.expr(HTML).alias("html"))
 
 
 @query("skills_records", f"""
@@ -453,7 +451,7 @@ SELECT regexp_replace(string_split(url, '/')[-1], '\\.html', '') AS id, nullif(r
   {last_sql(line_rule('experience', '(?i)experience[\\s:]+(.+)', 100))} AS experience,
   {last_sql(line_rule('education|qualification|degree', '(?i)(?:education|qualification|degree)[\\s:]+(.+)', 100))} AS education,
   array_to_string(list_filter({SKILL_SQL}, lambda w: contains(lower(body_text), w)), ',') AS skills, '2025-06-29T21:09:17' AS posted_date,
-  '{STAMP}' AS scraped_at FROM l""", ("fx_postings", "fx_rich_text"))
+  '{STAMP}' AS scraped_at FROM l""", R)
 def skills_records(spark, sf):
     out = extract_postings(record_pages(spark, sf), P.skills_profile(OWN_DOMAIN), STAMP)
     return out.withColumn("skills", F.array_join("skills", ",")).drop("contact")
@@ -465,7 +463,7 @@ SELECT title, url, coalesce(regexp_extract(lower(body_text), 'location[\\s:]+([^
   {label_sql('salary')} AS salary, coalesce({label_sql('experience')}, NULL) AS experience, {label_sql('company')} AS company,
   nullif(regexp_extract(lower(body_text), '(full[\\s-]?time|part[\\s-]?time|contract|temporary|permanent)', 1), '') AS employment_type,
   {label_sql('education')} AS education, {label_sql('skills')} AS skills, substring(body_text, 1, 1000) AS full_text,
-  nullif({trim_sql('location')}, '') AS work_site, 'job_detail' AS type, '{STAMP}' AS scraped_at FROM l""", ("fx_postings", "fx_rich_text"))
+  nullif({trim_sql('location')}, '') AS work_site, 'job_detail' AS type, '{STAMP}' AS scraped_at FROM l""", R)
 def keyed_records(spark, sf):
     out = extract_postings(record_pages(spark, sf), P.keyed_profile(OWN_DOMAIN), STAMP)
     return out.select("title", "url", F.coalesce(F.regexp_extract(F.lower("full_text"), r"location[\s:]+([^.\n]+)", 1), F.lit("")).alias("text_location"),
