@@ -17,7 +17,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def read_response_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows under `data` and the summary of captured responses, one response per file."""
-    raw = spark.read.schema(RESPONSE).option("multiLine", True).json(path)
+def read_response_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows under `data` and the summary of captured responses, one response per file or per line."""
+    raw = spark.read.schema(RESPONSE).option("multiLine", not lines).json(path)
     return raw.select(F.inline("data")), raw.select("success", "count", "scraped_at", "summary.*")
