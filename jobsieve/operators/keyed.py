@@ -29,7 +29,8 @@ def dedup(df: DataFrame, key: str, order: Sequence[str | Column], null_key: str
     """First row of each key in the given order.
 
     `null_key='keep'` keeps every row with a NULL or empty key, `'collapse'` treats the
-    missing key as one more key.
+    missing key as one more key. `'keep'` reads its input twice, so hand in a stored or
+    cached table where rows are costly to make.
     """
     if null_key == "collapse":
         return _first_of_key(df, key, order)
@@ -177,8 +178,8 @@ def seen_stats(seen: DataFrame, now, hours: int = 24) -> DataFrame:
 def attach_listing(postings: DataFrame, links: DataFrame) -> DataFrame:
     """Listing attributes on extracted postings. `links` hold each address once."""
     side = links.select("url", F.col("is_sponsored").alias("listing_sponsored"),
-                        F.coalesce("found_date", F.lit("")).alias("listing_date"))
-    return postings.join(side, "url")
+                        F.coalesce("found_date", F.lit("")).alias("listing_date"), F.xxhash64("url").alias("_h"))
+    return postings.withColumn("_h", F.xxhash64("url")).join(side, ["url", "_h"]).drop("_h")
 
 
 def progress(every: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.text import blank_to_null, non_empty, trimmed
 from jobsieve.operators.query import salary_number
+from jobsieve.session import checkpointed
 
 COVERAGE_FIELDS = (
     "salary", "contact", "email", "location", "description", "posted_date", "requirements", "benefits",
@@ -83,9 +84,10 @@ def salary_stats(df: DataFrame, mode: str = "all_digits") -> DataFrame:
 
     No row when there is no salary. The median is the element at position n/2 of the
     sorted list (the upper one of two middle values); the mean is rounded half up.
+    The postings are read once: the counts by value are checkpointed when this is called.
     """
-    counts = (df.select(_positive_salary(mode).alias("v")).where(F.col("v").isNotNull())
-              .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    counts = checkpointed(df.select(_positive_salary(mode).alias("v")).where(F.col("v").isNotNull())
+                          .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     v, n = F.col("v"), F.col("n")
     total = F.sum(v.cast("decimal(38,0)") * n.cast("decimal(18,0)"))
     base = counts.agg(F.sum(n).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
@@ -113,9 +115,10 @@ def posting_cube(df: DataFrame) -> DataFrame:
 def export_stats(df: DataFrame, k: int = 10) -> DataFrame:
     """All statistics of an export as one row of structs.
 
-    Every part is an aggregate of the same `posting_cube`, whose shuffle Spark reuses.
+    Every part is an aggregate of one `posting_cube`, which is checkpointed when this is
+    called, so the postings are read once.
     """
-    cube = posting_cube(df)
+    cube = checkpointed(posting_cube(df))
     n = F.col("n")
 
     def rows(test):

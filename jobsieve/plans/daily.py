@@ -11,7 +11,7 @@ from jobsieve.functions.profile import ExtractionProfile
 from jobsieve.functions.text import half_up_ratio
 from jobsieve.operators.classify import classify_links
 from jobsieve.operators.extract import extract_postings
-from jobsieve.operators.keyed import filter_new, split_new
+from jobsieve.operators.keyed import filter_new, keep_matched, split_new
 from jobsieve.operators.links import absolutize, dedup_links, extract_links, page_cap, posting_links
 from jobsieve.operators.query import first_rows
 
@@ -60,6 +60,6 @@ def daily_run(links: DataFrame, detail_pages: DataFrame, seen: DataFrame, export
     if backfill:
         postings = extract_postings(detail_pages, profile, scraped_at).join(taken.select("url"), "url")
     else:
-        pages = detail_pages.join(taken.select("url"), "url", "left_semi")
+        pages = keep_matched(detail_pages, F.col("url"), taken, "url")
         postings = extract_postings(pages, profile, scraped_at)
     return DailyRun(taken, skipped, postings, filter_new(postings, export))

@@ -97,7 +97,7 @@ def coverage(spark, sf):
 
 
 @query("coverage_nulls", """
-SELECT count(*) AS count, count(*) FILTER (WHERE salary <> '') AS with_salary, count(*) FILTER (WHERE contact <> '') AS with_contact,
+SELECT count(*) AS count, count(*) FILTER (WHERE fx_postings.salary <> '') AS with_salary, count(*) FILTER (WHERE contact <> '') AS with_contact,
   count(*) FILTER (WHERE contains(body_text, 'license') OR contains(lower(body_text), 'driver') OR contains(lower(body_text), 'engineer')
     OR contains(lower(body_text), 'sales') OR contains(lower(body_text), 'mechanic')) AS with_skills
 FROM fx_postings JOIN fx_posting_text USING (seq)""", ("fx_postings", "fx_posting_text"))

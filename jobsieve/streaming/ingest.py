@@ -72,8 +72,9 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
 
     Everything is written to folders of the batch number, so a repeated batch replaces its
     own output. New means: not in the seen log of the last days, read by day folders and
-    without this batch's own rows. Each posting of the batch is kept once. The input is
-    read once; the store rows come from the export just written.
+    without this batch's own rows. Each posting of the batch is kept once. The extracted
+    rows are kept for the batch, so pages are read and parsed once; the store rows come
+    from the export just written.
     """
     now_of = clock or (lambda: dt.datetime.now(dt.timezone.utc))
 
@@ -87,9 +88,9 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
             took = int((time.monotonic() - tick) * 1000)
             write_run(spark, paths.runs, batch_id, started, status, took, found, new, found - new, error)
 
+        rows = batch_df.persist()
         try:
-            found, kept = Observation(), Observation()
-            rows = batch_df.observe(found, F.count(F.lit(1)).alias("n"))
+            found, kept = rows.count(), Observation()
             once = dedup(rows, "posting_id", ["scraped_at", "url"])
             known = read_seen_log(spark, paths.seen, since, skip_batch=batch_id)
             fresh = filter_new(once, known).withColumn("export_date", F.lit(day))
@@ -102,10 +103,12 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
                 written = _read_batch(spark, paths, day, batch_id)
                 now = F.lit(started)
                 append_seen_log(seen_rows(written, now, [F.desc("scraped_at"), "url"]), paths.seen, day, batch_id)
-            log("success", found.get["n"], new)
+            log("success", found, new)
         except Exception as error:
             log("failed", error=str(error)[:1000])
             raise
+        finally:
+            rows.unpersist()
 
     return handle
 
