@@ -113,9 +113,11 @@ def contact_of_lines(lines: Column) -> Column:
 def email(text: Column, own_domain: str, patterns: Sequence[str] = P.EMAIL_PATTERNS) -> Column:
     """First pattern whose match is not an address of the listing site; '' without one."""
     def foreign(p):
-        m = F.regexp_extract(text, p, 1)
-        return F.when((m != "") & ~F.contains(m, F.lit(own_domain)), m)
-    return F.coalesce(*[foreign(p) for p in patterns], F.lit(""))
+        return let(F.regexp_extract(text, p, 1),
+                   lambda m: F.when((m != "") & ~F.contains(m, F.lit(own_domain)), m))
+    found = F.coalesce(*[foreign(p) for p in patterns], F.lit(""))
+    # Texts without the sign are the rule; they need no regex.
+    return F.when(F.contains(text, F.lit("@")), found).otherwise("")
 
 
 def url_posting_id(url: Column) -> Column:
@@ -304,7 +306,8 @@ def between_header_and_footer(text: Column) -> Column:
 
 
 def _calm(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    # Single blanks are what the rule leaves, so they need no replacement.
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
     return trimmed(F.regexp_replace(c, r"\n[\h\v]*\n[\h\v]*\n", "\n\n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobsieve.functions.text import squeezed, trimmed
+from jobsieve.functions.text import let, squeezed, trimmed
 
 # Named characters decoded in page text; the ampersand comes last.
 ENTITIES = (
@@ -26,14 +26,15 @@ HEAD = r"(?is)^.*?<body[^>]*>"
 
 
 def decoded(c: Column) -> Column:
+    out = c
     for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def without_tags(c: Column) -> Column:
     """Text content of a fragment: tags go, nothing is put in their place."""
-    return decoded(F.regexp_replace(c, TAG, ""))
+    return let(F.regexp_replace(c, TAG, ""), decoded)
 
 
 def without_unseen(html: Column) -> Column:

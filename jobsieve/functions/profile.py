@@ -31,11 +31,12 @@ FREE_SALARY_PATTERNS = (
     r"(?i)fixed salary[^\n\r]*?(\d+)",
 )
 
+# The left word bound is tested behind the first digits: plain text is searched for those.
 PHONE_PATTERNS = (
-    r"(?<![A-Za-z0-9_])05\d{8}(?![A-Za-z0-9_])",
-    r"(?<![A-Za-z0-9_])01\d{8}(?![A-Za-z0-9_])",
+    r"05(?<![A-Za-z0-9_]05)\d{8}(?![A-Za-z0-9_])",
+    r"01(?<![A-Za-z0-9_]01)\d{8}(?![A-Za-z0-9_])",
     r"\+966\d{9}",
-    r"(?<![A-Za-z0-9_])\d{10}(?![A-Za-z0-9_])",
+    r"\d(?<![A-Za-z0-9_]\d)\d{9}(?![A-Za-z0-9_])",
 )
 LOOSE_PHONE = r"(?:\+966|05|01)[-\d\h\v]{8,}"
 LOOSE_PHONES = (

@@ -26,7 +26,7 @@ def trimmed(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """White space runs become one space, ends are stripped."""
-    return F.trim(F.regexp_replace(c, r"[\h\v\x{FEFF}]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\h\v\x{FEFF}]{2,}|[\h\v\x{FEFF}&&[^ ]]", " "))
 
 
 def blank_to_null(c: Column) -> Column:

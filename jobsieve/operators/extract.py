@@ -14,13 +14,23 @@ from jobsieve.functions.text import blank_to_null, iso_utc, text_lines
 from jobsieve.schema import POSTING_COLUMNS
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """Adds columns whose costly expressions are evaluated once for each row.
+
+    Catalyst copies the expression of a plain column into every filter above it, and then
+    evaluates it in both places. The output of a generator is not copied.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*(df.columns if keep is None else keep), F.inline(F.array(row)))
+
+
 def with_page_text(pages: DataFrame, html: str = "html", keep_scripts: bool = False, drop_html: bool = True) -> DataFrame:
     """Adds `page_title` and `body_text`. The HTML is dropped unless block fields need it."""
-    out = pages.withColumns({
+    keep = [c for c in pages.columns if not (drop_html and c == html)]
+    return computed_once(pages, {
         "page_title": document_title(F.col(html)),
         "body_text": body_text(F.col(html), keep_scripts),
-    })
-    return out.drop(html) if drop_html else out
+    }, keep)
 
 
 def drop_challenge(pages: DataFrame, text: str = "body_text") -> DataFrame:

@@ -6,7 +6,7 @@ from jobsieve.functions import fields as X
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
 from jobsieve.functions.text import text_lines
-from jobsieve.operators.extract import drop_challenge, extract_postings, with_full_description
+from jobsieve.operators.extract import computed_once, drop_challenge, extract_postings, with_full_description
 from jobsieve.registry.base import OWN_DOMAIN, STAMP, fx_posting_text, fx_rich_text, query, table
 from jobsieve.registry.links import CUT, trim_sql
 from jobsieve.schema import POSTING_COLUMNS
@@ -380,14 +380,14 @@ def employment_type(spark, sf):
 
 @query("emails_in_documents", f"SELECT doc_id, {email_sql('text')} AS email FROM documents WHERE {email_sql('text')} <> ''")
 def emails_in_documents(spark, sf):
-    found = spread(table(spark, sf, "documents")).select("doc_id", X.email(F.col("text"), OWN_DOMAIN).alias("email"))
+    found = computed_once(spread(table(spark, sf, "documents")), {"email": X.email(F.col("text"), OWN_DOMAIN)}, ["doc_id"])
     return found.where(F.col("email") != "")
 
 
 @query("phones_in_documents", f"""
 WITH c AS (SELECT doc_id, {all_sql('text', PHONES)} AS l FROM documents) SELECT doc_id, {once_joined('l')} AS contact FROM c WHERE len(l) > 0""")
 def phones_in_documents(spark, sf):
-    found = spread(table(spark, sf, "documents")).select("doc_id", X.contacts(F.col("text")).alias("contact"))
+    found = computed_once(spread(table(spark, sf, "documents")), {"contact": X.contacts(F.col("text"))}, ["doc_id"])
     return found.where(F.col("contact") != "")
 
 

@@ -33,12 +33,12 @@ PAGE = """concat('<html><head><title>', location, ' Jobs, ', title, ', ', CAST(s
 
 
 def _ingested(spark, sf):
-    """Snapshots in six files, taken two at a time."""
+    """Snapshots in twenty-four files, taken eight at a time."""
     root = scratch_path(spark, "ingest")
     pages = fx_posting_text(spark, sf).select(F.col("seq").alias("page_id"), "url", F.expr(PAGE).alias("html"))
-    pages.repartition(6).write.parquet(f"{root}/pages")
+    pages.repartition(24).write.parquet(f"{root}/pages")
     paths = I.IngestPaths(f"{root}/work")
-    I.step_ingest(spark, f"{root}/pages", paths, P.primary_profile(OWN_DOMAIN), files_per_step=2, scraped_at=STAMP)
+    I.step_ingest(spark, f"{root}/pages", paths, P.primary_profile(OWN_DOMAIN), files_per_step=8, scraped_at=STAMP)
     return f"{root}/pages", paths
 
 

@@ -60,10 +60,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Below this size per core a table is spread by hand; above it the file splits suffice.
+SMALL_BYTES_PER_CORE = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Gives a table of few small files one partition per core before heavy expressions.
+    """Gives a small table one partition per core before heavy expressions.
 
-    A table with at least as many files as cores is left alone: no shuffle at scale.
+    A file of one row group is one task however costly its rows are. The size comes from
+    the plan's file statistics; a large table is left alone, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
