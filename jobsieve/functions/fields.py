@@ -423,5 +423,13 @@ def short_description(text: Column, over: int = 50, n: int = 200) -> Column:
     return F.when(F.length(flat) > over, ellipsis(flat, n)).otherwise("")
 
 
+def page_description(text: Column, own_host: str, over: int = 100, n: int = 500) -> Column:
+    """Squeezed page text up to an interstitial phrase or the site's own host name, cut at n characters."""
+    def shown(flat):
+        return F.when(F.length(flat) > over, ellipsis(flat, n)).otherwise("")
+    return let(squeezed(text), lambda flat: let(
+        F.substr(flat, F.lit(1), earliest(flat, [P.CHALLENGE_OPENING, own_host]) - 1), shown))
+
+
 def preview(text: Column, n: int = 1000) -> Column:
     return F.substring(text, 1, n)

@@ -158,6 +158,7 @@ LONG_HEADINGS = (
 CONTINUED = "\n\n[...description continues...]"
 
 CHALLENGE_PHRASES = ("verify you are human", "checking your browser")
+CHALLENGE_OPENING = "Verify you are human"
 CHALLENGE_TITLE = "just a moment"
 MORE_CHALLENGE_PHRASES = (
     "checking your browser", "enable javascript and cookies", "cloudflare", "verify you are human",

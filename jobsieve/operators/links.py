@@ -185,7 +185,8 @@ def listing_rows(pages: DataFrame, base: str, category_path: str, rules=LISTING_
 
 def city_table(spark: SparkSession, cities: dict[str, str]) -> DataFrame:
     """City names with the address of their listing page."""
-    return spark.createDataFrame(list(cities.items()), "city string, url string")
+    pairs = [F.lit(x) for pair in cities.items() for x in pair]
+    return spark.range(1).select(F.explode(F.create_map(*pairs)).alias("city", "url"))
 
 
 def city_listing(links: DataFrame, cities: dict[str, str], base: str) -> DataFrame:

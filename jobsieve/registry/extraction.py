@@ -216,6 +216,15 @@ def format_description(spark, sf):
     return out.withColumn("short_form", X.truncate_text(F.col("short_form"), 1000))
 
 
+@query("page_description", f"""
+WITH f AS (SELECT seq, trim(regexp_replace(concat(body_text, ' {OWN_DOMAIN} footer'), '\\s+', ' ', 'g')) AS flat FROM fx_posting_text),
+c AS (SELECT seq, {until_sql('flat', ('Verify you are human', OWN_DOMAIN))} AS d FROM f)
+SELECT seq, CASE WHEN length(d) > 100 THEN {CUT.format(x='d', n=500)} ELSE '' END AS description FROM c""", T)
+def page_description(spark, sf):
+    text = F.concat("body_text", F.lit(f" {OWN_DOMAIN} footer"))
+    return fx_posting_text(spark, sf).select("seq", X.page_description(text, OWN_DOMAIN).alias("description"))
+
+
 REQUIREMENTS = ("(?i)((?:✅\\s*)?Requirements:[\\s\\S]*?)(?:What We Offer|Benefits|For More Details|Contact|Salary|Position|Back|Next|\\n\\n[A-Z]|$)",
                 "(?i)((?:Valid And Transferable|Experience required|Must have)[\\s\\S]*?)(?:What We Offer|Benefits|For More Details|Communication|Contact|$)",
                 "(?i)((?:Qualifications|Minimum requirements)[\\s\\S]*?)(?:What We Offer|Benefits|For More Details|$)",

@@ -6,8 +6,9 @@ from jobsieve.functions import fields as X
 from jobsieve.functions import tags
 from jobsieve.operators import classify as C
 from jobsieve.operators import links as L
-from jobsieve.operators.extract import with_challenge_flag, with_extraction_ok, with_page_text
+from jobsieve.operators.extract import category_records, with_challenge_flag, with_extraction_ok, with_page_text
 from jobsieve.plans.listing_report import listing_report
+from jobsieve.registry.base import STAMP as NOW
 from jobsieve.registry.base import BASE, OWN_DOMAIN, fx_links, fx_posting_text, query, table
 from jobsieve.session import spread
 
@@ -245,6 +246,14 @@ def page_kind(spark, sf):
     return L.page_kind(fx_links(spark, sf), "href").select("page_no", "pos", "type", "category_title")
 
 
+@query("category_records", f"""
+SELECT 'Job Category: ' || string_split(href, '/')[-3] AS title, href AS url, 'Saudi Arabia' AS location,
+  'This is a job category page with multiple listings' AS description, 'category' AS type, '{NOW}' AS date_posted, '{NOW}' AS scraped_at
+FROM fx_links WHERE contains(href, '/classifieds/') AND suffix(href, '/jobs/')""", V)
+def category_records_of_links(spark, sf):
+    return category_records(L.page_kind(fx_links(spark, sf).withColumnRenamed("href", "url")), NOW)
+
+
 # --- page snapshots ---------------------------------------------------------------
 
 UNSEEN = "(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"

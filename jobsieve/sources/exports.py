@@ -117,8 +117,8 @@ def append_export(df: DataFrame, root: str, date: str, export: DataFrame | None
     if batch_id is None:
         out.write.mode("append").partitionBy("export_date").parquet(root)
     else:
-        (out.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("export_date", "batch_id").parquet(root))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("export_date")
+         .parquet(f"{root}/batch_id={batch_id}"))
     return seen.get["n"]
 
 

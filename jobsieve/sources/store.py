@@ -2,7 +2,7 @@
 
 Two layouts. A snapshot store holds complete versions, `v=1`, `v=2`, ...; a version counts
 once its `_SUCCESS` marker is there, and readers take the newest, so nothing that is
-being read is ever overwritten. A log store only adds rows, in folders by day and batch:
+being read is ever overwritten. A log store only adds rows, in folders by batch and day:
 a micro-batch writes what it saw and nothing else, and a time-to-live is a filter on days.
 """
 
@@ -31,8 +31,12 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(n for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/v={n}/_SUCCESS")))
 
 
+def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def empty_seen(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SEEN)
+    return _empty(spark, SEEN)
 
 
 def read_seen(spark: SparkSession, root: str) -> DataFrame:
@@ -49,11 +53,16 @@ def write_seen(df: DataFrame, root: str) -> int:
     return version
 
 
+def store_size_kb(spark: SparkSession, root: str) -> DataFrame:
+    """One row: size of the store's files in whole KB, from file metadata."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("length")
+    return files.agg(F.round(F.sum("length") / 1024).cast("bigint").alias("db_size_kb"))
+
+
 def append_seen_log(rows: DataFrame, root: str, day: str, batch_id: int) -> None:
     """Adds a batch's store rows; a repeated batch replaces its own folder."""
-    (rows.withColumn("seen_day", F.lit(day).cast("date")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("seen_day", "batch_id").parquet(root))
+    (rows.withColumn("seen_day", F.lit(day).cast("date")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("seen_day").parquet(f"{root}/batch_id={batch_id}"))
 
 
 def _exists(spark: SparkSession, root: str) -> bool:
@@ -65,7 +74,7 @@ def read_seen_log(spark: SparkSession, root: str, since: Column | str | None = N
                   skip_batch: int | None = None) -> DataFrame:
     """All rows of the log. `since` prunes the day folders; `skip_batch` leaves one batch out."""
     if not _exists(spark, root):
-        return spark.createDataFrame([], LOG_SCHEMA)
+        return _empty(spark, LOG_SCHEMA)
     out = spark.read.schema(LOG_SCHEMA).parquet(root)
     if since is not None:
         out = out.where(F.col("seen_day") >= (F.lit(since).cast("date") if isinstance(since, str) else since))

@@ -62,16 +62,12 @@ class IngestPaths:
         return f"{self.root}/checkpoint"
 
 
-def _read_batch(spark: SparkSession, paths: IngestPaths, day: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(f"{paths.export}/export_date={day}/batch_id={batch_id}")
-
-
 def batch_writer(paths: IngestPaths, ttl_days: int = 7,
                  clock: Callable[[], dt.datetime] | None = None) -> Callable[[DataFrame, int], None]:
     """Handler of one micro-batch: keep what is new, append it, remember it, log the run.
 
     Everything is written to folders of the batch number, so a repeated batch replaces its
-    own output. New means: not in the seen log of the last days, read by day folders and
+    own output, also on a later day. New means: not in the seen log of the last days, read by day folders and
     without this batch's own rows. Each posting of the batch is kept once. The extracted
     rows are kept for the batch, so pages are read and parsed once; the store rows come
     from the export just written.
@@ -94,14 +90,13 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
             once = dedup(rows, "posting_id", ["scraped_at", "url"])
             known = read_seen_log(spark, paths.seen, since, skip_batch=batch_id)
             fresh = filter_new(once, known).withColumn("export_date", F.lit(day))
-            out = fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            out = out.observe(kept, F.count(F.lit(1)).alias("n"))
-            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("export_date", "batch_id").parquet(paths.export))
+            out = fresh.observe(kept, F.count(F.lit(1)).alias("n"))
+            target = f"{paths.export}/batch_id={batch_id}"
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .partitionBy("export_date").parquet(target))
             new = kept.get["n"]
             if new:
-                written = _read_batch(spark, paths, day, batch_id)
-                now = F.lit(started)
+                written, now = spark.read.schema(fresh.schema).parquet(target), F.lit(started)
                 append_seen_log(seen_rows(written, now, [F.desc("scraped_at"), "url"]), paths.seen, day, batch_id)
             log("success", found, new)
         except Exception as error:

@@ -12,9 +12,9 @@ from jobsieve.schema import RUN
 
 def write_run(spark: SparkSession, root: str, batch_id: int, started: dt.datetime, status: str, duration_ms: int,
               found: int, new: int, skipped: int, error: str | None) -> None:
-    row = (batch_id, started, status, duration_ms, found, new, skipped, error)
-    (spark.createDataFrame([row], RUN).withColumn("run", F.col("batch_id")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(root))
+    values = (batch_id, started, status, duration_ms, found, new, skipped, error)
+    row = spark.range(1).select(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, RUN.fields)])
+    row.write.mode("overwrite").parquet(f"{root}/run={batch_id}")
 
 
 def run_log(spark: SparkSession, root: str) -> DataFrame:

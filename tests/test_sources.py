@@ -80,6 +80,7 @@ def test_seen_versions(spark, tmp_path):
     row = "'1' posting_id, 't' title, 'u' url, current_timestamp() scraped_date, current_timestamp() first_scraped, current_timestamp() last_updated"
     assert S.write_seen(spark.sql(f"SELECT {row}"), root) == 1
     (tmp_path / "seen" / "v=9").mkdir()
+    assert S.store_size_kb(spark, root).first()[0] >= 1
     assert S.read_seen(spark, root).count() == 1
     assert S.write_seen(S.read_seen(spark, root).limit(0), root) == 2 and S.read_seen(spark, root).count() == 0
     assert S.read_seen_log(spark, str(tmp_path / "none")).count() == 0

@@ -64,6 +64,8 @@ def test_repeated_batch_replaces_its_output(spark, tmp_path):
         handle(rows, 0)
     assert I.read_exports(spark, paths).count() == 5
     assert run_log(spark, paths.runs).count() == 1
+    I.batch_writer(paths, clock=lambda: DAY + dt.timedelta(days=1))(rows, 0)
+    assert I.read_exports(spark, paths).count() == 5 and run_log(spark, paths.runs).count() == 1
     handle(rows, 1)
     assert I.read_exports(spark, paths).count() == 5 and run_log(spark, paths.runs).count() == 2
 
