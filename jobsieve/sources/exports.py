@@ -26,6 +26,12 @@ def batch_name(batch_no: int, date: str) -> str:
     return f"jobs_batch_{batch_no}_{date}.csv"
 
 
+def with_export_folders(df: DataFrame, date: str, quick: bool = False, auto: bool = False) -> DataFrame:
+    """Adds the folder columns of an export, `mode` and `export_date`, the table form of its file name."""
+    mode = "_".join(word for word, on in (("quick", quick), ("auto", auto)) if on) or "full"
+    return df.withColumn("mode", F.lit(mode)).withColumn("export_date", F.lit(date))
+
+
 def _defaults() -> list:
     out = []
     for name, header in EXPORT_HEADERS.items():

@@ -64,6 +64,14 @@ def test_catalog_reads_dates_from_names(spark, tmp_path):
         ("regular_jobs_quick_auto_2025-07-03.csv", "2025-07-03", 1), ("other.csv", "unknown", 0)}
 
 
+def test_export_folders(spark, tmp_path):
+    root = str(tmp_path / "x")
+    tagged = E.with_export_folders(postings(spark, {"title": "a"}), "2025-07-01", quick=True, auto=True)
+    E.write_postings_csv(tagged, root, partition_by=("mode", "export_date"))
+    row = E.read_postings_csv(spark, root).first()
+    assert (row["title"], row["mode"], str(row["export_date"])) == ("a", "quick_auto", "2025-07-01")
+
+
 def test_append_counts_new_rows(spark, tmp_path):
     root = str(tmp_path / "e")
     a = postings(spark, {"posting_id": "1"}, {"posting_id": "2"}, {"posting_id": ""})

@@ -14,12 +14,12 @@ X = F.col("x")
 
 
 def test_trim_strips_every_white_space(spark):
-    assert one(spark, T.trimmed(X), x="\n\t  a b \r\n﻿") == "a b"
-    assert one(spark, T.squeezed(X), x=" a\n\n b c ") == "a b c"
+    assert one(spark, T.trimmed(X), x="\n\t\u00a0\u3000 a\u00a0b \r\n\ufeff") == "a\u00a0b"
+    assert one(spark, T.squeezed(X), x=" a\n\n b\u00a0\u2003c d\te ") == "a b c d e"
 
 
 def test_no_break_space_counts_as_space_in_patterns(spark):
-    assert one(spark, F.regexp_extract(X, r"Salary:[\h\v]*(\d+)", 1), x="Salary: 450") == "450"
+    assert one(spark, F.regexp_extract(X, r"Salary:[\h\v]*(\d+)", 1), x="Salary:\u00a0450") == "450"
 
 
 def test_first_match_and_keywords(spark):
