@@ -1,7 +1,5 @@
 """Queries over the seen store, ledgers, joins by key and de-duplication."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from jobsieve.operators import keyed as K
@@ -15,7 +13,11 @@ P = ("fx_postings",)
 CUTOFF = "DATE '1998-01-01'"
 EARLIER = f"seen AS (SELECT DISTINCT posting_id FROM fx_postings WHERE scraped_at < {CUTOFF} AND posting_id <> '')"
 URL_ID = "regexp_extract(url, 'cls/(\\d+)\\.html', 1)"
-NOW = dt.datetime(2024, 1, 28)
+
+
+def day(text):
+    """Start of a day, whatever the session's time zone."""
+    return F.expr(f"TIMESTAMP_NTZ '{text} 00:00:00'")
 
 
 def earlier(spark, sf):
@@ -78,9 +80,9 @@ SELECT posting_id, title, url, 'old' AS written FROM old WHERE posting_id NOT IN
 UNION ALL SELECT posting_id, title, url, 'new' FROM new""")
 def upsert_seen(spark, sf):
     ev, order = events(spark, sf), [F.desc("scraped_at"), "url"]
-    old = K.seen_rows(ev.where("scraped_at < TIMESTAMP_NTZ '2024-01-10'"), F.lit(dt.datetime(2024, 1, 10)), order)
-    new = K.seen_rows(ev.where("scraped_at >= TIMESTAMP_NTZ '2024-01-28'"), F.lit(NOW), order)
-    written = F.when(F.col("last_updated") == F.lit(NOW), "new").otherwise("old")
+    old = K.seen_rows(ev.where("scraped_at < TIMESTAMP_NTZ '2024-01-10'"), day("2024-01-10"), order)
+    new = K.seen_rows(ev.where("scraped_at >= TIMESTAMP_NTZ '2024-01-28'"), day("2024-01-28"), order)
+    written = F.when(F.col("last_updated") == day("2024-01-28"), "new").otherwise("old")
     return K.upsert_seen(old, new).select("posting_id", "title", "url", written.alias("written"))
 
 
@@ -107,20 +109,20 @@ def merge_sightings(spark, sf):
 
 @query("purge_seen", f"WITH {EVENTS}, {STORE} SELECT posting_id, url FROM st WHERE last_updated >= TIMESTAMP '2024-01-21'")
 def purge_seen(spark, sf):
-    return K.purge_seen(store(spark, sf), F.lit(NOW)).select("posting_id", "url")
+    return K.purge_seen(store(spark, sf), day("2024-01-28")).select("posting_id", "url")
 
 
 @query("purge_counts", f"""
 WITH {EVENTS}, {STORE} SELECT count(*) FILTER (WHERE last_updated < TIMESTAMP '2024-01-28') AS purged,
   count(*) FILTER (WHERE last_updated >= TIMESTAMP '2024-01-28') AS kept FROM st""")
 def purge_counts(spark, sf):
-    return K.purge_counts(store(spark, sf), F.lit(dt.datetime(2024, 2, 4)))
+    return K.purge_counts(store(spark, sf), day("2024-02-04"))
 
 
 @query("seen_stats", f"""
 WITH {EVENTS}, {STORE} SELECT count(*) AS total_tracked_jobs, count(*) FILTER (WHERE last_updated > TIMESTAMP '2024-01-27') AS recent_jobs_24h FROM st""")
 def seen_stats(spark, sf):
-    return K.seen_stats(store(spark, sf), F.lit(NOW))
+    return K.seen_stats(store(spark, sf), day("2024-01-28"))
 
 
 ASKED = "asked AS (SELECT DISTINCT concat(CAST(user_id AS VARCHAR), '-', substring(event_type, 1, 2)) AS posting_id FROM events)"
