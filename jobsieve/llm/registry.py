@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import near_dedup, quality_rules, sharding
+from jobsieve.llm import near_dedup, quality_rules, quality_trees, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_rules(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
-    found = (op1_minhash_groups, op3_divergence_rules, op10_feistel_shards,)
+    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op10_feistel_shards,)
     return {f.__name__: f for f in found}, {}
