@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import near_dedup, quality_rules, quality_trees, sharding
+from jobsieve.llm import byte_bpe, near_dedup, quality_rules, quality_trees, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,15 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.document_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
-    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op10_feistel_shards,)
+    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op5_byte_bpe, op10_feistel_shards,)
     return {f.__name__: f for f in found}, {}
