@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import byte_bpe, license_scan, near_dedup, quality_rules, quality_trees, sharding
+from jobsieve.llm import byte_bpe, decontamination, license_scan, near_dedup, quality_rules, quality_trees, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,11 +35,15 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.document_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
-    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op5_byte_bpe, op6_license_diagonals, op10_feistel_shards,)
+    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op5_byte_bpe, op6_license_diagonals, op9_template_leaks, op10_feistel_shards,)
     return {f.__name__: f for f in found}, {}
