@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import byte_bpe, decontamination, license_scan, near_dedup, quality_rules, quality_trees, sharding
+from jobsieve.llm import (
+    byte_bpe, decontamination, license_scan, near_dedup, pseudo_likelihood, quality_rules, quality_trees, sharding)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.document_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.document_tokens(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
-    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op5_byte_bpe, op6_license_diagonals, op9_template_leaks, op10_feistel_shards,)
+    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op4_pseudo_likelihood, op5_byte_bpe, op6_license_diagonals, op9_template_leaks, op10_feistel_shards,)
     return {f.__name__: f for f in found}, {}
