@@ -242,3 +242,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     return rows.join(groups, "id", "left").select(
         F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"),
         F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that of the smallest id; the rows with their own columns.
+
+    Of several rows with one id the one with the smallest text stays. Rows with a NULL id stay.
+    """
+    groups = saved(near_duplicates(docs, size, id_col, text_col), "groups")
+    key = F.col(f"`{id_col}`")
+    dropped = small_side(saved(groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped"))
+    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1")
+    again = small_side(saved(again.select(id_col), "repeated"))
+    rows = docs.join(dropped, id_col, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = (rows.join(again, id_col, "left_semi").groupBy(key.alias("id"))
+                .agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row")).select("row.*"))
+    return rows.join(again, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).union(repeated)
