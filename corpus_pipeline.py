@@ -1,25 +1,62 @@
-"""Corpus pipeline: stages from raw documents to encoded, clean ones.
+"""Corpus pipeline: from raw documents to clean, encoded ones.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
-next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's documents. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from jobsieve.llm import byte_bpe, decontamination, near_dedup, quality_rules, quality_trees
 from jobsieve.session import scratch_path
 
-STAGES: list = []
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.kept_documents(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled ones among them, does not reject."""
+    return quality_trees.kept_documents(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 and more)."""
+    return near_dedup.kept_documents(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontamination.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, packed token ids, their number, and digests of the ids and of the decoded bytes."""
+    rows = byte_bpe.with_text(byte_bpe.with_ids(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    return rows.select("doc_id", "lang", "source", "ids",
+                       F.call_function("div", F.octet_length("ids"), F.lit(4)).cast("bigint").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near duplicates", near_duplicates),
+          ("decontamination", decontaminate), ("byte-level BPE", encode)]
+
+# SQL has no counterpart of the classifier and of the tokenizer; tests/llm holds a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the rows of the last one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
