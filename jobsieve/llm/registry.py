@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsieve.llm import (
-    byte_bpe, decontamination, license_scan, near_dedup, pseudo_likelihood, quality_rules, quality_trees, sharding)
+    byte_bpe, decontamination, license_scan, near_dedup, pseudo_likelihood, quality_rules, quality_trees, revisits,
+    sharding, token_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,14 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.document_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.page_revisits(_table(spark, sf_dir, "pages"))
+
+
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +59,6 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
-    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op4_pseudo_likelihood, op5_byte_bpe, op6_license_diagonals, op9_template_leaks, op10_feistel_shards,)
-    return {f.__name__: f for f in found}, {}
+    found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op4_pseudo_likelihood, op5_byte_bpe,
+             op6_license_diagonals, op7_revisits, op8_separator_scan, op9_template_leaks, op10_feistel_shards)
+    return {f.__name__: f for f in found}, {"op7_revisits": revisits.PAGE_REVISITS_SQL}
