@@ -4,7 +4,7 @@ Pre-tokenisation needs no regex. Code points become classes by one table lookup;
 (contractions, the last white space of a run) is folded into the classes. Each class is a transition function of a
 small automaton; functions are composed by a table, blocks are composed in parallel and joined by a prefix scan, and
 the state before every character tells whether a token starts there. The resulting byte slices go through a cache
-of merged pieces. Tokens of a text cover its bytes without gaps, so their end offsets locate any token range.
+of merged pieces; new pieces are merged side by side, as rows of a matrix. Tokens of a text cover its bytes without gaps, so their end offsets locate any token range.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CACHE = 200_000         # pieces that a worker remembers
 CACHED_BYTES = 64       # longer pieces are not remembered
 HEAP_FROM = 48          # pieces of more bytes are merged with a heap
 
+NONE = 1 << 40          # rank of a pair that makes no token
+
 # Letters and numbers that Unicode 16 added to the tables of Python (ranges, both ends included).
 NEW_LETTERS = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
@@ -170,21 +172,66 @@ class Vocabulary:
         self.lengths = np.array([len(p) for p in pieces])
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.known: dict[bytes, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: the pair of lowest rank, the leftmost first, is merged until none is left."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        if len(piece) > HEAP_FROM:
-            return self._merge_long(piece)
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        self._pair_tables(pieces)
+
+    def _pair_tables(self, pieces: list[bytes]) -> None:
+        """Rank of two tokens that make a third one: a full table for bytes, sorted keys for the rest."""
+        ranks, keys, values = self.ranks, [], []
+        for rank, piece in enumerate(pieces):
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    values.append(rank)
+        order = np.argsort(keys)
+        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.int64(-1))
+        self.pair_ranks = np.append(np.array(values, np.int64)[order], NONE)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pairs = self._rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys[:-1], key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces. In every round each piece merges its pair of lowest rank, the leftmost first.
+
+        Pieces of one length are the rows of a matrix. A row that goes on loses one column in each round, so all of
+        them keep one width; rows without a pair to merge leave.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        by_length: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if len(piece) > HEAP_FROM:
+                out[i] = np.array(self._merge_long(piece), "<u4").tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append(i)
+        for width, members in by_length.items():
+            rows = np.array(members)
+            raw = np.frombuffer(b"".join([pieces[i] for i in members]), np.uint8).reshape(len(rows), width)
+            ids = self.byte_ids[raw]
+            pairs = self.byte_pairs[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]]
+            while len(rows):
+                at = pairs.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+                rank = pairs[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
+                done = rank == NONE
+                packed = ids[done].astype("<u4").tobytes()
+                for k, i in enumerate(rows[done].tolist()):
+                    out[i] = packed[4 * width * k:4 * width * (k + 1)]
+                rows, ids, pairs, at, rank = rows[~done], ids[~done], pairs[~done], at[~done], rank[~done]
+                if not len(rows):
+                    break
+                width, line, column = width - 1, np.arange(len(rows)), np.arange(width - 1)
+                ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)
+                ids[line, at] = rank
+                column = column[:-1]
+                pairs = np.take_along_axis(pairs, column + (column >= at[:, None]), 1)
+                near = np.flatnonzero(at > 0)
+                pairs[near, at[near] - 1] = self._rank_of(ids[near, at[near] - 1], rank[near])
+                near = np.flatnonzero(at < width - 1)
+                pairs[near, at[near]] = self._rank_of(rank[near], ids[near, at[near] + 1])
+        return out
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
@@ -215,15 +262,18 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def packed(self, piece: bytes) -> bytes:
-        """Ids of a piece as little-endian unsigned 32-bit integers."""
-        found = self.known.get(piece)
-        if found is None:
-            found = np.array(self.merge(piece), "<u4").tobytes()
-            if len(piece) <= CACHED_BYTES:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = found
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every piece as little-endian unsigned 32-bit integers; each different piece is merged once."""
+        different = set(pieces)
+        new = [p for p in different if p not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(different)
+        self.known.update(zip(new, self.merge_many(new)))
+        found = [self.known[p] for p in pieces]
+        for piece in new:
+            if len(piece) > CACHED_BYTES:
+                del self.known[piece]
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -247,8 +297,8 @@ class Vocabulary:
         starts = token_starts(codes, first)
         width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
         at = np.concatenate([[0], np.cumsum(width)])[np.append(starts, len(codes))].tolist()
-        raw, packed = joined.encode("utf-8", "surrogatepass"), self.packed
-        found = [packed(raw[a:b]) for a, b in zip(at, at[1:])]
+        raw = joined.encode("utf-8", "surrogatepass")
+        found = self.packed([raw[a:b] for a, b in zip(at, at[1:])])
         bounds = [*np.searchsorted(starts, first).tolist(), len(found)]
         for i, a, b in zip(chunk, bounds, bounds[1:]):
             out[i] = b"".join(found[a:b])

@@ -8,10 +8,8 @@ there are fewer words than a shingle has; none for an empty or NULL text, which
   table key. TABLES ** 2 tables cost only 2 * TABLES * HASHES hash values. A pair of similarity s shares a key with
   probability (1 - (1 - s**HASHES)**TABLES)**2, that is 0.9997 at 0.8 and more above.
 * In every bucket all members are compared with its smallest member. Most groups are whole then.
-* Where a bucket still holds several components, its members are compared across components. Pairs inside one
-  component, which would grow with the square of a group, are never made. Of the others only those are compared
-  that share one of their rarest shingles (prefix filter) at places that allow a link (positional filter); both
-  filters are exact, so no candidate pair is lost.
+* Where a bucket still holds several components, its members are compared across components, in blocks. Pairs
+  inside one component, which would grow with the square of a group, are never made, and no pair is a row.
 * A pair is a link if 100 * |intersection| >= 80 * |union| on the full sets. Components of the links are the groups.
 """
 
@@ -24,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm.common import saved, small_side
@@ -39,6 +37,9 @@ SEED = 7
 KNOWN = 20_000
 # Pairs that a task compares with their texts in memory.
 CELL = 1_000
+# Nodes in a block, and shingles in a block's matrix.
+BLOCK = 256
+COLUMNS = 4096
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -155,35 +156,84 @@ def _similar(x: frozenset, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (small + large - shared)
 
 
-def _mixed(members: DataFrame, key: str) -> DataFrame:
-    """The rows whose key stands with several components, with `main`, the component of most of its rows."""
-    parts = members.groupBy(key, "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = (parts.groupBy(key).agg(F.max_by("component", F.struct("rows", "component")).alias("main"),
-                                    F.count(F.lit(1)).alias("parts")).where("parts > 1").select(key, "main"))
-    return members.join(mixed, key)
+def _crossing(x: list, y: list) -> list[tuple[int, int]]:
+    """Links between two blocks of (id, component, shingle hashes), one for each id of x and component of y.
 
-
-def prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """`node`, `shingle`, `at`, `n`: the rarest shingles of each text, as many as a link must share one of.
-
-    Two sets of similarity PERCENT share a shingle among the first n - ceil(n * PERCENT / 100) + 1 of each, when
-    all sets are ordered alike; here from the rarest shingle to the most frequent.
+    Intersections are counted by products of 0/1 matrices over the shingles that both blocks have.
     """
+    def entries(side):
+        values = np.concatenate([r[2] for r in side])
+        return values, np.repeat(np.arange(len(side)), [len(r[2]) for r in side])
+
+    (vx, rx), (vy, ry) = entries(x), entries(y)
+    words = np.intersect1d(vx, vy)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    spots = []
+    for values, rows in ((vx, rx), (vy, ry)):
+        at = np.searchsorted(words, values)
+        good = np.flatnonzero(at < len(words))
+        good = good[words[at[good]] == values[good]]
+        order = good[np.argsort(at[good], kind="stable")]
+        spots.append((at[order], rows[order]))
+    for low in range(0, len(words), COLUMNS):
+        sides = []
+        for (at, rows), n in zip(spots, (len(x), len(y))):
+            a, b = np.searchsorted(at, [low, low + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(words) - low)), np.float32)
+            m[rows[a:b], at[a:b] - low] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    sizes = np.array([len(r[2]) for r in x])[:, None] + np.array([len(r[2]) for r in y])[None, :]
+    apart = np.array([r[1] for r in x])[:, None] != np.array([r[1] for r in y])[None, :]
+    found = {}
+    for i, j in np.argwhere((100 * shared >= PERCENT * (sizes - shared)) & apart).tolist():
+        found.setdefault((x[i][0], y[j][1]), (x[i][0], y[j][0]))
+    return list(found.values())
+
+
+def crossing_links(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links between components that meet in a bucket. `members`: key, node, component.
+
+    A bucket belongs to its largest component. All nodes of a component's buckets that lie outside it are compared
+    with all nodes of these buckets, block by block; a task holds the texts of two blocks of BLOCK nodes.
+    """
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = (parts.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"),
+                                      F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"))
+    nodes = saved(members.join(mixed, "key").select("main", "node", "component").distinct(), "nodes")
+    outside = F.col("component") != F.col("main")
+    blocks = nodes.groupBy("main").agg(F.ceil(F.count(F.when(outside, 1)) / BLOCK).alias("bx"),
+                                       F.ceil(F.count(F.lit(1)) / BLOCK).alias("by"))
+    nodes = nodes.join(blocks, "main")
+
+    def side(rows: DataFrame, no: int, own: str, other: str) -> DataFrame:
+        return rows.select("main", F.lit(no).alias("side"), "node", "component",
+                           F.pmod(F.xxhash64("node"), F.col(own)).alias(f"{own}_"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(f"{other}_"))
+
+    columns = ["main", "bx_", "by_", "side", "node", "component"]
+    rows = (side(nodes.where(outside), 0, "bx", "by").select(*columns)
+            .union(side(nodes, 1, "by", "bx").select(*columns))
+            .join(texts.withColumnRenamed("id", "node"), "node"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingle_hashes(word_list(text), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), i)), pa.array(np.full(len(found), len(found))), pa.array(found)],
-                    ["node", "n", "shingle"])
+        cell, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = _crossing(*sides) if all(sides) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()),
+                                               pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "node long, n long, shingle long")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    order = Window.partitionBy("node", "n").orderBy("texts", "shingle")
-    rows = (rows.join(often, "shingle", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
-            .withColumn("at", F.row_number().over(order)))
-    first = F.col("n") - F.call_function("div", F.col("n") * PERCENT + 99, F.lit(100)) + 1
-    return rows.where((F.col("at") <= first) & (F.col("texts") > 1)).select("node", "shingle", "at", "n")
+        for batch in batches:
+            for main, bx, by, no, node, component, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (main, bx, by) != cell:
+                    yield links()
+                    cell, sides = (main, bx, by), ([], [])
+                sides[no].append((node, component, shingle_hashes(word_list(text), size)))
+        yield links()
+
+    return (rows.select(*columns, "text").repartition("main", "bx_", "by_").sortWithinPartitions("main", "bx_", "by_")
+            .mapInArrow(run, "a long, b long"))
 
 
 def representative_links(reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -193,33 +243,23 @@ def representative_links(reps: DataFrame, texts: DataFrame, size: int) -> DataFr
     """
     first, second = F.slice("half", 1, TABLES), F.slice("half", TABLES + 1, TABLES)
     tables = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x, y))))
-    keys = reps.select("node", F.explode(tables).alias("key"))
+    # Spread before unfolding: a row becomes TABLES ** 2 rows.
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = reps.repartition(tasks, "node").select("node", F.explode(tables).alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     members = saved(keys.join(hubs.select("key", "hub"), "key"), "buckets")
 
     # Every member with the smallest one of its bucket.
-    tried = saved(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    wanted = tried.select(F.col("a").alias("id")).union(tried.select(F.col("b").alias("id"))).distinct()
+    pairs = saved(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = saved(texts.join(small_side(saved(wanted, "ids")), "id"), "texts")
-    links = saved(linked(tried, texts, size), "links")
+    links = saved(linked(pairs, texts, size), "links")
 
-    # What shares a bucket with another component: candidates by shared rare shingles, between components.
+    # What shares a bucket with another component.
     groups = components(links).select("node", "component")
-    labelled = members.select("key", "node").join(groups, "node", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
-    nodes = saved(_mixed(labelled, "key").select("node", "component").distinct(), "nodes")
-    rest = texts.join(small_side(nodes.select(F.col("node").alias("id"))), "id")
-    rows = saved(_mixed(prefixes(rest, size).join(nodes, "node"), "shingle"), "prefixes")
-    x = rows.where("component <> main").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "at", "n")])
-    y = rows.select("shingle", "main", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "at", "n")])
-    most = (F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")))
-    pairs = (x.join(y, "shingle").where(
-        (F.col("component_x") != F.col("component_y"))
-        & ((F.col("component_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
-        & (100 * most >= PERCENT * (F.col("n_x") + F.col("n_y") - most)))
-        .select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct())
-    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links.union(saved(linked(pairs, texts, size), "links"))
+    members = members.select("key", "node").join(groups, "node", "left")
+    members = members.withColumn("component", F.coalesce("component", "node"))
+    return links.union(saved(crossing_links(members, texts, size), "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
