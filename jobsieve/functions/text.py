@@ -105,6 +105,16 @@ def first_number(c: Column) -> Column:
     return blank_to_null(F.regexp_extract(c, "([0-9]+)", 1)).try_cast("bigint")
 
 
+def digits_as_double(c: Column) -> Column:
+    """All digits of the text as one number of any length, rounded as a DOUBLE is; NULL without digits."""
+    return blank_to_null(F.regexp_replace(c, "[^0-9]", "")).try_cast("double")
+
+
+def first_number_as_double(c: Column) -> Column:
+    """The first run of digits as a number of any length; NULL without digits."""
+    return blank_to_null(F.regexp_extract(c, "([0-9]+)", 1)).try_cast("double")
+
+
 def half_up_ratio(part: Column, whole: Column, scale: int = 1) -> Column:
     """`scale * part / whole` rounded half up, in integer arithmetic; 0 for an empty whole.
 

@@ -132,10 +132,11 @@ def merge_sightings(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lookup_seen(keys: DataFrame, seen: DataFrame) -> DataFrame:
-    """Store record of each asked id (bulk lookup); `found` tells whether there is one."""
-    record = seen.withColumn("_found", F.lit(True))
-    out = keys.join(record, "posting_id", "left")
-    return out.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+    """Store record of each asked id (bulk lookup); `found` tells whether there is one. Blank ids match nothing."""
+    record = (seen.where(F.col("posting_id") != "").withColumnRenamed("posting_id", "_k")
+              .withColumn("_h", F.xxhash64("_k")).withColumn("_found", F.lit(True)))
+    out = _row_key(keys, F.col("posting_id")).join(record, ["_k", "_h"], "left")
+    return out.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_k", "_h", "_found")
 
 
 def has_seen(keys: DataFrame, seen: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ from jobsieve.operators.keyed import dedup
 BLOCK_START = r"(?i)(?=</?(?:li|tr|td|p|div)[\s>])"
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>"""
 ANCHOR_TEST = r"(?i)<a\s"
-# A city table beyond this many rows is joined without a broadcast hint.
-SMALL_TABLE_ROWS = 10_000
 
 
 def _anchors(block: Column) -> Column:
@@ -195,8 +193,6 @@ def city_listing(links: DataFrame, cities: dict[str, str], base: str) -> DataFra
     `links` come from `extract_links` and carry the page address as `url`.
     """
     table = city_table(links.sparkSession, cities)
-    if len(cities) <= SMALL_TABLE_ROWS:
-        table = F.broadcast(table)
     tagged = posting_links(links.join(table, "url"), paths=(tags.POSTING_PATH,))
     once = dedup(tagged.withColumn("_key", F.concat_ws("\u0001", "city", "href")), "_key", ("page_id", "pos"),
                  null_key="collapse")

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobsieve.functions.text import contains_ci, digits_as_long, first_number, non_empty, trimmed
+from jobsieve.functions.text import (
+    contains_ci, digits_as_double, digits_as_long, first_number, first_number_as_double, non_empty, trimmed)
 from jobsieve.session import checkpointed
 
 SEARCH_COLUMNS = ("title", "description", "company", "location")
 FILE_ORDER = ("scraped_at", "posting_id", "url")
-# A slice that ends within this many rows is read by a top-k; later ones by row position.
-TOP_ROWS = 100_000
 
 
 def search(df: DataFrame, term: str | None) -> DataFrame:
@@ -41,11 +40,20 @@ def salary_number(mode: str = "all_digits", name: str = "salary") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def salary_size(mode: str = "all_digits", name: str = "salary") -> Column:
+    """Salary for comparisons, with as many digits as the text has (`salary_number` ends at BIGINT)."""
+    if mode == "all_digits":
+        return digits_as_double(F.col(name))
+    if mode == "first_number":
+        return first_number_as_double(F.col(name))
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def min_salary(df: DataFrame, n: int | None, mode: str = "all_digits") -> DataFrame:
     """Salary of at least n. Rows with a blank salary stay, rows with words only go."""
     if not n:
         return df
-    return df.where((trimmed(F.col("salary")) == "") | (salary_number(mode) >= n))
+    return df.where((trimmed(F.col("salary")) == "") | (salary_size(mode) >= n))
 
 
 def checked_limit(n: int | None) -> int | None:
@@ -94,7 +102,7 @@ def query_info(df: DataFrame, term: str | None = None, place: str | None = None,
     if place:
         match = match & contains_ci(F.col("location"), place)
     if salary_min:
-        match = match & ((trimmed(F.col("salary")) == "") | (salary_number() >= salary_min))
+        match = match & ((trimmed(F.col("salary")) == "") | (salary_size() >= salary_min))
     counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(match).alias("matched_rows"))
     matched = F.col("matched_rows")
     returned = matched if limit is None else F.least(matched, F.lit(limit).cast("bigint"))
@@ -147,8 +155,10 @@ def n_batches(df: DataFrame, size: int) -> DataFrame:
 
 
 def batch(df: DataFrame, offset: int, size: int, order: Sequence[str | Column] = FILE_ORDER) -> DataFrame:
-    """Rows offset .. offset+size-1 of the ordered list."""
-    if checked_limit(offset) + checked_limit(size) <= TOP_ROWS:
-        return df.orderBy(*order).offset(offset).limit(size)
+    """Rows offset .. offset+size-1 of the ordered list, in that order, which must tell rows apart.
+
+    One way for all offsets: by row position, so no task gathers the rows before the slice.
+    """
+    stop = checked_limit(offset) + checked_limit(size)
     at = with_position(df, order, "_pos")
-    return at.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + size)).drop("_pos")
+    return at.where((F.col("_pos") >= offset) & (F.col("_pos") < stop)).orderBy("_pos").drop("_pos")

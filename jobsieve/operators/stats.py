@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions.text import blank_to_null, non_empty, trimmed
-from jobsieve.operators.query import salary_number
+from jobsieve.operators.query import salary_number, salary_size
 from jobsieve.session import checkpointed
 
 COVERAGE_FIELDS = (
@@ -35,7 +35,7 @@ def posting_counts(df: DataFrame) -> DataFrame:
     """One row: all, with a salary above 0, with contact, with e-mail, sponsored."""
     return df.agg(
         F.count(F.lit(1)).alias("total_jobs"),
-        F.count(_positive_salary()).alias("jobs_with_salary"),
+        F.count_if(salary_size() > 0).alias("jobs_with_salary"),
         F.count_if(_present("contact")).alias("jobs_with_contact"),
         F.count_if(_present("email")).alias("jobs_with_email"),
         F.count_if(F.col("is_sponsored") == "Yes").alias("sponsored_jobs"))

@@ -25,6 +25,15 @@ def min_salary(spark, sf):
     return Q.min_salary(fx_postings(spark, sf), 5000).select("url", "salary")
 
 
+LONG = "concat(salary, ', call 0512345678 or 0512345679')"
+LONG_NUM = f"try_cast(nullif(regexp_replace({LONG}, '[^0-9]', '', 'g'), '') AS DOUBLE)"
+
+
+@query("min_salary_long_digits", f"SELECT url, {LONG} AS salary FROM fx_postings WHERE {LONG_NUM} >= 5000", P)
+def min_salary_long_digits(spark, sf):
+    return Q.min_salary(fx_postings(spark, sf).withColumn("salary", F.expr(LONG)), 5000).select("url", "salary")
+
+
 @query("min_salary_first_number", """
 SELECT url, salary FROM fx_postings
 WHERE trim(salary) = '' OR try_cast(nullif(regexp_extract(salary, '([0-9]+)', 1), '') AS BIGINT) >= 2000""", P)

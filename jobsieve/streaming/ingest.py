@@ -100,7 +100,7 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
                 append_seen_log(seen_rows(written, now, [F.desc("scraped_at"), "url"]), paths.seen, day, batch_id)
             log("success", found, new)
         except Exception as error:
-            log("failed", error=str(error)[:1000])
+            log("failed", error=str(error))
             raise
         finally:
             rows.unpersist()
