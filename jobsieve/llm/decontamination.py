@@ -14,6 +14,7 @@ in texts of the same length only.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from jobsieve.llm.common import saved, small_side
 WINDOW = 8
 LEAST_RUN = 13          # tokens in agreement; the whole item where it is shorter
 LEAST_SHARE = 0.6       # or this share of the item's tokens
-KNOWN = 200_000         # words a task remembers
+KNOWN = 200_000         # words a task remembers from one slice of texts to the next
+SLICE = 1_000_000       # characters of texts that are hashed at once
 
 # Units of measure and currency that stand in questions.
 UNITS = frozenset(
@@ -68,57 +70,97 @@ def tokens(text: str | None) -> tuple[list[str], list[str]]:
     return kinds, values
 
 
+class _Words(dict):
+    """Number of every word seen; by number: hash inside a sentence, hash at its start (0: no token), ends a sentence."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.inside, self.first, self.ends = array("Q"), array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        for hashes, starts in ((self.inside, False), (self.first, True)):
+            kind = canonical(word, starts)[0]
+            hashes.append(xxhash.xxh3_64_intdigest(kind) if kind else 0)
+        self.ends.append(word.endswith(_END))
+        self[word] = number = len(self)
+        return number
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of `size` tokens."""
+    n = max(len(h) - size + 1, 0)
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[j:j + n]
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class _Hasher:
-    """64-bit hashes of the canonical tokens of texts; remembers words."""
+    """64-bit hashes of the canonical tokens and windows of texts; looks at every different word once."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, bool]] = {}
-
-    def word(self, word: str) -> tuple[int, int, bool]:
-        """Hash inside a sentence, hash at its start (0: no token), and whether the word ends one."""
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        hashes = [xxhash.xxh3_64_intdigest(k) if (k := canonical(word, s)[0]) else 0 for s in (False, True)]
-        self.known[word] = found = (*hashes, word.endswith(_END))
-        return found
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        known, word, out = self.known, self.word, []
-        for line in (text or "").split("\n"):
-            starts = True
-            for w in line.split():
-                inside, first, ends = known.get(w) or word(w)
-                out.append(first if starts else inside)
-                starts = ends
-        out = np.array(out, np.uint64)
-        return out[out != 0]
-
-    def windows(self, text: str | None, size: int = WINDOW) -> np.ndarray:
-        """Hash of every window of tokens; a shorter text is one window."""
-        h = self.tokens(text)
-        n = max(len(h) - size + 1, min(len(h), 1))
-        out = np.full(n, min(len(h), size), np.uint64)
-        for j in range(min(size, len(h))):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
-            out ^= out >> np.uint64(29)
-        return out
+        self.words = _Words()
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the tokens of the texts, one text after the other, and the number of tokens of each."""
+        if len(self.words) >= KNOWN:
+            self.words = _Words()
+        number, numbers, lines, stops = self.words.__getitem__, [], [], []
+        for text in texts:
+            for line in (text or "").split("\n"):
+                lines.append(len(numbers))
+                numbers.extend(map(number, line.split()))
+            stops.append(len(numbers))
+        if not numbers:
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        at, lines = np.array(numbers, np.int64), np.array(lines)
+        starts = np.empty(len(at), bool)
+        starts[1:] = np.frombuffer(self.words.ends, np.uint8)[at[:-1]]
+        starts[lines[lines < len(at)]] = True
+        h = np.where(starts, np.frombuffer(self.words.first, np.uint64)[at],
+                     np.frombuffer(self.words.inside, np.uint64)[at])
+        good = h != 0
+        text_no = np.repeat(np.arange(len(texts)), np.diff(stops, prepend=0))
+        return h[good], np.bincount(text_no[good], minlength=len(texts))
+
+    def windows(self, texts: list[str | None], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every window of tokens of the texts, and the windows of each. A shorter text is one window."""
+        h, counts = self.tokens(texts)
+        sizes = np.maximum(counts - size + 1, np.minimum(counts, 1))
+        begin, place = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+        out, full = np.empty(sizes.sum(), np.uint64), np.where(counts >= size, sizes, 0)
+        within = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)
+        out[np.repeat(place, full) + within] = _rolled(h, size)[np.repeat(begin, full) + within]
+        for i in np.flatnonzero((counts > 0) & (counts < size)):
+            out[place[i]] = _rolled(h[begin[i]:begin[i] + counts[i]], int(counts[i]))[0]
+        return out, sizes
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Borders of slices of up to SLICE characters or one text."""
+    lo, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > SLICE and i > lo:
+            yield lo, i
+            lo, size = i, len(text or "")
+    yield lo, len(texts)
 
 
 def window_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys` (longs), `window` (hash), `at` and `tokens` for every window of the `text` column."""
+    """`keys` (longs), `window` (hash) and `at` for every window of the `text` column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
-            for lo in range(0, len(texts), 500):
-                found = [hasher.windows(t).view(np.int64) for t in texts[lo:lo + 500]]
-                sizes = np.array([len(f) for f in found])
-                if not sizes.sum():
-                    continue
-                row = np.repeat(np.arange(lo, lo + len(found)), sizes)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            for lo, hi in _slices(texts):
+                found, sizes = hasher.windows(texts[lo:hi])
+                row = pa.array(np.repeat(np.arange(lo, hi), sizes))
+                at = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).take(pa.array(row)) for k in range(len(keys))], pa.array(np.concatenate(found)),
+                    [*[batch.column(k).take(row) for k in range(len(keys))], pa.array(found.view(np.int64)),
                      pa.array(at.astype(np.int32))], [*keys, "window", "at"])
 
     return df.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", window long, at int")
