@@ -270,11 +270,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
     """
     rows = saved(profiles(docs, size, id_col, text_col), "profiles")
     sound = rows.where("id is not null and digest is not null")
-    same = sound.groupBy("digest").agg(F.min("id").alias("node"), F.max("id").alias("last"))
-    reps = saved(sound.join(same.select("digest", "node"), "digest").where("id = node")
-                 .select("node", "half", "digest").dropDuplicates(["node", "digest"]), "reps")
+    # Equal words have equal half keys: any row's will do, and copies are combined before the shuffle.
+    reps = saved(sound.groupBy("digest").agg(F.min("id").alias("node"), F.max("id").alias("last"),
+                                             F.first("half").alias("half")), "reps")
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    copies = (sound.join(same.where("node < last"), "digest").where("id > node")
+    # Both sides are tables here, so Spark can split the rows of a text with very many copies.
+    copies = (sound.join(reps.where("node < last").select("digest", "node"), "digest").where("id > node")
               .select(F.col("id").alias("a"), F.col("node").alias("b")).distinct())
     near = representative_links(reps.select("node", "half"), texts, size)
     groups = components(near.union(copies)).select(F.col("node").alias("id"), "component").distinct()
