@@ -185,8 +185,9 @@ def fit(codes: np.ndarray, n: np.ndarray, seed: int = SEED) -> Network:
 
 def train(docs: DataFrame, text_col: str = "text") -> Network:
     """The network of a corpus. Counts arrive ordered, so equal corpora give equal networks."""
-    rows = window_counts(docs, text_col).orderBy("code").toPandas()
-    return fit(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float32))
+    # As Arrow batches: at most CONTEXTS * TOKENS cells of 12 bytes, no Python object for any of them.
+    rows = window_counts(docs, text_col).orderBy("code").toArrow()
+    return fit(rows["code"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.float32))
 
 
 def text_scores(table: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
