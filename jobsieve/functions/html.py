@@ -20,7 +20,8 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 UNSEEN = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
-COMMENTS = r"(?s)<!--.*?-->"
+# What stands behind an opening without an end is kept as group 1: if one has no end, no later one has.
+COMMENTS = r"(?s)<!--.*?-->|(<!--.*)"
 TAG = r"(?s)<[^>]*>"
 HEAD = r"(?is)^.*?<body[^>]*>"
 
@@ -44,7 +45,7 @@ def without_unseen(html: Column) -> Column:
 
 def body_text(html: Column, keep_scripts: bool = False) -> Column:
     """Text content of the body; script text only on request."""
-    cleaned = F.regexp_replace(html, COMMENTS, "") if keep_scripts else without_unseen(html)
+    cleaned = F.regexp_replace(html, COMMENTS, "$1") if keep_scripts else without_unseen(html)
     return without_tags(F.regexp_replace(cleaned, HEAD, ""))
 
 
