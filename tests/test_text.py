@@ -66,3 +66,12 @@ def test_last_line_value(spark):
     value = T.last_line_value(lines, lambda s: F.when(s.startswith("a"), s))
     assert one(spark, value, x="a1\n b \n  a2 \nc") == "a2"
     assert one(spark, value, x="b") is None
+
+
+def test_comments_without_an_end_stay(spark):
+    from jobsieve.functions.html import body_text
+
+    pages = {"<!-- a --> x <!-- y <p>z": " x z", "a<!--b-->c<!--d-->e": "ace", "plain": "plain", "": ""}
+    rows = spark.createDataFrame([(h,) for h in pages], "h string")
+    got = {r["h"]: r["t"] for r in rows.select("h", body_text(F.col("h"), keep_scripts=True).alias("t")).collect()}
+    assert got == pages
