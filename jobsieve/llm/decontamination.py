@@ -2,17 +2,17 @@ r"""Benchmark decontamination by template canonicalisation.
 
 Words of documents and benchmark items become canonical tokens: numbers, units and names turn into typed
 placeholders, other words lose case and punctuation. Every window of WINDOW tokens is hashed and joined to the
-windows of the benchmark. Hits that agree on the shift between document and item form a candidate span. The span is
+windows of the benchmark; for items that may be told by fewer tokens, windows of so many tokens too. Hits that agree on the shift between document and item form a candidate span. The span is
 verified on the texts: tokens must agree over LEAST_RUN tokens or the whole item, and slots must be filled
 consistently (one value of the item always stands for one value in the document). So a question is found again when
 its numbers, names and units are changed, and the result tells exact copies from re-parameterised ones.
 
-NULL and empty texts have no tokens. A text of fewer than WINDOW tokens is one shorter window, so shorter items are found
-in texts of the same length only.
+NULL and empty texts have no tokens.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.common import saved, small_side
+from jobsieve.llm.common import BROADCAST_ROWS, saved, small_side
 
 WINDOW = 8
 LEAST_RUN = 13          # tokens in agreement; the whole item where it is shorter
 LEAST_SHARE = 0.6       # or this share of the item's tokens
 KNOWN = 200_000         # words a task remembers from one slice of texts to the next
 SLICE = 1_000_000       # characters of texts that are hashed at once
+FILTER_BITS = 16        # places of the filter for each window of the benchmark
 
 # Units of measure and currency that stand in questions.
 UNITS = frozenset(
@@ -125,17 +126,22 @@ class _Hasher:
         text_no = np.repeat(np.arange(len(texts)), np.diff(stops, prepend=0))
         return h[good], np.bincount(text_no[good], minlength=len(texts))
 
-    def windows(self, texts: list[str | None], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window of tokens of the texts, and the windows of each. A shorter text is one window."""
-        h, counts = self.tokens(texts)
-        sizes = np.maximum(counts - size + 1, np.minimum(counts, 1))
-        begin, place = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
-        out, full = np.empty(sizes.sum(), np.uint64), np.where(counts >= size, sizes, 0)
-        within = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)
-        out[np.repeat(place, full) + within] = _rolled(h, size)[np.repeat(begin, full) + within]
-        for i in np.flatnonzero((counts > 0) & (counts < size)):
-            out[place[i]] = _rolled(h[begin[i]:begin[i] + counts[i]], int(counts[i]))[0]
-        return out, sizes
+
+def least_run(size: int) -> int:
+    """Tokens in a row that must agree for an item of `size` tokens."""
+    return min(LEAST_RUN, size, math.ceil(LEAST_SHARE * size))
+
+
+# By the size of the item; the last one holds for all larger items.
+_LENGTHS = np.array([min(WINDOW, least_run(size)) for size in range(math.ceil(WINDOW / LEAST_SHARE) + 1)])
+
+
+def _windows(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and first token of every window of `size` tokens that lies in one text."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    first = np.flatnonzero(text[:max(len(h) - size + 1, 0)] == text[size - 1:])
+    text = text[first]
+    return _rolled(h, size)[first], text, first - (np.cumsum(counts) - counts)[text]
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -149,19 +155,54 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     yield lo, len(texts)
 
 
-def window_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys` (longs), `window` (hash) and `at` for every window of the `text` column."""
+def item_windows(items: DataFrame) -> DataFrame:
+    """item, window (hash), place and length for the windows of the items; the length follows from the item's size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for batch in batches:
+            h, counts = hasher.tokens(batch.column(1).to_pylist())
+            lengths = _LENGTHS[np.minimum(counts, len(_LENGTHS) - 1)]
+            for size in np.unique(lengths[lengths > 0]):
+                found, text, at = _windows(h, counts, int(size))
+                mine = lengths[text] == size
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text[mine])), pa.array(found[mine].view(np.int64)),
+                     pa.array(at[mine].astype(np.int32)), pa.array(np.full(mine.sum(), size, np.int32))],
+                    ["item", "window", "place", "length"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, window long, place int, length int")
+
+
+def _places(windows: DataFrame) -> np.ndarray | None:
+    """Filter of the hashes that the benchmark has, by their last bits; None where it would grow too large."""
+    if windows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    found = windows.select("window").toArrow().column(0).to_numpy().view(np.uint64)
+    out = np.zeros(1 << (FILTER_BITS * max(len(found), 1)).bit_length(), bool)
+    out[found & np.uint64(len(out) - 1)] = True
+    return out
+
+
+def window_rows(df: DataFrame, keys: list[str], lengths: list[int], places: np.ndarray | None = None) -> DataFrame:
+    """`keys` (longs), `window` (hash) and `at` for the windows of all `lengths` of the `text` column.
+
+    Windows that the filter `places` rules out are left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
             for lo, hi in _slices(texts):
-                found, sizes = hasher.windows(texts[lo:hi])
-                row = pa.array(np.repeat(np.arange(lo, hi), sizes))
-                at = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).take(row) for k in range(len(keys))], pa.array(found.view(np.int64)),
-                     pa.array(at.astype(np.int32))], [*keys, "window", "at"])
+                h, counts = hasher.tokens(texts[lo:hi])
+                for size in lengths:
+                    found, text, at = _windows(h, counts, size)
+                    if places is not None:
+                        known = places[found & np.uint64(len(places) - 1)]
+                        found, text, at = found[known], text[known], at[known]
+                    row = pa.array(text + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(k).take(row) for k in range(len(keys))], pa.array(found.view(np.int64)),
+                         pa.array(at.astype(np.int32))], [*keys, "window", "at"])
 
     return df.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", window long, at int")
 
@@ -200,8 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("_row"), F.crc32(text).alias("_sum"),
                        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
-    of_items = small_side(saved(window_rows(items, ["item"]).select("window", "item", F.col("at").alias("place")), "items"))
-    hits = window_rows(rows, ["_row", "_sum"]).join(of_items, "window")
+    of_items = saved(item_windows(items), "items")
+    lengths = sorted(r["length"] for r in of_items.select("length").distinct().collect())
+    hits = window_rows(rows, ["_row", "_sum"], lengths, _places(of_items)).join(small_side(of_items.drop("length")), "window")
     shifts = (hits.groupBy("_row", "_sum", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
         F.count(F.lit(1)).alias("votes")))
     per_text = shifts.groupBy("_row", "_sum", "item").agg(F.collect_set("shift").alias("shifts"))
@@ -217,8 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for f in found:
                     item = tokens(f["item_text"])
                     first, n, changed, slots = max((agreement(doc, item, s) for s in f["shifts"]), key=lambda x: (x[1], -x[0]))
-                    size = len(item[0])
-                    if n >= min(LEAST_RUN, size) or n >= LEAST_SHARE * size:
+                    if n >= least_run(len(item[0])):
                         out.append((i, f["item_id"], first, n, slots, changed))
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
