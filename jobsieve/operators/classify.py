@@ -50,27 +50,40 @@ def _class_counts():
     ]
 
 
-def page_breakdown(links: DataFrame) -> DataFrame:
-    """Class counts of every page with the sponsored share."""
-    out = links.groupBy("page_no").agg(*_class_counts())
+def _per_page(links: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Class counts of every page. Links are counted by page first; pages of `pages` without links add zeros."""
+    counts = links.groupBy("page_no").agg(*_class_counts())
+    if pages is None:
+        return counts
+    names = counts.columns[1:]
+    empty = pages.select("page_no", *[F.lit(0).cast("bigint").alias(c) for c in names])
+    return counts.unionByName(empty).groupBy("page_no").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def page_breakdown(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Class counts of every page with the sponsored share.
+
+    `pages` holds `page_no` of all pages visited; one without links counts 0. Without it only pages with links are known.
+    """
+    out = _per_page(links, pages)
     return out.withColumn("sponsored_pct", percent_1(F.col("sponsored"), F.col("total")))
 
 
-def class_totals(links: DataFrame) -> DataFrame:
-    """One row: pages, class counts and the share of links that got a class.
+def class_totals(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row: pages, class counts and the share of links that got a class. `pages`: see `page_breakdown`.
 
     Counts are taken per page first, so that counting pages needs no distinct over links.
     """
-    pages = links.groupBy("page_no").agg(*_class_counts())
-    out = pages.agg(
+    out = _per_page(links, pages).agg(
         F.count(F.lit(1)).alias("pages_analyzed"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "sponsored", "regular", "unknown")])
     return out.withColumn("classified_pct", percent_1(F.col("sponsored") + F.col("regular"), F.col("total")))
 
 
-def breakdown_with_total(links: DataFrame) -> DataFrame:
-    """Per-page and overall counts in one job; the overall row has a NULL page."""
-    out = links.rollup("page_no").agg(*_class_counts())
+def breakdown_with_total(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Per-page and overall counts in one job; the overall row has a NULL page. `pages`: see `page_breakdown`."""
+    counts = _per_page(links, pages)
+    out = counts.rollup("page_no").agg(*[F.sum(c).alias(c) for c in counts.columns[1:]])
     return out.withColumn("sponsored_pct", percent_1(F.col("sponsored"), F.col("total")))
 
 

@@ -27,8 +27,11 @@ def posting_link_table(pages: DataFrame, base: str, n_pages: int | None = None)
     return C.classify_links(links.drop("href"), "strict")
 
 
-def listing_report(links: DataFrame) -> ListingReport:
-    """All parts of the report over one classified link table."""
-    totals = C.class_totals(links)
-    return ListingReport(C.page_breakdown(links), totals, C.quality_band(totals), C.ending_patterns(links),
+def listing_report(links: DataFrame, pages: DataFrame | None = None) -> ListingReport:
+    """All parts of the report over one classified link table.
+
+    `pages` holds `page_no` of all pages visited, so that those without a posting link are counted too.
+    """
+    totals = C.class_totals(links, pages)
+    return ListingReport(C.page_breakdown(links, pages), totals, C.quality_band(totals), C.ending_patterns(links),
                          C.unknown_samples(links), C.detailed_links(links))

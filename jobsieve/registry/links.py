@@ -56,14 +56,14 @@ PCT = "CAST((2000 * ({a}) + ({b})) // (2 * ({b})) AS BIGINT) / 10.0::DOUBLE"
 WITH {STRICT_LINKS}, g AS (SELECT page_no, {COUNTS} FROM c GROUP BY 1)
 SELECT *, {PCT.format(a='sponsored', b='total')} AS sponsored_pct FROM g""", V)
 def page_breakdown(spark, sf):
-    return C.page_breakdown(strict_links(spark, sf))
+    return C.page_breakdown(strict_links(spark, sf), fx_links(spark, sf))
 
 
 @query("breakdown_with_total", f"""
 WITH {STRICT_LINKS}, g AS (SELECT page_no, {COUNTS} FROM c GROUP BY ROLLUP (page_no))
 SELECT *, {PCT.format(a='sponsored', b='total')} AS sponsored_pct FROM g""", V)
 def breakdown_with_total(spark, sf):
-    return C.breakdown_with_total(strict_links(spark, sf))
+    return C.breakdown_with_total(strict_links(spark, sf), fx_links(spark, sf))
 
 
 TOTALS = f"""{STRICT_LINKS}, g AS (SELECT count(DISTINCT page_no) AS pages_analyzed, {COUNTS} FROM c),
@@ -72,7 +72,7 @@ t AS (SELECT *, {PCT.format(a='sponsored + regular', b='total')} AS classified_p
 
 @query("class_totals", f"WITH {TOTALS} SELECT * FROM t", V)
 def class_totals(spark, sf):
-    return C.class_totals(strict_links(spark, sf))
+    return C.class_totals(strict_links(spark, sf), fx_links(spark, sf))
 
 
 @query("quality_band", f"""
@@ -416,4 +416,4 @@ def listing_report_pages(spark, sf):
     size = F.length("parent_text") % 3
     ending = F.when(size == 0, " Sponsored").when(size == 1, " Tue, Jul 1, 2025, 5:43:12 PM - a day ago").otherwise("")
     links = L.extract_links(pages).withColumn("parent_text", F.concat("parent_text", ending))
-    return listing_report(C.classify_links(links.withColumnRenamed("href", "url"), "strict")).page_breakdown
+    return listing_report(C.classify_links(links.withColumnRenamed("href", "url"), "strict"), pages).page_breakdown
