@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsieve.llm import (
-    byte_bpe, conversations, decontamination, hard_negatives, license_scan, near_dedup, pseudo_likelihood,
-    quality_rules, quality_trees, revisits, sharding, token_counts)
+    byte_bpe, conversations, decontamination, embedding_groups, hard_negatives, license_scan, near_dedup,
+    pseudo_likelihood, quality_rules, quality_trees, revisits, sharding, token_counts)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups.linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_repairs(_table(spark, sf_dir, "conversations"))
 
@@ -69,7 +73,8 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries and the SQL of those that SQL can express."""
     found = (op1_minhash_groups, op2_quality_trees, op3_divergence_rules, op4_pseudo_likelihood, op5_byte_bpe,
              op6_license_diagonals, op7_revisits, op8_separator_scan, op9_template_leaks, op10_feistel_shards,
-             op12_conversation_repair, op13_hard_negatives)
+             op11_cap_filters, op12_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in found}, {
-        "op7_revisits": revisits.PAGE_REVISITS_SQL, "op12_conversation_repair": conversations.DAMAGED_REPAIRS_SQL,
+        "op7_revisits": revisits.PAGE_REVISITS_SQL, "op11_cap_filters": embedding_groups.LINKED_VECTORS_SQL,
+        "op12_conversation_repair": conversations.DAMAGED_REPAIRS_SQL,
         "op13_hard_negatives": hard_negatives.EMBEDDING_NEGATIVES_SQL}
