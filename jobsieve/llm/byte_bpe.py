@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK = 1 << 20         # characters that are scanned at once; a longer text is scanned whole
 BLOCK = 256
-CACHE = 200_000         # pieces that a worker remembers
+CACHE = 400_000         # pieces that a worker remembers
 CACHED_BYTES = 64       # longer pieces are not remembered
 HEAP_FROM = 48          # pieces of more bytes are merged with a heap
+HEIGHTS = (4, 8, 12, 16, 24, HEAP_FROM)     # of the matrices in which shorter pieces are merged
+ROW_BITS = 6
 
-NONE = 1 << 40          # rank of a pair that makes no token
+NONE = 1 << 24          # rank of a pair that makes no token
 
 # Letters and numbers that Unicode 16 added to the tables of Python (ranges, both ends included).
 NEW_LETTERS = (
@@ -159,6 +161,26 @@ def token_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(transition_tables()[3][kinds, states_before(kinds)])
 
 
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    """Place of a key in a hash table whose number of slots is a power of two."""
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+
+
+def _hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (-1: free) and values of a table that is searched from `_slot` on, slot by slot."""
+    slots = 1 << (4 * len(keys)).bit_length()
+    table, stored = np.full(slots, -1, np.int64), np.zeros(slots, np.int32)
+    at = _slot(keys, slots)
+    while len(keys):
+        free = np.flatnonzero(table[at] < 0)
+        table[at[free]] = keys[free]        # of several keys for one slot the last stays
+        stored[at[free]] = values[free]
+        left = table[at] != keys
+        keys, values, at = keys[left], values[left], (at[left] + 1) & (slots - 1)
+    return table, stored
+
+
 class Vocabulary:
     """Ranks of a file of base64 pieces, with bounded memory for merged pieces."""
 
@@ -183,56 +205,69 @@ class Vocabulary:
                 if left is not None and right is not None:
                     keys.append(left << 32 | right)
                     values.append(rank)
-        order = np.argsort(keys)
-        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.int64(-1))
-        self.pair_ranks = np.append(np.array(values, np.int64)[order], NONE)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self._keys, self._values = _hash_table(np.array(keys, np.int64), np.array(values, np.int32))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.byte_pairs = self._rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.searchsorted(self.pair_keys[:-1], key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+        key = left.astype(np.int64) << 32 | right
+        at = _slot(key, len(self._keys))
+        out = np.full(len(key), NONE, np.int32)
+        todo = np.arange(len(key))
+        while len(todo):
+            seen = self._keys[at]
+            same = seen == key[todo]
+            out[todo[same]] = self._values[at[same]]
+            more = ~same & (seen >= 0)
+            todo, at = todo[more], (at[more] + 1) & (len(self._keys) - 1)
+        return out
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of pieces. In every round each piece merges its pair of lowest rank, the leftmost first.
 
-        Pieces of one length are the rows of a matrix. A row that goes on loses one column in each round, so all of
-        them keep one width; rows without a pair to merge leave.
+        Pieces of similar length are the columns of a matrix, filled up with pairs that never merge. A piece that goes
+        on loses one row in each round, so all of them keep one height; pieces without a pair to merge leave.
         """
         out: list[bytes] = [b""] * len(pieces)
-        by_length: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if len(piece) > HEAP_FROM:
-                out[i] = np.array(self._merge_long(piece), "<u4").tobytes()
-            else:
-                by_length.setdefault(len(piece), []).append(i)
-        for width, members in by_length.items():
-            rows = np.array(members)
-            raw = np.frombuffer(b"".join([pieces[i] for i in members]), np.uint8).reshape(len(rows), width)
-            ids = self.byte_ids[raw]
-            pairs = self.byte_pairs[raw[:, :-1].astype(np.int64) * 256 + raw[:, 1:]]
-            while len(rows):
-                at = pairs.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
-                rank = pairs[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
-                done = rank == NONE
-                packed = ids[done].astype("<u4").tobytes()
-                for k, i in enumerate(rows[done].tolist()):
-                    out[i] = packed[4 * width * k:4 * width * (k + 1)]
-                rows, ids, pairs, at, rank = rows[~done], ids[~done], pairs[~done], at[~done], rank[~done]
-                if not len(rows):
-                    break
-                width, line, column = width - 1, np.arange(len(rows)), np.arange(width - 1)
-                ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)
-                ids[line, at] = rank
-                column = column[:-1]
-                pairs = np.take_along_axis(pairs, column + (column >= at[:, None]), 1)
-                near = np.flatnonzero(at > 0)
-                pairs[near, at[near] - 1] = self._rank_of(ids[near, at[near] - 1], rank[near])
-                near = np.flatnonzero(at < width - 1)
-                pairs[near, at[near]] = self._rank_of(rank[near], ids[near, at[near] + 1])
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(sizes > HEAP_FROM).tolist():
+            out[i] = np.array(self._merge_long(pieces[i]), "<u4").tobytes()
+        for low, height in zip((0, *HEIGHTS), HEIGHTS):
+            members = np.flatnonzero((sizes > low) & (sizes <= height))
+            if len(members):
+                raw = b"".join([pieces[i].ljust(height, b"\0") for i in members.tolist()])
+                raw = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, height).T)
+                self._merge_columns(raw, members, sizes[members].astype(np.int32), out)
         return out
 
+    def _merge_columns(self, raw: np.ndarray, members: np.ndarray, size: np.ndarray, out: list[bytes]) -> None:
+        rows = np.arange(len(raw), dtype=np.int32)[:, None]
+        ids = self.byte_ids[raw]
+        pairs = self.byte_pairs[raw[:-1].astype(np.int32) * 256 + raw[1:]]
+        pairs[rows[1:] >= size] = NONE
+        while len(members):
+            # Rank and row in one number: its minimum is the leftmost pair of lowest rank.
+            best = ((pairs << ROW_BITS) + rows[:len(pairs)]).min(axis=0, initial=NONE << ROW_BITS)
+            done = best >= NONE << ROW_BITS
+            if done.any():
+                packed = np.ascontiguousarray(ids[:, done].T).astype("<u4").tobytes()
+                step = 4 * len(ids)
+                for k, (i, n) in enumerate(zip(members[done].tolist(), size[done].tolist())):
+                    out[i] = packed[step * k:step * k + 4 * n]
+                left = ~done
+                members, size, best, ids, pairs = members[left], size[left], best[left], ids[:, left], pairs[:, left]
+                if not len(members):
+                    return
+            at, rank, column = best & ((1 << ROW_BITS) - 1), best >> ROW_BITS, np.arange(len(members))
+            size = size - 1
+            ids = np.where(rows[:len(ids) - 1] > at, ids[1:], ids[:-1])
+            ids[at, column] = rank
+            pairs = np.where(rows[:len(pairs) - 1] >= at, pairs[1:], pairs[:-1])
+            near = np.flatnonzero(at > 0)
+            pairs[at[near] - 1, near] = self._rank_of(ids[at[near] - 1, near], rank[near])
+            near = np.flatnonzero(at < size - 1)
+            pairs[at[near], near] = self._rank_of(rank[near], ids[at[near] + 1, near])
+
     def _merge_long(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at an index
@@ -264,16 +299,16 @@ class Vocabulary:
 
     def packed(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of every piece as little-endian unsigned 32-bit integers; each different piece is merged once."""
-        different = set(pieces)
-        new = [p for p in different if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(different)
-        self.known.update(zip(new, self.merge_many(new)))
-        found = [self.known[p] for p in pieces]
-        for piece in new:
-            if len(piece) > CACHED_BYTES:
-                del self.known[piece]
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
+            new = list(dict.fromkeys([pieces[i] for i in missing]))
+            merged = dict(zip(new, self.merge_many(new)))
+            for i in missing:
+                found[i] = merged[pieces[i]]
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+            self.known.update((p, m) for p, m in merged.items() if len(p) <= CACHED_BYTES)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -307,14 +342,15 @@ class Vocabulary:
         """Byte offset behind every token of an encoded text."""
         return np.cumsum(self.lengths[np.frombuffer(packed, "<u4")])
 
-    def decode(self, packed: bytes | None) -> bytes:
-        """The bytes of packed ids: pieces are gathered from the joined vocabulary at once."""
-        ids = np.frombuffer(packed or b"", "<u4")
-        sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        if not len(ids):
+    def decode(self, packed: bytes | None, start: int = 0, stop: int | None = None) -> bytes:
+        """The bytes of the tokens from `start` to `stop`, placed by their end offsets in the joined vocabulary's bytes."""
+        packed = (packed or b"")[4 * start:None if stop is None else 4 * stop]
+        ends = self.ends(packed)
+        if not len(ends):
             return b""
-        return self.bytes[np.arange(ends[-1]) + np.repeat(self.offsets[ids] - ends + sizes, sizes)].tobytes()
+        ids = np.frombuffer(packed, "<u4")
+        shift = self.offsets[ids] - ends + self.lengths[ids]
+        return self.bytes[np.arange(ends[-1], dtype=np.int32) + np.repeat(shift.astype(np.int32), self.lengths[ids])].tobytes()
 
 
 @lru_cache(4)
