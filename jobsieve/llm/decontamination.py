@@ -1,19 +1,27 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-Words of documents and benchmark items become canonical tokens: numbers, units and names turn into typed
-placeholders, other words lose case and punctuation. Every window of WINDOW tokens is hashed and joined to the
-windows of the benchmark; for items that may be told by fewer tokens, windows of so many tokens too. Hits that agree on the shift between document and item form a candidate span. The span is
-verified on the texts: tokens must agree over LEAST_RUN tokens or the whole item, and slots must be filled
-consistently (one value of the item always stands for one value in the document). So a question is found again when
-its numbers, names and units are changed, and the result tells exact copies from re-parameterised ones.
-
-NULL and empty texts have no tokens.
+Words of documents and benchmark items become canonical tokens: numbers (in digits or words), units and capitalised names
+turn into typed placeholders, other words lose case and punctuation. Neighbouring names without punctuation between
+them fold into one placeholder, and so do neighbouring numbers and units, so that `Tom Reed` stands for `Ann` and `5kg` for `3 pounds`. Every window of WINDOW
+tokens is hashed and joined to the windows of the benchmark; for items that may be told by fewer tokens, windows of so
+many tokens too. Hits that agree on the shift between document and item form a candidate span. The span is verified on
+the texts: tokens must agree over LEAST_RUN tokens or LEAST_SHARE of the item, LEAST_PLAIN of them plain words (all
+plain words of an item that has three), and slots must be filled consistently (one value of the item always stands for
+one value in the document). So a question is found again when its numbers, names and units are changed, and the result
+tells exact copies from re-parameterised ones.
+
+Placeholders alone tell nothing: items of fewer than MIN_PLAIN plain words (`3 + 4 = ?`) are looked for literally, by all
+their words in a row, and reported as `literal`. Windows of fewer than two plain words start no candidate.
+
+NULL and empty texts have no tokens; texts may have any length; repeated rows give their results once per row; empty
+tables give an empty result; other columns are ignored or, by `clean_documents`, kept as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from array import array
 from collections.abc import Iterator
 
@@ -28,6 +36,8 @@ from jobsieve.llm.common import BROADCAST_ROWS, saved, small_side
 WINDOW = 8
 LEAST_RUN = 13          # tokens in agreement; the whole item where it is shorter
 LEAST_SHARE = 0.6       # or this share of the item's tokens
+LEAST_PLAIN = 4         # plain words among them
+MIN_PLAIN = 3           # plain words of an item that is looked for by its template
 KNOWN = 200_000         # words a task remembers from one slice of texts to the next
 SLICE = 1_000_000       # characters of texts that are hashed at once
 FILTER_BITS = 16        # places of the filter for each window of the benchmark
@@ -38,51 +48,95 @@ UNITS = frozenset(
     "days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot "
     "feet yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons "
     "dollar dollars euro euros cent cents percent usd eur gbp kmh mph".split())
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
+# Words that are no names although sentences and questions start with them.
+OPENINGS = frozenset(
+    "a about after all also although an and any are as at be because before both but by calculate can choose compute "
+    "consider could define describe determine did do does during each either estimate evaluate every explain find first "
+    "for from give given had has have he her here his how however i if in into is it its last let list many more most "
+    "much my name next no not now of off on once only or our out over select she should show since so solve some state "
+    "suppose take than that the their then there these they this those through to today under until up use using was we "
+    "were what when where whether which while who whom whose why will with write yesterday you your".split())
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
+_MEASURE = re.compile(r"[+-]?\d[\d.,:/]*([a-z]+)")
 _EDGE = re.compile(r"^\W+|\W+$")
-_END = (".", "!", "?", ":")
+_STOPS = tuple(".,;:!?")
+# Tokens of one group fold where they stand side by side.
+GROUPS = {NAME: 1, NUMBER: 2, UNIT: 2}
 
 
-def canonical(word: str, starts: bool) -> tuple[str, str]:
-    """Token and slot value ('' for plain words). `starts`: the word opens a sentence, where names look like words."""
-    bare = _EDGE.sub("", word)
-    low = bare.lower()
-    if _NUMBER.fullmatch(bare):
+def bare(word: str) -> str:
+    """The word without punctuation at its ends, in lower case."""
+    return _EDGE.sub("", word).lower()
+
+
+def canonical(word: str) -> tuple[str, str]:
+    """Token and slot value ('' for plain words); no token for a word without a letter or digit."""
+    cut = _EDGE.sub("", word)
+    low = cut.lower()
+    measure = _MEASURE.fullmatch(low)
+    if _NUMBER.fullmatch(cut) or low in NUMBER_WORDS or measure and measure[1] in UNITS:
         return NUMBER, low
     if low in UNITS:
         return UNIT, low
-    if not starts and bare[:1].isupper() and not bare[1:2].isupper() and bare[1:].islower():
+    if cut[:1].isupper() and not cut[1:2].isupper() and cut[1:].islower() and low not in OPENINGS:
         return NAME, low
     return low, ""
 
 
-def tokens(text: str | None) -> tuple[list[str], list[str]]:
-    """Canonical tokens of a text and the slot values beside them. Words without a letter or digit are left out."""
-    kinds, values, starts = [], [], True
-    for line in (text or "").split("\n"):
-        starts = True
-        for word in line.split():
-            kind, value = canonical(word, starts)
-            if kind:
-                kinds.append(kind)
-                values.append(value)
-            starts = word.endswith(_END)
-    return kinds, values
+@dataclass
+class Tokens:
+    """Folded tokens with their slot values and the number of the word at which each starts; literal words."""
+    kinds: list[str]
+    values: list[str]
+    starts: list[int]
+    words: list[str]
+
+    @property
+    def plain(self) -> int:
+        return sum(k not in GROUPS for k in self.kinds)
+
+    @property
+    def literal(self) -> bool:
+        """To be looked for by its words: placeholders are most of what it has."""
+        return self.plain < MIN_PLAIN
+
+
+def tokens(text: str | None) -> Tokens:
+    out, last = Tokens([], [], [], []), 0
+    for i, word in enumerate((text or "").split()):
+        out.words.append(bare(word) or word)
+        kind, value = canonical(word)
+        if not kind:
+            continue
+        group = GROUPS.get(kind, 0)
+        if group and group == last:
+            out.values[-1] += value
+        else:
+            out.kinds.append(kind)
+            out.values.append(value)
+            out.starts.append(i)
+        last = 0 if word.endswith(_STOPS) else group
+    return out
 
 
 class _Words(dict):
-    """Number of every word seen; by number: hash inside a sentence, hash at its start (0: no token), ends a sentence."""
+    """Number of every word seen; by number: hash of its token (0: none), its group, the group that it leaves open, hash of
+    the literal word."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.inside, self.first, self.ends = array("Q"), array("Q"), array("B")
+        self.kind, self.group, self.open, self.literal = array("Q"), array("B"), array("B"), array("Q")
 
     def __missing__(self, word: str) -> int:
-        for hashes, starts in ((self.inside, False), (self.first, True)):
-            kind = canonical(word, starts)[0]
-            hashes.append(xxhash.xxh3_64_intdigest(kind) if kind else 0)
-        self.ends.append(word.endswith(_END))
+        kind = canonical(word)[0]
+        self.kind.append(xxhash.xxh3_64_intdigest(kind) if kind else 0)
+        self.group.append(GROUPS.get(kind, 0))
+        self.open.append(0 if word.endswith(_STOPS) else GROUPS.get(kind, 0))
+        self.literal.append(xxhash.xxh3_64_intdigest(bare(word) or word))
         self[word] = number = len(self)
         return number
 
@@ -99,32 +153,35 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Hasher:
-    """64-bit hashes of the canonical tokens and windows of texts; looks at every different word once."""
+    """64-bit hashes of the folded tokens and of the literal words of texts; looks at every different word once."""
 
     def __init__(self) -> None:
         self.words = _Words()
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the tokens of the texts, one text after the other, and the number of tokens of each."""
+    def read(self, texts: list[str | None]) -> tuple[tuple, tuple]:
+        """Two streams (hashes of the texts, one after the other; number in each text; what counts as plain).
+
+        The first is of folded tokens, the second of literal words, all of which count.
+        """
         if len(self.words) >= KNOWN:
             self.words = _Words()
-        number, numbers, lines, stops = self.words.__getitem__, [], [], []
+        number, numbers, stops = self.words.__getitem__, [], []
         for text in texts:
-            for line in (text or "").split("\n"):
-                lines.append(len(numbers))
-                numbers.extend(map(number, line.split()))
+            numbers.extend(map(number, (text or "").split()))
             stops.append(len(numbers))
-        if not numbers:
-            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-        at, lines = np.array(numbers, np.int64), np.array(lines)
-        starts = np.empty(len(at), bool)
-        starts[1:] = np.frombuffer(self.words.ends, np.uint8)[at[:-1]]
-        starts[lines[lines < len(at)]] = True
-        h = np.where(starts, np.frombuffer(self.words.first, np.uint64)[at],
-                     np.frombuffer(self.words.inside, np.uint64)[at])
-        good = h != 0
+        at = np.array(numbers, np.int64)
         text_no = np.repeat(np.arange(len(texts)), np.diff(stops, prepend=0))
-        return h[good], np.bincount(text_no[good], minlength=len(texts))
+        table = [np.frombuffer(x, d) if len(x) else np.empty(0, d) for x, d in (
+            (self.words.kind, np.uint64), (self.words.group, np.uint8), (self.words.open, np.uint8),
+            (self.words.literal, np.uint64))]
+        literal = table[3][at], np.bincount(text_no, minlength=len(texts)), np.ones(len(at), bool)
+        h = table[0][at]
+        some = h != 0
+        h, group, left_open, text_no = h[some], table[1][at[some]], table[2][at[some]], text_no[some]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (group[1:] == 0) | (group[1:] != left_open[:-1]) | (text_no[1:] != text_no[:-1])
+        folded = h[fresh], np.bincount(text_no[fresh], minlength=len(texts)), group[fresh] == 0
+        return folded, literal
 
 
 def least_run(size: int) -> int:
@@ -136,10 +193,13 @@ def least_run(size: int) -> int:
 _LENGTHS = np.array([min(WINDOW, least_run(size)) for size in range(math.ceil(WINDOW / LEAST_SHARE) + 1)])
 
 
-def _windows(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and first token of every window of `size` tokens that lies in one text."""
+def _windows(stream: tuple, size: int, plain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and first token of every window of `size` tokens, `plain` of them plain, that lies in one text."""
+    h, counts, good = stream
     text = np.repeat(np.arange(len(counts)), counts)
-    first = np.flatnonzero(text[:max(len(h) - size + 1, 0)] == text[size - 1:])
+    n = max(len(h) - size + 1, 0)
+    sums = np.concatenate([[0], np.cumsum(good)])
+    first = np.flatnonzero((text[:n] == text[size - 1:]) & (sums[size:] - sums[:n] >= plain)) if n else np.empty(0, np.int64)
     text = text[first]
     return _rolled(h, size)[first], text, first - (np.cumsum(counts) - counts)[text]
 
@@ -156,21 +216,34 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item, window (hash), place and length for the windows of the items; the length follows from the item's size."""
+    """item, window (hash), place, length and literal for the windows of the items; the item's size gives the length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for batch in batches:
-            h, counts = hasher.tokens(batch.column(1).to_pylist())
-            lengths = _LENGTHS[np.minimum(counts, len(_LENGTHS) - 1)]
-            for size in np.unique(lengths[lengths > 0]):
-                found, text, at = _windows(h, counts, int(size))
-                mine = lengths[text] == size
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text[mine])), pa.array(found[mine].view(np.int64)),
-                     pa.array(at[mine].astype(np.int32)), pa.array(np.full(mine.sum(), size, np.int32))],
-                    ["item", "window", "place", "length"])
+            folded, words = hasher.read(batch.column(1).to_pylist())
+            text = np.repeat(np.arange(batch.num_rows), folded[1])
+            literal = np.bincount(text[folded[2]], minlength=batch.num_rows) < MIN_PLAIN
+            for stream, mine in ((folded, ~literal), (words, literal)):
+                if stream is folded:
+                    lengths = _LENGTHS[np.minimum(stream[1], len(_LENGTHS) - 1)]
+                else:
+                    lengths = np.minimum(stream[1], WINDOW)
+                lengths = np.where(mine, lengths, 0)
+                for size in np.unique(lengths[lengths > 0]).tolist():
+                    found, text, at = _windows(stream, size, _plain_in(size, stream is words))
+                    own = lengths[text] == size
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(text[own])), pa.array(found[own].view(np.int64)),
+                         pa.array(at[own].astype(np.int32)), pa.array(np.full(own.sum(), size, np.int32)),
+                         pa.array(np.full(own.sum(), stream is words))], ["item", "window", "place", "length", "literal"])
+
+    return items.select("item", "text").mapInArrow(
+        run, "item long, window long, place int, length int, literal boolean")
+
 
-    return items.select("item", "text").mapInArrow(run, "item long, window long, place int, length int")
+def _plain_in(size: int, literal: bool) -> int:
+    """Plain tokens that a window needs."""
+    return size if literal else min(2, size)
 
 
 def _places(windows: DataFrame) -> np.ndarray | None:
@@ -183,8 +256,8 @@ def _places(windows: DataFrame) -> np.ndarray | None:
     return out
 
 
-def window_rows(df: DataFrame, keys: list[str], lengths: list[int], places: np.ndarray | None = None) -> DataFrame:
-    """`keys` (longs), `window` (hash) and `at` for the windows of all `lengths` of the `text` column.
+def window_rows(df: DataFrame, keys: list[str], sizes: list[tuple[int, bool]], places: np.ndarray | None = None) -> DataFrame:
+    """`keys` (longs), `literal`, `window` (hash) and `at` for the windows of all `sizes` (tokens, literal) of `text`.
 
     Windows that the filter `places` rules out are left out.
     """
@@ -193,48 +266,65 @@ def window_rows(df: DataFrame, keys: list[str], lengths: list[int], places: np.n
         for batch in batches:
             texts = batch.column(len(keys)).to_pylist()
             for lo, hi in _slices(texts):
-                h, counts = hasher.tokens(texts[lo:hi])
-                for size in lengths:
-                    found, text, at = _windows(h, counts, size)
+                streams = hasher.read(texts[lo:hi])
+                for size, literal in sizes:
+                    found, text, at = _windows(streams[literal], size, _plain_in(size, literal))
                     if places is not None:
                         known = places[found & np.uint64(len(places) - 1)]
                         found, text, at = found[known], text[known], at[known]
                     row = pa.array(text + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(k).take(row) for k in range(len(keys))], pa.array(found.view(np.int64)),
-                         pa.array(at.astype(np.int32))], [*keys, "window", "at"])
+                        [*[batch.column(k).take(row) for k in range(len(keys))], pa.array(np.full(len(found), literal)),
+                         pa.array(found.view(np.int64)), pa.array(at.astype(np.int32))], [*keys, "literal", "window", "at"])
 
-    return df.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", window long, at int")
+    return df.select(*keys, "text").mapInArrow(
+        run, ", ".join(f"{k} long" for k in keys) + ", literal boolean, window long, at int")
 
 
-def agreement(doc: tuple[list[str], list[str]], item: tuple[list[str], list[str]], shift: int) -> tuple[int, int, int, int]:
-    """Best run of consistent tokens of document and item at one shift: (first word, tokens, changed slots, slots).
+def agreement(doc: Tokens, item: Tokens, shift: int) -> tuple[int, int, int, int] | None:
+    """Best sufficient run of consistent tokens at one shift: (first token, tokens, changed slots, slots).
 
     A run breaks where tokens differ or where a slot value of the item already stands for another value.
     """
-    best, run, first, changed, slots, table = (0, 0, 0, 0), 0, 0, 0, 0, {}
-    for j in range(max(0, -shift), min(len(item[0]), len(doc[0]) - shift)):
+    need, least = min(LEAST_PLAIN, item.plain), least_run(len(item.kinds))
+    best, run, first, changed, slots, table = None, 0, 0, 0, 0, {}
+    for j in range(max(0, -shift), min(len(item.kinds), len(doc.kinds) - shift)):
         i = j + shift
-        own, other = doc[1][i], item[1][j]
+        own, other = doc.values[i], item.values[j]
         slot = bool(other)
-        if doc[0][i] != item[0][j] or slot and table.setdefault((item[0][j], other), own) != own:
+        if doc.kinds[i] != item.kinds[j] or slot and table.setdefault((item.kinds[j], other), own) != own:
             run, changed, slots, table = 0, 0, 0, {}
-            if doc[0][i] != item[0][j]:
+            if doc.kinds[i] != item.kinds[j]:
                 continue
             if slot:
-                table[item[0][j], other] = own
+                table[item.kinds[j], other] = own
         if not run:
             first = i
         run += 1
         slots += slot
         changed += slot and own != other
-        best = max(best, (run, -first, changed, slots))
-    return -best[1], best[0], best[2], best[3]
+        if run >= least and run - slots >= need:
+            best = max(best or (0,), (run, -first, changed, slots))
+    return best and (-best[1], best[0], best[2], best[3])
+
+
+def evidence(doc: Tokens, item: Tokens, shifts: list[int]) -> tuple[int, int, int, int] | None:
+    """Best of the shifts: (first word, tokens, changed slots, slots); None where none suffices."""
+    if item.literal:
+        n = len(item.words)
+        found = [s for s in shifts if n and s >= 0 and doc.words[s:s + n] == item.words]
+        return (min(found), n, 0, 0) if found else None
+    found = [x for x in (agreement(doc, item, s) for s in shifts) if x]
+    if not found:
+        return None
+    first, *rest = max(found, key=lambda x: (x[1], -x[0]))
+    return doc.starts[first], *rest
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold benchmark items: _row, _sum (hashes of id and text), doc_id, item_id, first_word, n_tokens,
-    n_slots, n_changed, exact (no slot changed). One row per document, item and text; NULL item ids are compared too.
+    n_slots, n_changed, literal, exact (no slot changed). One row per document, item and text; NULL item ids are
+    compared too.
     """
     items = (benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
              .withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item", "text"]))
@@ -242,11 +332,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("_row"), F.crc32(text).alias("_sum"),
                        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
     of_items = saved(item_windows(items), "items")
-    lengths = sorted(r["length"] for r in of_items.select("length").distinct().collect())
-    hits = window_rows(rows, ["_row", "_sum"], lengths, _places(of_items)).join(small_side(of_items.drop("length")), "window")
-    shifts = (hits.groupBy("_row", "_sum", "item", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("votes")))
-    per_text = shifts.groupBy("_row", "_sum", "item").agg(F.collect_set("shift").alias("shifts"))
+    # WINDOW lengths of either kind at most.
+    sizes = sorted((r["length"], r["literal"]) for r in of_items.select("length", "literal").distinct().collect())
+    hits = window_rows(rows, ["_row", "_sum"], sizes, _places(of_items)).join(
+        small_side(of_items.drop("length")), ["literal", "window"])
+    shifts = hits.select("_row", "_sum", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    per_text = shifts.groupBy("_row", "_sum", "item").agg(F.collect_list("shift").alias("shifts"))
     per_text = per_text.join(small_side(saved(items, "texts")).select("item", "item_id", F.col("text").alias("item_text")), "item")
     suspects = saved(per_text.groupBy("_row", "_sum").agg(F.collect_list(F.struct("item_id", "item_text", "shifts")).alias("found")),
                      "suspects")
@@ -258,22 +349,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 doc = tokens(t)
                 for f in found:
                     item = tokens(f["item_text"])
-                    first, n, changed, slots = max((agreement(doc, item, s) for s in f["shifts"]), key=lambda x: (x[1], -x[0]))
-                    if n >= least_run(len(item[0])):
-                        out.append((i, f["item_id"], first, n, slots, changed))
+                    if best := evidence(doc, item, f["shifts"]):
+                        first, n, changed, slots = best
+                        out.append((i, f["item_id"], first, n, slots, changed, item.literal))
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k).take(at) for k in range(3)],
-                 *[pa.array([o[k] for o in out], pa.int64()) for k in range(1, 6)]],
-                ["_row", "_sum", "doc_id", "item_id", "first_word", "n_tokens", "n_slots", "n_changed"])
-
-    found = rows.join(small_side(suspects), ["_row", "_sum"]).select("_row", "_sum", "doc_id", "text", "found").mapInArrow(
-        run, "_row long, _sum long, doc_id long, item_id long, first_word long, n_tokens long, n_slots long, n_changed long")
+                 *[pa.array([o[k] for o in out], pa.int64()) for k in range(1, 6)],
+                 pa.array([o[6] for o in out], pa.bool_())],
+                ["_row", "_sum", "doc_id", "item_id", "first_word", "n_tokens", "n_slots", "n_changed", "literal"])
+
+    # Slim keys pick the texts; these few meet their items by a shuffle.
+    keys = saved(suspects.select("_row", "_sum"), "keys")
+    picked = rows.join(small_side(keys), ["_row", "_sum"], "left_semi")
+    found = picked.join(suspects, ["_row", "_sum"]).select("_row", "_sum", "doc_id", "text", "found").mapInArrow(
+        run, "_row long, _sum long, doc_id long, item_id long, first_word long, n_tokens long, n_slots long, n_changed long, "
+             "literal boolean")
     return found.withColumn("exact", F.col("n_changed") == 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contaminated documents only: doc_id, item_id, first_word, n_tokens, n_slots, n_changed, exact."""
+    """The contaminated documents only: doc_id, item_id, first_word, n_tokens, n_slots, n_changed, literal, exact."""
     return contaminated(docs, benchmark).drop("_row", "_sum")
 
 

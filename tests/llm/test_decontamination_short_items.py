@@ -20,11 +20,9 @@ def plain(text):
     doc, out = D.tokens(text), []
     for item_id, item_text in ITEMS:
         item = D.tokens(item_text)
-        size = len(item[0])
-        tried = (D.agreement(doc, item, s) for s in range(-size, len(doc[0]) + 1))
-        best = max(tried, key=lambda x: (x[1], -x[0]))
-        if size and (best[1] >= min(D.LEAST_RUN, size) or best[1] >= D.LEAST_SHARE * size):
-            out.append((item_id, best[0], best[1], best[3], best[2], best[2] == 0))
+        best = D.evidence(doc, item, list(range(-len(item.kinds), len(doc.words) + 1)))
+        if best:
+            out.append((item_id, best[0], best[1], best[3], best[2], item.literal, best[2] == 0))
     return out
 
 
@@ -34,7 +32,7 @@ def test_short_items_in_longer_texts(spark):
     got = [tuple(r) for r in D.leaks(docs, items).collect()]
     assert sorted(got) == sorted((d, *r) for d, t in DOCS for r in plain(t))
     assert {(1, 1), (2, 1), (3, 2), (4, 3), (9, 4), (10, 3), (11, 5), (12, 8)} <= {r[:2] for r in got}
-    assert {r.doc_id for r in D.clean_documents(docs, items).collect()} == {5, 6, 7, 13}
+    assert {r.doc_id for r in D.clean_documents(docs, items).collect()} == {5, 6, 7, 8, 13}
 
 
 def test_filter_changes_no_result(spark, monkeypatch):
