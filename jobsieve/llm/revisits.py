@@ -11,7 +11,8 @@ revisit (of one instant: the one with the smaller record id), checks the validat
 * A URL with very many captures is no single group: captures are cut into blocks of BLOCK_SECONDS. Inside a block a
   window finds the latest response; only the last response of each block goes on to a window over the blocks.
 
-NULL URLs or times have no earlier response (`unresolved`); repeated rows are resolved alike.
+NULL or blank URLs and NULL times have no earlier response (`unresolved`); repeated rows are resolved alike; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "etag",
     "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 # Query parameters that tell how a reader came, not what the page is.
-TRACKING = ("utm_[a-z]+", "gclid", "fbclid", "ref", "sid", "phpsessid")
+TRACKING = ("utm_[a-z]+", "gclid", "fbclid", "phpsessid")
 
 
 def canonical_url(url: Column) -> Column:
-    """One spelling: no scheme, `www.`, default port, fragment, tracking parameters, index page or last slash; host in
+    """One spelling, NULL for a blank address: no scheme, `www.`, default port, fragment, tracking parameters, index page or last slash; host in
     lower case, parameters sorted."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^(?i:https?):/+", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r"^www\.|:(80|443)$", "")
@@ -41,7 +42,7 @@ def canonical_url(url: Column) -> Column:
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     wanted = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(?i:" + "|".join(TRACKING) + ")(=|$)"))
     query = F.array_join(F.array_sort(wanted), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.nullif(F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))), F.lit(""))
 
 
 def _opaque(etag: Column) -> Column:
@@ -59,11 +60,16 @@ def checked(revisit: str, response: str) -> Column:
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """Stored headers with those of the 304 that it may change; names in lower case."""
+    """Stored headers with those of the 304 that it may change; names in lower case.
+
+    Values of one name in several spellings are joined by commas in order of spelling; NULL values among them are left out.
+    """
     def low(m: Column) -> Column:
-        return F.map_from_entries(F.array_distinct(F.transform(
-            F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))),
-            lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+        entries = F.transform(F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))),
+                              lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        return F.map_from_arrays(names, F.transform(names, lambda k: F.array_join(
+            F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), ", ")))
 
     allowed = F.map_filter(low(fresh), lambda k, _: ~k.isin(*KEPT_HEADERS))
     kept = F.map_filter(low(stored), lambda k, _: ~F.map_contains_key(allowed, k))
@@ -73,8 +79,7 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
 def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """Every revisit with record_id, url_key, captured_at, response_id, response_at, age_seconds, outcome, headers.
 
-    `records` has the columns of RECORD; others are not carried. Header names that differ in case only must not occur
-    in one record.
+    `records` has the columns of RECORD; others are not carried.
     """
     fields = ("record_id", "captured_at", "etag", "last_modified", "digest", "headers")
     rows = records.select(canonical_url(F.col("url")).alias("url_key"), *fields, "kind", "status")
@@ -90,7 +95,7 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     rows = rows.where(placed)
 
     # The last response of each block, and of all blocks before it.
-    order = F.struct("captured_at", "record_id")
+    order = F.struct("captured_at", -F.col("record_id"))
     ends = rows.where("full is not null").groupBy("url_key", "block").agg(F.max_by("full", order).alias("last"))
     needs = rows.select("url_key", "block").distinct()
     over = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +103,7 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
         "url_key", "block", F.last("last", ignorenulls=True).over(over).alias("carried"))
 
     # Inside a block; the block's carried response serves where none stands before.
-    here = Window.partitionBy("url_key", "block").orderBy("captured_at", F.col("revisit"), "record_id").rowsBetween(
+    here = Window.partitionBy("url_key", "block").orderBy("captured_at", F.col("revisit"), F.desc("record_id")).rowsBetween(
         Window.unboundedPreceding, -1)
     found = rows.withColumn("inside", F.last("full", ignorenulls=True).over(here)).where("revisit")
     found = found.join(carried, ["url_key", "block"], "left").select(
@@ -154,16 +159,16 @@ WITH captures AS ({CAPTURES}),
 parts AS (
   SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?):/+', '') AS rest FROM captures),
 keyed AS (
-  SELECT *, concat(
+  SELECT *, nullif(concat(
       regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www\\.|:(80|443)$', '', 'g'),
       regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(index\\.html?)?$', ''),
-      CASE WHEN len(q) > 0 THEN concat('?', array_to_string(q, '&')) ELSE '' END) AS url_key
+      CASE WHEN len(q) > 0 THEN concat('?', array_to_string(q, '&')) ELSE '' END), '') AS url_key
   FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'),
           lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:{"|".join(TRACKING)})(=|$)'))) AS q FROM parts)),
 joined AS (
   SELECT a.*, b.record_id AS response_id, b.captured_at AS response_at, b.etag AS b_etag, b.last_modified AS b_modified,
          b.digest AS b_digest, b.size AS b_size, b.captured_at AS b_at,
-         row_number() OVER (PARTITION BY a.record_id ORDER BY b.captured_at DESC, b.record_id DESC) AS no
+         row_number() OVER (PARTITION BY a.record_id ORDER BY b.captured_at DESC, b.record_id) AS no
   FROM keyed a LEFT JOIN keyed b ON a.url_key = b.url_key AND b.kind = 'response' AND b.captured_at <= a.captured_at
   WHERE a.kind = 'revisit'),
 judged AS (

@@ -25,7 +25,7 @@ def plain(rows, key):
             continue
         earlier = [r for r in rows if r[3] == "response" and url is not None and at is not None and r[1] is not None
                    and r[2] is not None and key[r[1]] == key[url] and r[2] <= at]
-        best = max(earlier, key=lambda r: (r[2], r[0]), default=None)
+        best = max(earlier, key=lambda r: (r[2], -r[0]), default=None)
         outcome, merged = "unresolved", None
         if best:
             outcome = "unchecked"
@@ -44,7 +44,7 @@ def plain(rows, key):
 def test_against_plain_loop(spark, block):
     pick = random.Random(block)
     spellings = {"a": ["http://www.Host.com/p/", "https://host.com:443/p?utm_source=x#top", "HTTP://HOST.com/p/index.html"],
-                 "b": ["http://host.com/p?b=2&a=1", "http://host.com/p?a=1&ref=x&b=2"], "c": ["http://host.com/P"]}
+                 "b": ["http://host.com/p?b=2&a=1", "http://host.com/p?a=1&gclid=x&b=2"], "c": ["http://host.com/P"]}
     key = {u: k for k, us in spellings.items() for u in us}
     rows = []
     for i in range(300):
@@ -73,6 +73,22 @@ def test_clashing_columns_and_repeats(spark):
     assert R.resolve(df.limit(0)).count() == 0
 
 
+def test_ties_blank_addresses_and_parameters(spark):
+    rows = [record(5, "u.com/a", 1, etag="e"), record(3, "u.com/a", 1, etag="e"), record(7, "u.com/a", 1, "revisit", "e"),
+            record(8, " ", 1, etag="e"), record(9, "", 2, "revisit", "e"), record(10, "u.com/a?ref=1", 1, etag="e"),
+            record(11, "u.com/a?ref=2", 2, "revisit", "e"), record(12, "http://#x", 3, "revisit", "e")]
+    found = {r.record_id: (r.url_key, r.response_id, r.outcome) for r in R.resolve(spark.createDataFrame(rows, R.RECORD)).collect()}
+    assert found == {7: ("u.com/a", 3, "resolved"), 9: (None, None, "unresolved"), 11: ("u.com/a?ref=2", None, "unresolved"),
+                     12: (None, None, "unresolved")}
+
+
+def test_header_names_in_several_spellings(spark):
+    rows = [record(1, "u.com", 1, etag="e", headers={"Vary": "a", "VARY": "b", "X": "1", "x": None}),
+            record(2, "u.com", 2, "revisit", "e", headers={"Date": "1", "date": "2"})]
+    (row,) = R.resolve(spark.createDataFrame(rows, R.RECORD)).collect()
+    assert row.headers == {"vary": "b, a", "x": "1", "date": "1, 2"}
+
+
 def test_status_decides(spark):
     rows = [(1, "u.com", 1, "response", 404, "e", None, None, {}), (2, "u.com", 2, "revisit", 304, "e", None, None, {})]
     assert R.resolve(spark.createDataFrame(rows, R.RECORD)).first().outcome == "unresolved"
