@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.common import saved, small_side
+from jobsieve.llm.common import fresh, saved, small_side
 from jobsieve.llm.components import components
 
 SHINGLE = 5
@@ -204,7 +204,8 @@ def crossing_links(members: DataFrame, texts: DataFrame, size: int) -> DataFrame
     outside = F.col("component") != F.col("main")
     blocks = nodes.groupBy("main").agg(F.ceil(F.count(F.when(outside, 1)) / BLOCK).alias("bx"),
                                        F.ceil(F.count(F.lit(1)) / BLOCK).alias("by"))
-    nodes = nodes.join(blocks, "main")
+    # As a table of its own it joins by shuffles that Spark can split at a bucket owner with very many nodes.
+    nodes = nodes.join(small_side(saved(blocks, "blocks")), "main")
 
     def side(rows: DataFrame, no: int, own: str, other: str) -> DataFrame:
         return rows.select("main", F.lit(no).alias("side"), "node", "component",
@@ -286,17 +287,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id"
 
 
 def kept_documents(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id; the rows with their own columns.
+    """One row of each group, that of the smallest id (rows without an id come last); the rows with their own columns.
 
-    Of several rows with one id the one with the smallest text stays. Rows with a NULL id stay.
+    Rows are told apart by a hash of id and text, so an id that stands on several rows loses only those of its texts that
+    resemble another row. Rows that repeat both id and text are one group. Rows without words all stay. Texts may have
+    any length; an empty table gives an empty result; columns may have any names.
     """
-    groups = saved(near_duplicates(docs, size, id_col, text_col), "groups")
-    key = F.col(f"`{id_col}`")
-    dropped = small_side(saved(groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped"))
-    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1")
-    again = small_side(saved(again.select(id_col), "repeated"))
-    rows = docs.join(dropped, id_col, "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = (rows.join(again, id_col, "left_semi").groupBy(key.alias("id"))
-                .agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("row")).select("row.*"))
-    return rows.join(again, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).union(repeated)
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    node = fresh(docs, "_node")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(node, F.xxhash64(key, text))
+    groups = near_duplicates(rows.select(F.col(node).alias("doc_id"), text.alias("text")), size)
+    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+    ids = rows.select(F.col(node).alias("node"), key.cast("bigint").alias("id")).distinct()
+    members = saved(groups.join(ids, "node"), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"]
+    several = (members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+               .where("n > 1").select("component_id", "first"))
+    members = members.join(small_side(saved(several, "several")), "component_id")
+    dropped = members.where("node <> first").select(F.col("node").alias(node)).distinct()
+    again = members.where("node = first").groupBy("node").count().where("count > 1").select(F.col("node").alias(node))
+    rows = rows.join(small_side(saved(dropped, "dropped")), node, "left_anti")
+    again = small_side(saved(again, "repeated"))
+    row = F.struct(*own)
+    repeated = (rows.join(again, node, "left_semi").groupBy(node).agg(F.min_by(row, F.to_json(row)).alias("row"))
+                .select("row.*"))
+    return rows.join(again, node, "left_anti").select(*own).union(repeated)
