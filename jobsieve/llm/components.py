@@ -13,21 +13,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds: every node's links are turned to the smallest neighbour until
     nothing changes; the rounds grow with the logarithm of the longest path. Neighbours are never gathered:
-    each round takes a minimum by node (combined before the shuffle) and joins it back, where Spark can split a
-    hot node. Rounds are tables in the shared folder. Only a count and a checksum reach the driver.
+    each round takes a minimum by node (combined before the shuffle), keeps it as a table and joins that back, so
+    that the join has shuffles of its own, in which Spark can split a hot node. Rounds are tables in the shared folder. Only a count and a checksum reach the driver.
     """
     x, y = F.col(a), F.col(b)
     edges = saved(links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        lowest = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         # Large star: neighbours above a node link to the smallest of its neighbourhood.
         large = (both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         large = saved(large, "edges")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = saved(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = (large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         edges = saved(small, "edges")

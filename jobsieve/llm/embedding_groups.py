@@ -12,10 +12,12 @@ many filters, others hardly ever.
   Both depend on the length of the vectors and their number only, not on the data, and closer pairs meet more often.
 * Equal vectors of a label are one node with a weight. Lists are joined on (label, length, filter); filters with one node
   are left out before vectors are moved.
-* A filter's nodes are compared block by block, BLOCK nodes a side, by matrix products in double precision. A pair is
-  counted in the first filter that it shares only, which both lists tell. A task returns a count per node and one link
-  per node to the smallest of its part of the block's graph; pairs are never rows. The comparisons inside a group of
-  near copies (not equal ones) grow with the square of its size, as the number of their links does.
+* Every node is compared with the smallest one of each of its filters. The smallest that it is linked with is its star.
+* Nodes of one star are compared with each other, block by block, BLOCK nodes a side, by matrix products in double
+  precision. Nodes of different stars are compared in the filters where they meet; such a link counts in the first
+  filter that both lists hold. A task returns a count per node and one link per node to the smallest of its part of
+  the block's graph; pairs inside groups are never rows. The comparisons inside a group of near copies (not equal
+  ones) grow with the square of its size, as the number of their links does.
 
 Defined results: NULL labels or vectors, zero vectors and vectors with a NULL or non-finite component link with
 nothing; vectors are compared only with those of their length. Every row is a vector: copies under one id are counted,
@@ -40,14 +42,15 @@ from jobsieve.llm.components import components
 LEAST = 0.93            # cosine of a link
 BLOCKS = 2              # parts of a rotated vector
 ROTATIONS = 4
-RECALL = 0.9995         # of synthetic pairs at LEAST
+RECALL = 0.999         # of synthetic pairs at LEAST
 PAIRS = 2000            # synthetic pairs
-STRANGERS = 0.2         # nodes of its label that a filter holds by chance
+STRANGERS = 0.02        # nodes of its label that a filter holds by chance, about
 USUAL_LIST = 15         # directions of one code that a vector exceeds, about
 LONGEST_LIST = 200      # on average over synthetic vectors; beyond it the code is made smaller
 LARGEST_CODE = 4096
 SEED = 11
 BLOCK = 512             # nodes in a block
+PAIRS_IN_CELL = 100_000
 COLUMNS = 4096          # filters in a matrix
 DECODED = 256           # vectors that are decoded at once
 
@@ -75,16 +78,19 @@ def decoded(v: np.ndarray, size: int, height: float) -> tuple[np.ndarray, np.nda
         best = np.array([x.max(axis=1) for x in products])
         row, key, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
         for k, x in enumerate(products):
-            order = np.argsort(x, axis=1)
-            # All rows as one sorted array; products of parts lie within -1 and 1.
-            flat = (np.take_along_axis(x, order, 1) + 4.0 * np.arange(n)[:, None]).reshape(-1)
+            # Words that reach the height with the best of the other parts, by row and product. One sorted array holds
+            # all rows, as products of parts lie within -1 and 1.
+            of, word = np.nonzero(x >= (height - best.sum(axis=0) + best[k])[:, None])
+            flat = x[of, word] + 4.0 * of
+            order = np.argsort(flat)
+            flat, of, word = flat[order], of[order], word[order]
+            stop = np.searchsorted(of, np.arange(n), side="right")
             least = height - best[k + 1:, row].sum(axis=0) - total
-            low = np.clip(np.searchsorted(flat, 4.0 * row + np.maximum(least, -2)), row * size, (row + 1) * size)
-            counts = (row + 1) * size - low
+            low = np.minimum(np.searchsorted(flat, 4.0 * row + np.maximum(least, -2)), stop[row])
+            counts = stop[row] - low
             up = np.repeat(np.arange(len(row)), counts)
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + low[up]
-            row, word = row[up], order.reshape(-1)[at]
-            key, total = key[up] * size + word, total[up] + x[row, word]
+            row, key, total = row[up], key[up] * size + word[at], total[up] + x[row[up], word[at]]
         found.append((row, key + number * size ** len(parts), total))
     row, key, total = (np.concatenate([f[i] for f in found]) for i in range(3))
     return row, key, total
@@ -200,52 +206,58 @@ def _earlier(filters: list[np.ndarray], key: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _compared(key: int, x: dict, y: dict | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """node, smallest node of its part of the graph, weight of its links that no earlier filter has; linked nodes only.
+    """node, smallest node of its part of the graph, weight of its links; linked nodes only.
 
-    With y, the links between x and y; without, those inside x.
+    With y, the links between x and y; without, those inside x. Where filters are given, `key` is the filter in which
+    the nodes met: only links between different stars count, and only where no earlier filter has both nodes.
     """
     other = x if y is None else y
     near = x["v"] @ other["v"].T >= least
     if y is None:
         np.fill_diagonal(near, False)
+    if "filters" in x:
+        near &= x["star"][:, None] != other["star"][None, :]
     if not near.any():
         return (np.empty(0, np.int64),) * 3
     px = np.flatnonzero(near.any(axis=1))
     py = px if y is None else np.flatnonzero(near.any(axis=0))
     near = near[np.ix_(px, py)]
-    fx = _earlier([x["filters"][i] for i in px], key)
-    fy = fx if y is None else _earlier([other["filters"][i] for i in py], key)
-    first = near & ~_shared_before([fx, fy], near.shape)
+    first = near
+    if "filters" in x:
+        fx = _earlier([x["filters"][i] for i in px], key)
+        fy = fx if y is None else _earlier([other["filters"][i] for i in py], key)
+        first = near & ~_shared_before([fx, fy], near.shape)
     nx, ny = x["node"][px], other["node"][py]
     if y is None:
-        order = np.argsort(nx)
-        lowest = np.empty(len(nx), np.int64)
-        lowest[order] = nx[order][_lowest(near[np.ix_(order, order)])]
-        return nx, lowest, first @ x["weight"][px]
-    n = len(nx) + len(ny)
-    nodes, whole = np.concatenate([nx, ny]), np.zeros((n, n), bool)
-    whole[:len(nx), len(nx):] = near
-    whole[len(nx):, :len(nx)] = near.T
+        nodes, whole, links = nx, near, first @ x["weight"][px]
+    else:
+        nodes = np.concatenate([nx, ny])
+        whole = np.zeros((len(nodes), len(nodes)), bool)
+        whole[:len(nx), len(nx):] = near
+        whole[len(nx):, :len(nx)] = near.T
+        links = np.concatenate([first @ other["weight"][py], first.T @ x["weight"][px]])
     order = np.argsort(nodes)
-    lowest = np.empty(n, np.int64)
+    lowest = np.empty(len(nodes), np.int64)
     lowest[order] = nodes[order][_lowest(whole[np.ix_(order, order)])]
-    return nodes, lowest, np.concatenate([first @ other["weight"][py], first.T @ x["weight"][px]])
+    return nodes, lowest, links
 
 
-def compared_blocks(lists: DataFrame, least: float) -> DataFrame:
-    """node, hub, links: what every comparison of two blocks found for its nodes."""
-    keys = lists.select("label", "dim", "node", F.explode("filters").alias("key"))
-    shared = (keys.groupBy("label", "dim", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-              .select("label", "dim", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    # A table on its own, so that Spark can split the rows of a filter with very many nodes.
-    shared = small_side(saved(shared, "filters"))
-    members = keys.join(shared, ["label", "dim", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = members.select("label", "dim", "key", "node", "own",
-                             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("away"))
-    cell = ["label", "dim", "key", "i", "j"]
-    members = members.select("label", "dim", "key", F.least("own", "away").alias("i"), F.greatest("own", "away").alias("j"),
-                             (F.col("own") > F.col("away")).cast("int").alias("side"), "node")
-    rows = members.join(lists.drop("label", "dim"), "node").select(*cell, "side", "node", "weight", "filters", "vector")
+def _in_blocks(members: DataFrame, keys: list[str], blocks: str) -> DataFrame:
+    """The members of every key in all pairs (i, j) of its blocks, i <= j; `side` 1 are those of block j."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col(blocks))).select(
+        *keys, "node", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)).alias("away"))
+    return rows.select(*keys, F.least("own", "away").alias("i"), F.greatest("own", "away").alias("j"),
+                       (F.col("own") > F.col("away")).cast("int").alias("side"), "node")
+
+
+def compared_cells(rows: DataFrame, cell: list[str], least: float) -> DataFrame:
+    """node, hub, links: what the comparison of every cell's blocks found for its nodes.
+
+    `cell` ends with the key (a long) and the blocks i and j. `rows` has cell, side, node, weight, vector, and star and
+    filters where stars are compared.
+    """
+    cell = [*cell, "i", "j"]
+    names = [n for n in ("node", "weight", "star") if n in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts = None, []
@@ -254,48 +266,130 @@ def compared_blocks(lists: DataFrame, least: float) -> DataFrame:
             mine = [p for p in parts if p["side"] == no]
             if not mine:
                 return None
-            out = {n: np.concatenate([p[n] for p in mine]) for n in ("node", "weight", "v")}
-            return out | {"filters": [f for p in mine for f in p["filters"]]}
+            out = {n: np.concatenate([p[n] for p in mine]) for n in (*names, "v")}
+            return out | ({"filters": [f for p in mine for f in p["filters"]]} if "star" in names else {})
 
         def close() -> tuple[np.ndarray, ...] | None:
             if here is None:
                 return None
             x, y = side_of(0), side_of(1)
-            if x is None or here[3] == here[4] and len(x["node"]) < 2 or here[3] != here[4] and y is None:
+            if x is None or here[-1] == here[-2] and len(x["node"]) < 2 or here[-1] != here[-2] and y is None:
                 return None
-            return _compared(here[2], x, y, least)
+            return _compared(here[-3], x, y, least)
+
+        def found_rows(found: list) -> pa.RecordBatch:
+            found = [f for f in found if f is not None]
+            columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "hub", "links"])
 
         for batch in batches:
-            head = [batch.column(n).to_pylist() for n in cell]
-            no = batch.column("side").to_numpy()
-            nodes, weights = batch.column("node").to_numpy(), batch.column("weight").to_numpy()
-            lists, vectors = batch.column("filters"), batch.column("vector")
-            found, places = [], list(zip(*head, no.tolist()))
-            a = 0
+            places = list(zip(*[batch.column(n).to_pylist() for n in (*cell, "side")]))
+            columns = {n: batch.column(n).to_numpy() for n in names}
+            found, a = [], 0
             while a < len(places):
                 b = a + 1
                 while b < len(places) and places[b] == places[a]:
                     b += 1
-                if places[a][:5] != here:
+                if places[a][:-1] != here:
                     found.append(close())
-                    here, parts = places[a][:5], []
-                own = lists.slice(a, b - a)
-                ends = np.cumsum(own.value_lengths().to_numpy())
-                parts.append({"side": places[a][5], "node": nodes[a:b], "weight": weights[a:b],
-                              "v": _matrix(vectors.slice(a, b - a), b - a),
-                              "filters": np.split(own.flatten().to_numpy(), ends[:-1])})
+                    here, parts = places[a][:-1], []
+                part = {n: c[a:b] for n, c in columns.items()} | {"side": places[a][-1]}
+                part["v"] = _matrix(batch.column("vector").slice(a, b - a), b - a)
+                if "star" in names:
+                    own = batch.column("filters").slice(a, b - a)
+                    part["filters"] = np.split(own.flatten().to_numpy(), np.cumsum(own.value_lengths().to_numpy())[:-1])
+                parts.append(part)
                 a = b
-            yield _found(found)
-        yield _found([close()])
-
-    def _found(found: list) -> pa.RecordBatch:
-        found = [f for f in found if f is not None]
-        columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "hub", "links"])
+            yield found_rows(found)
+        yield found_rows([close()])
 
     return rows.repartition(*cell).sortWithinPartitions(*cell, "side").mapInArrow(run, "node long, hub long, links long")
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (dim, a, b) of similar vectors.
+
+    Pairs are dealt to the cells of a grid by hashes of both nodes, PAIRS_IN_CELL to a cell on average: a vector travels
+    once per cell, not once per pair, and no node makes a large cell.
+    """
+    side = max(1, math.ceil(math.sqrt(pairs.count() / PAIRS_IN_CELL)))
+    place = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.select("dim", place.alias("cell"), "a", "b")
+    wanted = pairs.select("cell", F.col("a").alias("node")).union(pairs.select("cell", F.col("b").alias("node"))).distinct()
+    none = F.lit(None)
+    rows = (wanted.join(nodes.select("node", "dim", "vector"), "node")
+            .select("dim", "cell", F.col("node").alias("a"), none.cast("bigint").alias("b"), "vector")
+            .union(pairs.select("dim", "cell", "a", "b", none.cast(nodes.schema["vector"].dataType))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, vectors = None, [], []
+        for batch in batches:
+            head = np.stack([batch.column(n).to_numpy() for n in ("dim", "cell")])
+            known = np.asarray(batch.column("b").is_null())
+            cuts = np.flatnonzero(np.any(np.diff(head, axis=1), axis=0) | (np.diff(known.astype(np.int8)) != 0)) + 1
+            out = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if (now := tuple(head[:, a].tolist())) != here:
+                    here, ids, vectors = now, [], []
+                part = batch.slice(a, b - a)
+                first = part.column("a").to_numpy()
+                if known[a]:
+                    ids.append(first)
+                    vectors.append(_matrix(part.column("vector"), b - a))
+                    continue
+                if len(ids) > 1 or len(vectors) == 1 and not np.all(np.diff(ids[0]) > 0):
+                    all_ids = np.concatenate(ids)
+                    order = np.argsort(all_ids)
+                    ids, vectors = [all_ids[order]], [np.concatenate(vectors)[order]]
+                second = part.column("b").to_numpy()
+                x, y = (vectors[0][np.searchsorted(ids[0], side)] for side in (first, second))
+                near = np.einsum("ij,ij->i", x, y) >= least
+                out.append((np.full(near.sum(), now[0]), first[near], second[near]))
+            columns = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["dim", "a", "b"])
+
+    return (rows.select(F.col("dim").cast("bigint").alias("dim"), "cell", "a", "b", "vector").repartition("dim", "cell")
+            .sortWithinPartitions("dim", "cell", F.asc_nulls_first("b")).mapInArrow(run, "dim long, a long, b long"))
+
+
+def found_links(lists: DataFrame, least: float) -> DataFrame:
+    """node, hub, links: parts of every node's links, each link in one of them, and a smaller linked node."""
+    place = ["label", "dim", "key"]
+    keys = lists.select("label", "dim", "node", F.explode("filters").alias("key"))
+    filters = (keys.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"), F.max("node").alias("last"))
+               .where("n > 1"))
+    # A table of its own, so that Spark can split the rows of a filter with very many nodes.
+    filters = saved(filters, "filters")
+    members = saved(keys.join(small_side(filters.select(*place, "hub")), place), "members")
+
+    # Every node with the smallest one of its filters; its star is the smallest that it is linked with.
+    pairs = saved(members.where("node <> hub").select("dim", F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    links = saved(near_pairs(pairs, lists, least), "links")
+    stars = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("star"))
+    stars = saved(lists.select("node").join(stars, "node", "left").select("node", F.coalesce("star", "node").alias("star")), "stars")
+
+    # Inside the stars: all pairs, block by block.
+    sizes = saved(stars.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n"))
+                  .where("n > 1").drop("n"), "sizes")
+    inside = _in_blocks(stars.join(sizes, "star"), ["star"], "blocks").withColumnRenamed("star", "key")
+    inside = inside.join(lists.select("node", "weight", "vector"), "node")
+    inside = saved(compared_cells(inside, ["key"], least), "found")
+
+    # Between stars: filters in which several meet. Two nodes alone that are not linked are done.
+    known = links.select("dim", F.col("a").alias("last"), F.col("b").alias("hub"))
+    two = filters.where("n = 2").join(known, ["dim", "hub", "last"], "left_semi")
+    open_ = saved(filters.where("n > 2").select(*place).union(two.select(*place)), "open")
+    members = members.join(small_side(open_), place, "left_semi").join(stars, "node")
+    mixed = (members.groupBy(*place).agg(F.min("star").alias("a"), F.max("star").alias("b"), F.ceil(
+        F.count(F.lit(1)) / BLOCK).alias("blocks")).where("a < b").select(*place, "blocks"))
+    members = saved(members.select(*place, "node"), "members")
+    across = _in_blocks(members.join(small_side(saved(mixed, "mixed")), place), place, "blocks")
+    across = across.join(stars, "node").join(lists.drop("label", "dim"), "node")
+    return inside.union(saved(compared_cells(across, place, least), "found"))
+
+
 def linked_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", label_col: str = "label",
                    vector_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest id reachable), kept."""
@@ -312,7 +406,7 @@ def linked_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id",
     most = nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     settings = {r["dim"]: tuned(r["dim"], r["n"], least) for r in most}
     lists = saved(filter_lists(nodes.drop("least_id"), settings), "lists")
-    found = saved(compared_blocks(lists, least), "found")
+    found = found_links(lists, least)
     groups = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     ids = nodes.select("node", "least_id").join(groups, "node").groupBy("component").agg(F.min("least_id").alias("group_id"))
     ids = groups.join(ids, "component").select("node", "group_id")
