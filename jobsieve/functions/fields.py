@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsieve.functions import profile as P
-from jobsieve.functions.html import decoded, element_bodies, without_tags
+from jobsieve.functions.elements import Pick, Selector
+from jobsieve.functions.html import decoded
 from jobsieve.functions.tags import employment_type_loose
 from jobsieve.functions.text import (
     ascii_lower, blank_to_null, contains_any, earliest, ellipsis, first_keyword, first_match, last_line_value,
@@ -338,83 +339,65 @@ def truncate_text(c: Column, n: int, soft_min: int | None = None) -> Column:
 
 # --- blocks of the page ---------------------------------------------------------
 
-def tag_pattern(tag: str) -> str:
-    """Elements of one name; the body is group 1."""
-    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-
-
-def class_pattern(name: str, part: bool = False) -> str:
-    """Elements with a class (or, with `part`, a class value containing the text); body is group 2."""
-    value = rf"[^\"']*{name}[^\"']*" if part else rf"(?:[^\"']*\s)?{name}(?:\s[^\"']*)?"
-    return rf"(?is)<([a-z][a-z0-9]*)\s[^>]*?class\s*=\s*[\"'](?-i:{value})[\"'][^>]*>(.*?)</\1\s*>"
-
-
-def id_pattern(name: str) -> str:
-    return rf"(?is)<([a-z][a-z0-9]*)\s[^>]*?id\s*=\s*[\"']{name}[\"'][^>]*>(.*?)</\1\s*>"
-
-
-# Block rules in order of preference, as (pattern, body group).
+# Block rules in order of preference.
 TITLE_BLOCKS = (
-    (tag_pattern("h1"), 1),
-    (class_pattern("listing-title"), 2),
-    (class_pattern("job-title"), 2),
-    (class_pattern("classified-title"), 2),
-    (class_pattern("title", part=True), 2),
+    Selector(tag="h1"),
+    Selector(cls="listing-title"),
+    Selector(cls="job-title"),
+    Selector(cls="classified-title"),
+    Selector(part="title"),
 )
 DESCRIPTION_BLOCKS = (
-    (class_pattern("listing-description"), 2),
-    (class_pattern("job-description"), 2),
-    (class_pattern("classified-description"), 2),
-    (class_pattern("description"), 2),
-    (class_pattern("description", part=True), 2),
-    (class_pattern("listing-body"), 2),
-    (class_pattern("content"), 2),
-    (r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|\z)", 1),
+    Selector(cls="listing-description"),
+    Selector(cls="job-description"),
+    Selector(cls="classified-description"),
+    Selector(cls="description"),
+    Selector(part="description"),
+    Selector(cls="listing-body"),
+    Selector(cls="content"),
+    Selector(tag="p"),
 )
 CONTENT_BLOCKS = (
-    (class_pattern("listing-content"), 2),
-    (class_pattern("classified-content"), 2),
-    (class_pattern("job-content"), 2),
-    (class_pattern("content"), 2),
-    (class_pattern("main-content"), 2),
-    (id_pattern("content"), 2),
-    (tag_pattern("main"), 1),
-    (class_pattern("container"), 2),
+    Selector(cls="listing-content"),
+    Selector(cls="classified-content"),
+    Selector(cls="job-content"),
+    Selector(cls="content"),
+    Selector(cls="main-content"),
+    Selector(id="content"),
+    Selector(tag="main"),
+    Selector(cls="container"),
 )
-TABLE_BLOCK = (tag_pattern("table"), 1)
+TABLE_BLOCK = Selector(tag="table")
 DETAIL_ROWS = (
-    (class_pattern("listing-detail"), 2),
-    (class_pattern("detail-item"), 2),
-    (tag_pattern("tr"), 1),
+    Selector(cls="listing-detail"),
+    Selector(cls="detail-item"),
+    Selector(tag="tr"),
 )
 
 
-def block_title(html: Column, rules=TITLE_BLOCKS, default: str = P.NO_TITLE) -> Column:
-    """First element of the first rule that has text."""
-    found = [blank_to_null(trimmed(without_tags(F.regexp_extract(html, p, g)))) for p, g in rules]
-    return F.coalesce(*found, F.lit(default))
+def title_pick(rules=TITLE_BLOCKS) -> Pick:
+    """First element of the first rule whose first element has text."""
+    return Pick(tuple(rules), "first")
 
 
-def _over(html: Column, rule, n: int) -> Column:
-    return F.filter(element_bodies(html, *rule), lambda x: F.length(x) > n)
+def block_pick(rules=DESCRIPTION_BLOCKS, over: int = 50) -> Pick:
+    """First block of more than `over` characters, rule by rule."""
+    return Pick(tuple(rules), "over", over)
 
 
-def first_block(html: Column, rules=DESCRIPTION_BLOCKS, over: int = 50, default: str = P.NO_DESCRIPTION) -> Column:
-    """First block of more than `over` characters, rule by rule."""
-    return F.coalesce(*[F.get(_over(html, rule, over), 0) for rule in rules], F.lit(default))
+def block_picks(rules=CONTENT_BLOCKS, over: int = 100) -> dict[str, Pick]:
+    """Longest table, and longest content block, of more than `over` characters; `longest_block` takes one of them."""
+    return {"table": Pick((TABLE_BLOCK,), "longest", over), "content": Pick(tuple(rules), "longest", over)}
 
 
-def _longest(blocks: Column) -> Column:
-    """Longest text of an array, the first one among equals; NULL for an empty array."""
-    return F.reduce(blocks, F.lit(None).cast("string"),
-                    lambda best, x: F.when(best.isNull() | (F.length(x) > F.length(best)), x).otherwise(best))
+def detail_pick(rules=DETAIL_ROWS) -> Pick:
+    """Rows of details by any rule, in document order."""
+    return Pick(tuple(rules), "all")
 
 
-def longest_block(html: Column, rules=CONTENT_BLOCKS, over: int = 100) -> Column:
-    """Longest table of more than `over` characters, else the longest content block; '' without one."""
-    table = _longest(_over(html, TABLE_BLOCK, over))
-    content = _longest(F.concat(*[_over(html, rule, over) for rule in rules]))
-    return squeezed(F.coalesce(table, content, F.lit("")))
+def longest_block(parts: Column) -> Column:
+    """Longest table, else the longest content block; '' without one. `parts`: see `block_picks`."""
+    return squeezed(F.coalesce(parts["table"], parts["content"], F.lit("")))
 
 
 def short_description(text: Column, over: int = 50, n: int = 200) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobsieve.functions.text import let, squeezed, trimmed
+from jobsieve.functions.text import let, squeezed
 
 # Named characters decoded in page text; the ampersand comes last.
 ENTITIES = (
@@ -51,9 +51,3 @@ def body_text(html: Column, keep_scripts: bool = False) -> Column:
 
 def document_title(html: Column) -> Column:
     return squeezed(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-
-
-def element_bodies(html: Column, pattern: str, group: int = 1) -> Column:
-    """Trimmed text of every element that the pattern finds."""
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    return F.transform(found, lambda x: trimmed(without_tags(x)))

@@ -51,7 +51,10 @@ def _class_counts():
 
 
 def _per_page(links: DataFrame, pages: DataFrame | None) -> DataFrame:
-    """Class counts of every page. Links are counted by page first; pages of `pages` without links add zeros."""
+    """Class counts of every page. Links are counted by page first; pages of `pages` without links add zeros.
+
+    Both parts are one row a page, so the second grouping moves little.
+    """
     counts = links.groupBy("page_no").agg(*_class_counts())
     if pages is None:
         return counts

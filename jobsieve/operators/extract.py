@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import fields as X
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
+from jobsieve.functions.elements import Pick, Selector, page_parts
 from jobsieve.functions.html import body_text, document_title
 from jobsieve.functions.profile import ExtractionProfile
 from jobsieve.functions.text import blank_to_null, iso_utc, text_lines
@@ -127,12 +128,15 @@ def extract_postings(pages: DataFrame, profile: ExtractionProfile, scraped_at: C
 
 def _skills_records(pages: DataFrame, p: ExtractionProfile, stamp: Column) -> DataFrame:
     html, text, lines, url = F.col("html"), F.col("body_text"), F.col("lines"), F.col("url")
-    out = pages.withColumn("lines", text_lines(text))
+    # The page is walked once for all blocks.
+    blocks = page_parts(html, heading=Pick((Selector(tag="h1"),), "first"), **X.block_picks())
+    out = computed_once(pages, {"parts": blocks, "lines": text_lines(text)})
+    parts = F.col("parts")
     return out.select(
         X.url_tail(url).alias("id"), X.job_id(url).alias("job_id"),
-        X.title_fallback(F.col("page_title"), F.regexp_extract(html, X.tag_pattern("h1"), 1), lines,
+        X.title_fallback(F.col("page_title"), F.coalesce(parts["heading"], F.lit("")), lines,
                          p.own_domain).alias("title"),
-        "url", X.longest_block(html).alias("description"),
+        "url", X.longest_block(parts).alias("description"),
         F.coalesce(X.line_location(lines, p.cities), F.lit(p.default_location)).alias("location"),
         X.salary_phrase(lines, "line").alias("salary"), X.labelled(lines, P.COMPANY_LINE).alias("company"),
         X.contact_of_lines(lines).alias("contact"),
@@ -144,10 +148,12 @@ def _skills_records(pages: DataFrame, p: ExtractionProfile, stamp: Column) -> Da
 
 def _keyed_records(pages: DataFrame, p: ExtractionProfile, stamp: Column) -> DataFrame:
     html, text = F.col("html"), F.col("body_text")
-    rows = F.concat(*[X.element_bodies(html, pattern, group) for pattern, group in X.DETAIL_ROWS])
-    out = pages.select(
-        X.block_title(html).alias("title"), "url", X.first_block(html).alias("description"),
-        X.details_map(rows, text).alias("additional_details"), X.preview(text).alias("full_text"))
+    blocks = page_parts(html, title=X.title_pick(), block=X.block_pick(), rows=X.detail_pick())
+    parts = F.col("parts")
+    out = computed_once(pages, {"parts": blocks}).select(
+        F.coalesce(parts["title"], F.lit(P.NO_TITLE)).alias("title"), "url",
+        F.coalesce(parts["block"], F.lit(P.NO_DESCRIPTION)).alias("description"),
+        X.details_map(parts["rows"], text).alias("additional_details"), X.preview(text).alias("full_text"))
     details = F.col("additional_details")
 
     def known(name):

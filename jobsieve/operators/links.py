@@ -4,37 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
-from jobsieve.functions.fields import class_pattern, contact_loose, job_id, salary_phrase, short_description
-from jobsieve.functions.html import decoded, without_tags, without_unseen
-from jobsieve.functions.text import blank_to_null, ellipsis, let, squeezed, trimmed
+from jobsieve.functions.elements import Selector, listing_items, page_anchors
+from jobsieve.functions.fields import contact_loose, job_id, salary_phrase, short_description
+from jobsieve.functions.text import blank_to_null, ellipsis, squeezed
 from jobsieve.operators.keyed import dedup
 
-# A block of the page starts at each of these tags; its text stands for the parent element's text.
-BLOCK_START = r"(?i)(?=</?(?:li|tr|td|p|div)[\s>])"
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>"""
-ANCHOR_TEST = r"(?i)<a\s"
-
-
-def _anchors(block: Column) -> Column:
-    """Anchors of one block with the block's text."""
-    hrefs = F.regexp_extract_all(block, F.lit(ANCHOR), F.lit(1))
-    bodies = F.regexp_extract_all(block, F.lit(ANCHOR), F.lit(2))
-    return let(trimmed(without_tags(block)), lambda parent: F.zip_with(hrefs, bodies, lambda h, b: F.struct(
-        decoded(h).alias("href"), trimmed(without_tags(b)).alias("title"), parent.alias("parent_text"))))
-
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per anchor: `pos` in the page, `href`, `title`, `parent_text`; the HTML is left behind."""
+    """One row per anchor with an address: `pos` in the page, `href`, `title`, `parent_text`; the HTML is left behind.
+
+    `parent_text` is the text of the anchor's parent element. A page carries it once, however many anchors share it;
+    the rows repeat it, so steps behind should drop it once it is classified.
+    """
     keep = [c for c in pages.columns if c != html]
-    blocks = F.filter(F.split(without_unseen(F.col(html)), BLOCK_START), lambda b: F.regexp_like(b, F.lit(ANCHOR_TEST)))
-    anchors = F.flatten(F.transform(blocks, _anchors))
-    rows = pages.select(*keep, F.posexplode(anchors).alias("pos", "link"))
-    return rows.select(*keep, F.col("pos").cast("bigint").alias("pos"), "link.href", "link.title", "link.parent_text")
+    found = pages.select(*keep, page_anchors(F.col(html)).alias("_a"))
+    rows = found.select(*keep, F.col("_a.parents").alias("_parents"), F.posexplode("_a.anchors").alias("pos", "link"))
+    return rows.select(*keep, F.col("pos").cast("bigint").alias("pos"), "link.href", "link.title",
+                       F.get("_parents", F.col("link.parent")).alias("parent_text"))
 
 
 def absolutize(df: DataFrame, base: str, href: str = "href", out: str = "url") -> DataFrame:
@@ -113,27 +104,17 @@ def until_empty(links: DataFrame, frontier: DataFrame, run: int = 1) -> DataFram
     return links.where(F.col("page_no") < F.coalesce(stop, F.lit((1 << 63) - 1)))
 
 
-# Listing rules in order of preference, as (pattern, group of the row's HTML).
+# Listing rules in order of preference, and the parts of a row.
 LISTING_RULES = (
-    (r"""(?is)<ul\s[^>]*?class\s*=\s*["'](?:[^"']*\s)?listings(?:\s[^"']*)?["'][^>]*>.*?</ul\s*>""", 0, "li"),
-    (class_pattern("listing-item"), 2, None),
-    (class_pattern("job-listing"), 2, None),
-    (class_pattern("listing", part=True), 2, None),
-    (r"""(?is)<tr\s[^>]*?class\s*=\s*["'][^"']*listing[^"']*["'][^>]*>(.*?)</tr\s*>""", 1, None),
-    (class_pattern("classified-listing"), 2, None),
+    Selector(tag="li", parent=Selector(tag="ul", cls="listings")),
+    Selector(cls="listing-item"),
+    Selector(cls="job-listing"),
+    Selector(part="listing"),
+    Selector(tag="tr", part="listing"),
+    Selector(cls="classified-listing"),
 )
-ROW_DESCRIPTION = r"""(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"""
-ROW_DATE = r"(?is)<time(?:\s[^>]*)?>(.*?)</time\s*>"
-ROW_DATETIME = r"""(?is)<time\s[^>]*?datetime\s*=\s*["']([^"']*)["']"""
-
-
-def _rule_rows(html: Column, rule) -> Column:
-    pattern, group, child = rule
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    if child is None:
-        return found
-    item = rf"(?is)<{child}(?:\s[^>]*)?>(.*?)</{child}\s*>"
-    return F.flatten(F.transform(found, lambda x: F.regexp_extract_all(x, F.lit(item), F.lit(1))))
+ROW_DESCRIPTION = (Selector(tag="p"), Selector(cls="description"), Selector(cls="listing-description"))
+ROW_DATE = (Selector(tag="time"), Selector(cls="date"), Selector(cls="listing-date"))
 
 
 def listing_rows(pages: DataFrame, base: str, category_path: str, rules=LISTING_RULES, fallback: bool = True,
@@ -144,41 +125,22 @@ def listing_rows(pages: DataFrame, base: str, category_path: str, rules=LISTING_
     `date_posted` is NULL where the row carries no date.
     """
     keep = [c for c in pages.columns if c != html]
-    some = [let(_rule_rows(F.col("_html"), rule), lambda rows: F.when(F.size(rows) > 0, rows)) for rule in rules]
-    ruled = F.coalesce(*some)
-    tagged = pages.select(*keep, without_unseen(F.col(html)).alias("_html"))
-    if fallback:
-        links = F.filter(F.regexp_extract_all(F.col("_html"), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0)),
-                         lambda a: F.contains(F.regexp_extract(a, ANCHOR, 1), F.lit(category_path)))
-        links = F.slice(links, 1, 10)
-    else:
-        links = F.array().cast("array<string>")
-    picked = tagged.select(*keep, ruled.alias("_ruled"), links.alias("_links"))
-    rows = picked.select(*keep, F.col("_ruled").isNotNull().alias("_is_row"), F.posexplode(
-        F.coalesce(F.slice(F.col("_ruled"), 1, per_page), F.col("_links"))).alias("_i", "_row"))
-
+    items = listing_items(F.col(html), rules, ROW_DESCRIPTION, ROW_DATE, category_path if fallback else None, per_page, 10)
+    rows = pages.select(*keep, F.posexplode(items).alias("_i", "_row"))
     row, nr = F.col("_row"), (F.col("_i") + 1).cast("string")
-    href = decoded(F.regexp_extract(row, ANCHOR, 1))
-    has_anchor = F.regexp_like(row, F.lit(ANCHOR))
-    anchor_text = squeezed(without_tags(F.regexp_extract(row, ANCHOR, 2)))
-    row_text = squeezed(without_tags(row))
-    titled = rows.select(
-        *keep, "_is_row", (F.col("_i") + 1).cast("bigint").alias("row_no"),
-        F.when(~F.col("_is_row"), F.coalesce(blank_to_null(anchor_text), F.concat(F.lit("Job Listing "), nr)))
-        .when(has_anchor, anchor_text)
-        .otherwise(F.coalesce(blank_to_null(row_text), F.concat(F.lit("Listing "), nr))).alias("_title"),
-        F.when(~has_anchor, F.concat(F.lit(base), F.lit(category_path)))
+    href, anchor = row["href"], row["anchor"]
+    rows = rows.select(
+        *keep, row["is_row"].alias("_is_row"), (F.col("_i") + 1).cast("bigint").alias("row_no"),
+        F.when(~row["is_row"], F.coalesce(blank_to_null(anchor), F.concat(F.lit("Job Listing "), nr)))
+        .when(anchor.isNotNull(), anchor)
+        .otherwise(F.coalesce(blank_to_null(row["text"]), F.concat(F.lit("Listing "), nr))).alias("_title"),
+        F.when(anchor.isNull(), F.concat(F.lit(base), F.lit(category_path)))
         .when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href)).alias("link_url"),
-        F.coalesce(blank_to_null(squeezed(without_tags(F.regexp_extract(row, ROW_DESCRIPTION, 1)))),
-                   blank_to_null(row_text)).alias("_text"),
-        F.coalesce(blank_to_null(F.regexp_extract(row, ROW_DATETIME, 1)),
-                   blank_to_null(trimmed(without_tags(F.regexp_extract(row, ROW_DATE, 1))))).alias("_date"),
-    )
+        row["description"].alias("_text"), blank_to_null(row["date"]).alias("_date"))
     title = F.col("_title")
-    return titled.where(~F.col("_is_row") | (F.length(title) >= 3)).select(
-        *keep, "row_no", ellipsis(title, 100).alias("title"), "link_url",
-        F.when(F.col("_is_row"), F.col("_date")).alias("date_posted"), F.lit(location).alias("location"),
-        ellipsis(F.when(F.col("_is_row"), F.coalesce("_text", title)).otherwise(title), 200).alias("description"))
+    return rows.where(~F.col("_is_row") | (F.length(title) >= 3)).select(
+        *keep, "row_no", ellipsis(title, 100).alias("title"), "link_url", F.col("_date").alias("date_posted"),
+        F.lit(location).alias("location"), ellipsis(F.coalesce(blank_to_null(F.col("_text")), title), 200).alias("description"))
 
 
 def city_table(spark: SparkSession, cities: dict[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import fields as X
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
+from jobsieve.functions.elements import page_parts
 from jobsieve.functions.text import text_lines
 from jobsieve.operators.extract import computed_once, drop_challenge, extract_postings, with_full_description
 from jobsieve.registry.base import OWN_DOMAIN, STAMP, fx_posting_text, fx_rich_text, query, table
@@ -284,17 +285,35 @@ def sections_rich(spark, sf):
         X.capped_section(text, P.SQUEEZED_REQUIREMENTS, flat=True).alias("flat_requirements"))
 
 
-@query("details_map", f"""
+DETAILS_SQL = f"""
 WITH r AS (SELECT seq, unnest({LINES}) AS line, generate_subscripts({LINES}, 1) AS i FROM fx_rich_text),
 k AS (SELECT seq, i, {trim_sql("string_split(line, ':')[1]")} AS key, {trim_sql("string_split(line, ':')[2]")} AS value FROM r WHERE contains(line, ':')),
 f AS (SELECT seq, i, regexp_replace(lower(key), '\\s+', '_', 'g') AS key, value FROM k
   WHERE key <> '' AND value <> '' AND length(key) < 50 AND length(value) < 200)
-SELECT seq, key, arg_max(value, i) AS value FROM f GROUP BY 1, 2""", R)
+SELECT seq, key, arg_max(value, i) AS value FROM f GROUP BY 1, 2"""
+
+
+@query("details_map", DETAILS_SQL, R)
 def details_map(spark, sf):
     lines = text_lines(F.col("body_text"))
     return fx_rich_text(spark, sf).select("seq", F.explode(X.details_map(lines)).alias("key", "value"))
 
 
+@query("details_of_blocks", DETAILS_SQL, R)
+def details_of_blocks(spark, sf):
+    """Lines as table rows and detail blocks of a page: they are read in the order of the page, whatever rule fits them."""
+    def block(line, i):
+        inner = F.concat(F.lit("<i>"), line, F.lit("</i>"))
+        return (F.when(i % 3 == 0, F.concat(F.lit("<table><tr><td>"), inner, F.lit("</td></tr></table>")))
+                .when(i % 3 == 1, F.concat(F.lit("<div class='a listing-detail'><div>"), inner, F.lit("</div></div>")))
+                .otherwise(F.concat(F.lit("<p class=detail-item>"), inner, F.lit("</p>"))))
+
+    html = F.array_join(F.transform(text_lines(F.col("body_text")), block), "")
+    rows = computed_once(fx_rich_text(spark, sf).select("seq", html.alias("html")),
+                         {"parts": page_parts(F.col("html"), rows=X.detail_pick())}, ["seq"])
+    return rows.select("seq", F.explode(X.details_map(F.col("parts.rows"))).alias("key", "value"))
+
+
 def label_sql(k):
     return f"nullif(regexp_extract(lower(body_text), '{k}[\\s:]+([^.\\n]+)', 1), '')"
 

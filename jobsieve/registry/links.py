@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from jobsieve.functions import fields as X
+from jobsieve.functions import profile as P
 from jobsieve.functions import tags
+from jobsieve.functions.elements import Selector, page_parts
 from jobsieve.operators import classify as C
 from jobsieve.operators import links as L
-from jobsieve.operators.extract import category_records, with_challenge_flag, with_extraction_ok, with_page_text
+from jobsieve.operators.extract import category_records, computed_once, with_challenge_flag, with_extraction_ok, with_page_text
 from jobsieve.plans.listing_report import listing_report
 from jobsieve.registry.base import STAMP as NOW
 from jobsieve.registry.base import BASE, OWN_DOMAIN, fx_links, fx_posting_text, query, table
@@ -47,32 +49,48 @@ def found_date(spark, sf):
     return C.with_found_date(fx_links(spark, sf)).select("page_no", "pos", "found_date", "has_date")
 
 
+# Every seventh listing page has lost its links; it is visited all the same.
+LINKED = "page_no % 7 <> 3"
+VISITED = "v AS (SELECT DISTINCT page_no FROM fx_links)"
 COUNTS = """count(*) AS total, count(*) FILTER (WHERE link_class = 'sponsored') AS sponsored,
   count(*) FILTER (WHERE link_class = 'regular') AS regular, count(*) FILTER (WHERE link_class = 'unknown') AS unknown"""
 PCT = "CAST((2000 * ({a}) + ({b})) // (2 * ({b})) AS BIGINT) / 10.0::DOUBLE"
 
 
-@query("page_breakdown", f"""
-WITH {STRICT_LINKS}, g AS (SELECT page_no, {COUNTS} FROM c GROUP BY 1)
-SELECT *, {PCT.format(a='sponsored', b='total')} AS sponsored_pct FROM g""", V)
+COUNTED = f"""{STRICT_LINKS}, {VISITED}, n AS (SELECT page_no, {COUNTS} FROM c WHERE {LINKED} GROUP BY 1),
+g AS (SELECT page_no, coalesce(total, 0) AS total, coalesce(sponsored, 0) AS sponsored, coalesce(regular, 0) AS regular,
+  coalesce(unknown, 0) AS unknown FROM v LEFT JOIN n USING (page_no))"""
+SHARE = "CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE {share} END"
+SPONSORED_PCT = SHARE.format(share=PCT.format(a="sponsored", b="total"))
+
+
+def visited(spark, sf):
+    """Links of the pages that have any, and all pages."""
+    links = fx_links(spark, sf)
+    return C.classify_links(L.posting_links(links.where(LINKED)), "strict"), links.select("page_no").distinct()
+
+
+@query("page_breakdown", f"WITH {COUNTED} SELECT *, {SPONSORED_PCT} AS sponsored_pct FROM g", V)
 def page_breakdown(spark, sf):
-    return C.page_breakdown(strict_links(spark, sf), fx_links(spark, sf))
+    return C.page_breakdown(*visited(spark, sf))
 
 
 @query("breakdown_with_total", f"""
-WITH {STRICT_LINKS}, g AS (SELECT page_no, {COUNTS} FROM c GROUP BY ROLLUP (page_no))
-SELECT *, {PCT.format(a='sponsored', b='total')} AS sponsored_pct FROM g""", V)
+WITH {COUNTED}, r AS (SELECT page_no, sum(total)::BIGINT AS total, sum(sponsored)::BIGINT AS sponsored,
+  sum(regular)::BIGINT AS regular, sum(unknown)::BIGINT AS unknown FROM g GROUP BY ROLLUP (page_no))
+SELECT *, {SPONSORED_PCT} AS sponsored_pct FROM r""", V)
 def breakdown_with_total(spark, sf):
-    return C.breakdown_with_total(strict_links(spark, sf), fx_links(spark, sf))
+    return C.breakdown_with_total(*visited(spark, sf))
 
 
-TOTALS = f"""{STRICT_LINKS}, g AS (SELECT count(DISTINCT page_no) AS pages_analyzed, {COUNTS} FROM c),
-t AS (SELECT *, {PCT.format(a='sponsored + regular', b='total')} AS classified_pct FROM g)"""
+TOTALS = f"""{COUNTED}, s AS (SELECT count(*) AS pages_analyzed, sum(total)::BIGINT AS total, sum(sponsored)::BIGINT AS sponsored,
+  sum(regular)::BIGINT AS regular, sum(unknown)::BIGINT AS unknown FROM g),
+t AS (SELECT *, {SHARE.format(share=PCT.format(a='sponsored + regular', b='total'))} AS classified_pct FROM s)"""
 
 
 @query("class_totals", f"WITH {TOTALS} SELECT * FROM t", V)
 def class_totals(spark, sf):
-    return C.class_totals(strict_links(spark, sf), fx_links(spark, sf))
+    return C.class_totals(*visited(spark, sf))
 
 
 @query("quality_band", f"""
@@ -83,7 +101,7 @@ WITH {TOTALS} SELECT *,
   CASE WHEN unknown > 0 THEN CAST(unknown AS VARCHAR) || ' jobs need pattern review' ELSE 'All jobs classified successfully' END AS unknown_jobs
 FROM t""", V)
 def quality_band(spark, sf):
-    return C.quality_band(C.class_totals(strict_links(spark, sf)))
+    return C.quality_band(C.class_totals(*visited(spark, sf)))
 
 
 @query("ending_patterns", f"""
@@ -301,7 +319,35 @@ def page_title_text(spark, sf):
                         X.preview(F.col("body_text")).alias("preview"), F.length("body_text").alias("n_chars"))
 
 
-NAV_RULE = (r"(?is)<nav(?:\s[^>]*)?>.*?</nav\s*>", 0, "li")
+# Pages whose list items hold nested blocks around each anchor: `li`, two `div`, and text beside the anchor in each.
+NESTED_ROWS = """replace(replace(replace(html, '<nav><ul>', '<nav><ul class="x listings">'), '<li>',
+  '<li>New <div><span class="description">About <b>it</b></span><div>Job '), '</a></li>',
+  '</a> today</div> <span class="listing-date">1 July</span></div></li>')"""
+LI_ANCHOR = "(?is)<li><a\\s[^>]*?href\\s*=\\s*[\"'']?([^\"''\\s>]*)[\"'']?[^>]*>(.*?)</a></li>"
+NESTED_SQL = f"""a AS (SELECT page_id, unnest(regexp_extract_all(html, '{LI_ANCHOR}', 1)) AS href,
+  unnest(regexp_extract_all(html, '{LI_ANCHOR}', 2)) AS body, generate_subscripts(regexp_extract_all(html, '{LI_ANCHOR}', 1), 1) AS no FROM pages)"""
+
+
+@query("page_links_nested", f"""
+WITH {NESTED_SQL} SELECT page_id, no - 1 AS pos, {untag('href')} AS href, {trim_sql(untag('body'))} AS title,
+  'Job ' || {untag('body')} || ' today' AS parent_text FROM a""")
+def page_links_nested(spark, sf):
+    """The parent's text is that of the innermost element around the anchor."""
+    pages = spread(table(spark, sf, "pages")).select("page_id", F.expr(NESTED_ROWS).alias("html"))
+    return L.extract_links(pages)
+
+
+@query("listing_rows_nested", f"""
+WITH {NESTED_SQL}, t AS (SELECT *, trim(regexp_replace({untag('body')}, '\\s+', ' ', 'g')) AS title FROM a WHERE no <= 20)
+SELECT page_id, no AS row_no, CASE WHEN length(title) > 100 THEN substring(title, 1, 100) || '...' ELSE title END AS title,
+  '{BASE}' || {untag('href')} AS link_url, '1 July' AS date_posted, 'Saudi Arabia' AS location, 'About it' AS description
+FROM t WHERE length(title) >= 3""")
+def listing_rows_nested(spark, sf):
+    pages = spread(table(spark, sf, "pages")).select("page_id", F.expr(NESTED_ROWS).alias("html"))
+    return L.listing_rows(pages, BASE, "/jobs/")
+
+
+NAV_RULE = Selector(tag="li", parent=Selector(tag="ul", parent=Selector(tag="nav")))
 SQUEEZED_ROW = f"trim(regexp_replace({untag('row_html')}, '\\s+', ' ', 'g'))"
 
 
@@ -385,7 +431,8 @@ def extraction_ok(spark, sf):
     return with_extraction_ok(titled, f"www.{OWN_DOMAIN}").select("seq", "error", "extraction_ok")
 
 
-P_BLOCKS = f"""list_transform(list_filter(string_split(regexp_replace(html, '(?i)(</?p[\\s>])', chr(1) || '\\1', 'g'), chr(1)),
+# A paragraph without an end tag ends at the next one or with its article.
+P_BLOCKS = f"""list_transform(list_filter(string_split(regexp_replace(html, '(?i)(</?p[\\s>]|</article[\\s>])', chr(1) || '\\1', 'g'), chr(1)),
   lambda b: regexp_matches(b, '(?i)^<p[\\s>]')), lambda b: {trim_sql(untag("b"))})"""
 
 
@@ -396,10 +443,38 @@ SELECT page_id, coalesce(nullif({trim_sql(untag("regexp_extract(html, '(?is)<h1(
     THEN trim(regexp_replace({untag("regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1)")}, '\\s+', ' ', 'g')) ELSE '' END) AS longest_block
 FROM pages""")
 def block_fields(spark, sf):
-    html = F.col("html")
-    return spread(table(spark, sf, "pages")).select(
-        "page_id", X.block_title(html).alias("title"), X.first_block(html).alias("first_block"),
-        X.longest_block(html, ((X.tag_pattern("article"), 1),)).alias("longest_block"))
+    pages = spread(table(spark, sf, "pages"))
+    return _block_fields(pages, X.block_picks((Selector(tag="article"),)))
+
+
+def _block_fields(pages, longest):
+    parts = page_parts(F.col("html"), title=X.title_pick(), block=X.block_pick(), **longest)
+    parts, rows = F.col("parts"), computed_once(pages.select("page_id", "html"), {"parts": parts}, ["page_id"])
+    return rows.select("page_id", F.coalesce(parts["title"], F.lit(P.NO_TITLE)).alias("title"),
+                       F.coalesce(parts["block"], F.lit(P.NO_DESCRIPTION)).alias("first_block"),
+                       X.longest_block(parts).alias("longest_block"))
+
+
+# Pages whose articles stand in nested blocks: by class, id or tag.
+NESTED_BLOCK = """replace(replace(html, '<article>', CASE page_id % 3
+    WHEN 0 THEN '<div class="wide content"><div>Head <i>line</i></div><div><article>'
+    WHEN 1 THEN '<section id="content"><div>Head <i>line</i></div><div><article>'
+    ELSE '<main><div>Head <i>line</i></div><div><article>' END),
+  '</article>', CASE page_id % 3 WHEN 0 THEN '</article></div></div>' WHEN 1 THEN '</article></div></section>'
+    ELSE '</article></div></main>' END)"""
+ARTICLE = untag("regexp_extract(html, '(?is)<article(?:\\s[^>]*)?>(.*?)</article\\s*>', 1)")
+
+
+@query("block_fields_nested", f"""
+WITH a AS (SELECT page_id, html, 'Head line' || {ARTICLE} AS block FROM pages)
+SELECT page_id, coalesce(nullif({trim_sql(untag("regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1)"))}, ''), 'No title found') AS title,
+  coalesce(CASE WHEN page_id % 3 = 0 AND length({trim_sql('block')}) > 50 THEN {trim_sql('block')} END,
+    list_filter({P_BLOCKS}, lambda t: length(t) > 50)[1], 'No description found') AS first_block,
+  CASE WHEN length({trim_sql('block')}) > 100 THEN trim(regexp_replace(block, '\\s+', ' ', 'g')) ELSE '' END AS longest_block FROM a""")
+def block_fields_nested(spark, sf):
+    """The built-in rules; a block's text goes to the end of its own element, whatever elements of its name it holds."""
+    pages = spread(table(spark, sf, "pages")).withColumn("html", F.expr(NESTED_BLOCK))
+    return _block_fields(pages, X.block_picks())
 
 
 @query("listing_report", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import fields as X
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
+from jobsieve.functions.elements import Selector, page_parts
 from jobsieve.functions.text import text_lines
 from jobsieve.operators.extract import extract_postings, with_page_text
 from jobsieve.schema import POSTING_COLUMNS
@@ -141,12 +142,13 @@ def test_titles(spark):
 def test_blocks(spark):
     html = ('<h1> </h1><div class="job-title big">Nurse</div><p>short</p><p>' + "word " * 20 + "</p>"
             '<table><tr><td>Grade: A</td></tr></table><div class="date">29/06/2025</div>')
-    assert get(spark, X.block_title(T), html) == "Nurse"
-    assert get(spark, X.first_block(T), html) == ("word " * 20).strip()
-    assert get(spark, X.longest_block(T, ((X.tag_pattern("p"), 1),), 50), html) == ("word " * 20).strip()
+    parts = page_parts(T, title=X.title_pick(), block=X.block_pick(), **X.block_picks((Selector(tag="p"),), 50))
+    assert get(spark, parts["title"], html) == "Nurse"
+    assert get(spark, parts["block"], html) == ("word " * 20).strip()
+    assert get(spark, X.longest_block(parts), html) == ("word " * 20).strip()
     assert get(spark, X.datetime_of_page(T), html) == "29/06/2025"
     assert get(spark, X.datetime_of_page(T), '<time class="date" datetime="2025-06-29">x</time>') == "2025-06-29"
-    assert get(spark, X.block_title(T), "<p>x</p>") == P.NO_TITLE
+    assert get(spark, parts["title"], "<p>x</p>") is None
 
 
 def test_records_of_all_profiles(spark):
