@@ -40,6 +40,15 @@ def salary_number(mode: str = "all_digits", name: str = "salary") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def salary_digits(mode: str = "all_digits", name: str = "salary") -> Column:
+    """Digits of the salary as text; '' without any."""
+    if mode == "all_digits":
+        return F.regexp_replace(F.col(name), "[^0-9]", "")
+    if mode == "first_number":
+        return F.regexp_extract(F.col(name), "([0-9]+)", 1)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def salary_size(mode: str = "all_digits", name: str = "salary") -> Column:
     """Salary for comparisons, with as many digits as the text has (`salary_number` ends at BIGINT)."""
     if mode == "all_digits":

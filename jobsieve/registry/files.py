@@ -1,11 +1,13 @@
 """Queries that write the tables' postings to files and read them back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from jobsieve.functions.text import iso_utc
 from jobsieve.operators import keyed as K
-from jobsieve.registry.base import fx_links, fx_postings, query
+from jobsieve.registry.base import fx_links, fx_postings, query, table
 from jobsieve.registry.store import CUTOFF, EARLIER, EVENTS, STORE, earlier, events, store
-from jobsieve.schema import POSTING, POSTING_COLUMNS
+from jobsieve.schema import EXPORT_HEADERS, POSTING, POSTING_COLUMNS
 from jobsieve.session import scratch_path
 from jobsieve.sources import exports as E
 from jobsieve.sources import json_results as J
@@ -66,6 +68,66 @@ def list_exports(spark, sf):
     return catalog.groupBy("date").agg(F.sum("job_count").alias("job_count"))
 
 
+# Bytes of a row as the sink writes it: every field in quotes, quotes doubled, commas between, a line break behind.
+CSV_BYTES = " + ".join(f"strlen(replace({c}, '\"', '\"\"')) + 3" for c in POSTING_COLUMNS if c != "description") + (
+    " + strlen(replace(substring(description, 1, 1000), '\"', '\"\"')) + 3")
+HEADER_BYTES = sum(len(h) + 3 for h in EXPORT_HEADERS.values())
+
+
+@query("export_catalog", f"""
+WITH {FULL}, c AS (SELECT export_date AS date, count(*) AS job_count, round(({HEADER_BYTES} + sum({CSV_BYTES})) / 1024, 2) AS size_kb FROM full_rows GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY date DESC) AS INT) AS place, date, CAST(job_count AS BIGINT) AS job_count, size_kb, true AS is_csv FROM c""", P)
+def export_catalog(spark, sf):
+    """One file for each day, newest first, with its size."""
+    listed = E.list_exports(spark, dated(spark, sf)).withColumn("_no", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_no"))
+    return listed.select(place.alias("place"), "date", "job_count", "size_kb", F.endswith("filename", F.lit(".csv")).alias("is_csv"))
+
+
+@query("export_folders", """
+SELECT url, 'quick_auto' AS mode, '2025-07-01' AS export_date, 'regular_jobs_quick_auto_2025-07-01.csv' AS name FROM fx_postings WHERE seq % 2 = 0
+UNION ALL SELECT url, 'full', '2025-07-02', 'regular_jobs_2025-07-02.csv' FROM fx_postings WHERE seq % 2 = 1""", P)
+def export_folders(spark, sf):
+    rows = fx_postings(spark, sf).select("url", "seq")
+    out = []
+    for odd, date, words in ((0, "2025-07-01", True), (1, "2025-07-02", False)):
+        part = E.with_export_folders(rows.where(F.col("seq") % 2 == odd), date, quick=words, auto=words)
+        out.append(part.select("url", "mode", "export_date", F.lit(E.export_name(date, words, words)).alias("name")))
+    return out[0].unionByName(out[1])
+
+
+@query("iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")
+def iso_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", iso_utc(F.col("ts")).alias("at"))
+
+
+@query("seen_log_expiry", f"""
+WITH {EVENTS} SELECT posting_id, url, CAST(3 AS BIGINT) AS folders FROM ev WHERE posting_id <> '' AND scraped_at >= TIMESTAMP '2024-01-12'
+  AND scraped_at < TIMESTAMP '2024-01-27' QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY scraped_at DESC, url) = 1""")
+def seen_log_expiry(spark, sf):
+    """Eight batches of three days; one is repeated, the closed days are compacted, the first four days expire."""
+    root, ev = scratch_path(spark, "seen-log"), events(spark, sf).where("posting_id <> ''")
+    at = F.col("scraped_at").cast("timestamp")
+
+    def write(batch, low, high, day):
+        part = ev.where(f"scraped_at >= TIMESTAMP_NTZ '{low}' AND scraped_at < TIMESTAMP_NTZ '{high}'")
+        once = K.dedup(part, "posting_id", [F.desc("scraped_at"), "url"])
+        rows = once.select("posting_id", "title", "url", at.alias("scraped_date"), at.alias("first_scraped"), at.alias("last_updated"))
+        S.append_seen_log(rows, root, day, batch)
+
+    steps = [("2024-01-01", "2024-01-06"), ("2024-01-06", "2024-01-12"), ("2024-01-12", "2024-01-15"), ("2024-01-15", "2024-01-18"),
+             ("2024-01-18", "2024-01-21"), ("2024-01-21", "2024-01-24"), ("2024-01-24", "2024-01-27")]
+    days = ("2024-01-05", "2024-01-05", "2024-01-14", "2024-01-14", "2024-01-20", "2024-01-20", "2024-01-26")
+    for i, (step, day) in enumerate(zip(steps, days)):
+        write(i, *step, day)
+    write(2, *steps[2], "2024-01-20")               # a batch that is repeated on a later day
+    S.compact_seen_log(spark, root, "2024-01-26")
+    S.expire_seen_log(spark, root, "2024-01-12")
+    S.vacuum_seen_log(spark, root)
+    folders = F.lit(len(S.live_folders(spark, root))).cast("bigint")
+    return S.current_seen(S.read_seen_log(spark, root)).select("posting_id", "url", folders.alias("folders"))
+
+
 @query("append_export", f"""
 WITH {EARLIER} SELECT url, posting_id FROM fx_postings WHERE scraped_at < {CUTOFF}
 UNION ALL SELECT url, posting_id FROM fx_postings WHERE posting_id = '' OR posting_id NOT IN (SELECT posting_id FROM seen)""", P)

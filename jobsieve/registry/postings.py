@@ -87,6 +87,15 @@ def with_salary(spark, sf):
     return Q.with_salary(fx_postings(spark, sf)).select("title", "salary")
 
 
+DIGITS = "nullif(ltrim(regexp_replace(salary, '[^0-9]', '', 'g'), '0'), '')"
+# Every ninth salary gets so many digits more that no BIGINT, and no exact DOUBLE, holds it.
+LONG = "CASE WHEN seq % 9 = 0 THEN concat(salary, repeat('83', CAST(7 + seq % 5 AS INT))) ELSE salary END"
+
+
+def long_postings(spark, sf):
+    return fx_postings(spark, sf).withColumn("salary", F.expr(LONG))
+
+
 @query("posting_counts", f"""
 SELECT count(*) AS total_jobs, count(*) FILTER (WHERE {NUM} > 0) AS jobs_with_salary,
   count(*) FILTER (WHERE trim(contact) <> '') AS jobs_with_contact, count(*) FILTER (WHERE trim(email) <> '') AS jobs_with_email,
@@ -95,6 +104,15 @@ def posting_counts(spark, sf):
     return stats.posting_counts(fx_postings(spark, sf))
 
 
+@query("posting_counts_long_digits", """
+WITH p AS (SELECT * REPLACE ({long} AS salary) FROM fx_postings)
+SELECT count(*) AS total_jobs, count(*) FILTER (WHERE {digits} IS NOT NULL) AS jobs_with_salary,
+  count(*) FILTER (WHERE trim(contact) <> '') AS jobs_with_contact, count(*) FILTER (WHERE trim(email) <> '') AS jobs_with_email,
+  count(*) FILTER (WHERE is_sponsored = 'Yes') AS sponsored_jobs FROM p""".format(long=LONG, digits=DIGITS), P)
+def posting_counts_long_digits(spark, sf):
+    return stats.posting_counts(long_postings(spark, sf))
+
+
 @query("coverage", """
 SELECT count(*) AS total_jobs, count(*) FILTER (WHERE salary <> '') AS with_salary, count(*) FILTER (WHERE contact <> '') AS with_contact,
   count(*) FILTER (WHERE email <> '') AS with_email, count(*) FILTER (WHERE location <> '') AS with_location,
@@ -137,17 +155,25 @@ def n_locations(spark, sf):
     return stats.n_locations(fx_postings(spark, sf))
 
 
-SALARY_SQL = f"""
-WITH s AS (SELECT {NUM} AS v FROM fx_postings WHERE {NUM} > 0)
-SELECT count(*) AS count, min(v) AS min, max(v) AS max, list_sort(list(v))[count(*) // 2 + 1] AS median,
-  CAST((2 * sum(v) + count(*)) // (2 * count(*)) AS BIGINT) AS average FROM s"""
+def salary_sql(source):
+    return f"""
+s AS (SELECT {DIGITS} AS d FROM {source} WHERE {DIGITS} IS NOT NULL),
+l AS (SELECT list_sort(list({{'l': length(d), 'd': d}})) AS l, sum(d::HUGEINT) AS total, count(*) AS count FROM s),
+f AS (SELECT count, CAST(l[1].d AS DOUBLE) AS min, CAST(l[-1].d AS DOUBLE) AS max, CAST(l[count // 2 + 1].d AS DOUBLE) AS median,
+  CAST((2 * total + count) // (2 * count) AS DOUBLE) AS average FROM l)"""
 
 
-@query("salary_stats", SALARY_SQL, P)
+@query("salary_stats", f"WITH {salary_sql('fx_postings')} SELECT * FROM f", P)
 def salary_stats(spark, sf):
     return stats.salary_stats(fx_postings(spark, sf))
 
 
+@query("salary_stats_long_digits", f"""
+WITH p AS (SELECT {LONG} AS salary FROM fx_postings), {salary_sql('p')} SELECT * FROM f""", P)
+def salary_stats_long_digits(spark, sf):
+    return stats.salary_stats(long_postings(spark, sf))
+
+
 @query("contact_methods", """
 SELECT CASE WHEN trim(contact) <> '' AND trim(email) <> '' THEN 'both' WHEN trim(contact) <> '' THEN 'phone'
   WHEN trim(email) <> '' THEN 'email' ELSE 'neither' END AS method, count(*) AS n FROM fx_postings GROUP BY 1""", P)
@@ -155,25 +181,37 @@ def contact_methods(spark, sf):
     return stats.contact_methods(fx_postings(spark, sf))
 
 
-@query("export_stats", f"""
-WITH p AS (SELECT *, {NUM} AS v, CASE WHEN location = '' THEN 'Unknown' ELSE location END AS loc FROM fx_postings),
-top AS (SELECT loc, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, loc LIMIT 10),
-s AS (SELECT v FROM p WHERE v > 0)
-SELECT (SELECT count(*) FROM p) AS total_jobs, (SELECT count(*) FROM s) AS jobs_with_salary,
+def export_sql(salary):
+    return f"""
+WITH p AS (SELECT * REPLACE ({salary} AS salary), CASE WHEN location = '' THEN 'Unknown' ELSE location END AS loc FROM fx_postings),
+{salary_sql('p')},
+top AS (SELECT loc, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, loc LIMIT 10)
+SELECT (SELECT count(*) FROM p) AS total_jobs, f.count AS jobs_with_salary,
   (SELECT count(*) FROM p WHERE contact <> '') AS jobs_with_contact, (SELECT count(*) FROM p WHERE email <> '') AS jobs_with_email,
   (SELECT count(*) FROM p WHERE is_sponsored = 'Yes') AS sponsored_jobs, (SELECT count(DISTINCT loc) FROM p) AS total_unique_locations,
-  (SELECT string_agg(loc || ':' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, loc) FROM top) AS top_locations,
-  (SELECT min(v) FROM s) AS min, (SELECT max(v) FROM s) AS max, (SELECT list_sort(list(v))[count(*) // 2 + 1] FROM s) AS median,
-  (SELECT CAST((2 * sum(v) + count(*)) // (2 * count(*)) AS BIGINT) FROM s) AS average, (SELECT count(*) FROM s) AS count,
+  (SELECT string_agg(loc || ':' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, loc) FROM top) AS top_locations, f.*,
   (SELECT count(*) FROM p WHERE contact <> '' AND email = '') AS phone, (SELECT count(*) FROM p WHERE contact = '' AND email <> '') AS email,
-  (SELECT count(*) FROM p WHERE contact <> '' AND email <> '') AS "both", (SELECT count(*) FROM p WHERE contact = '' AND email = '') AS neither""", P)
-def export_stats(spark, sf):
+  (SELECT count(*) FROM p WHERE contact <> '' AND email <> '') AS "both", (SELECT count(*) FROM p WHERE contact = '' AND email = '') AS neither
+FROM f"""
+
+
+def _export_stats(postings):
     top = F.transform("locations.top_locations", lambda x: F.concat(x["location"], F.lit(":"), x["n"].cast("string")))
-    return stats.export_stats(fx_postings(spark, sf)).select(
+    return stats.export_stats(postings).select(
         "job_counts.*", "locations.total_unique_locations", F.array_join(top, "|").alias("top_locations"),
         "salary_analysis.*", "contact_methods.*")
 
 
+@query("export_stats", export_sql("salary"), P)
+def export_stats(spark, sf):
+    return _export_stats(fx_postings(spark, sf))
+
+
+@query("export_stats_long_digits", export_sql(LONG), P)
+def export_stats_long_digits(spark, sf):
+    return _export_stats(long_postings(spark, sf))
+
+
 @query("job_family", """
 SELECT CASE WHEN contains(lower(title), 'driver') THEN 'driver' WHEN contains(lower(title), 'engineer') THEN 'engineer'
   WHEN contains(lower(title), 'manager') THEN 'manager' WHEN contains(lower(title), 'sales') THEN 'sales'

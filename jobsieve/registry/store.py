@@ -72,17 +72,17 @@ def store(spark, sf):
 
 
 @query("upsert_seen", f"""
-WITH {EVENTS}, old AS (SELECT posting_id, title, url, scraped_at FROM ev WHERE posting_id <> '' AND scraped_at < TIMESTAMP '2024-01-10'
+WITH {EVENTS}, old AS (SELECT posting_id, title, url, scraped_at FROM ev WHERE posting_id <> '' AND scraped_at < TIMESTAMP '2024-01-19'
     QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY scraped_at DESC, url) = 1),
-new AS (SELECT posting_id, title, url FROM ev WHERE posting_id <> '' AND scraped_at >= TIMESTAMP '2024-01-28'
+new AS (SELECT posting_id, title, url FROM ev WHERE posting_id <> '' AND scraped_at >= TIMESTAMP '2024-01-19'
     QUALIFY row_number() OVER (PARTITION BY posting_id ORDER BY scraped_at DESC, url) = 1)
 SELECT posting_id, title, url, 'old' AS written FROM old WHERE posting_id NOT IN (SELECT posting_id FROM new)
 UNION ALL SELECT posting_id, title, url, 'new' FROM new""")
 def upsert_seen(spark, sf):
     ev, order = events(spark, sf), [F.desc("scraped_at"), "url"]
-    old = K.seen_rows(ev.where("scraped_at < TIMESTAMP_NTZ '2024-01-10'"), day("2024-01-10"), order)
-    new = K.seen_rows(ev.where("scraped_at >= TIMESTAMP_NTZ '2024-01-28'"), day("2024-01-28"), order)
-    written = F.when(F.col("last_updated") == day("2024-01-28"), "new").otherwise("old")
+    old = K.seen_rows(ev.where("scraped_at < TIMESTAMP_NTZ '2024-01-19'"), day("2024-01-19"), order)
+    new = K.seen_rows(ev.where("scraped_at >= TIMESTAMP_NTZ '2024-01-19'"), day("2024-01-31"), order)
+    written = F.when(F.col("last_updated") == day("2024-01-31"), "new").otherwise("old")
     return K.upsert_seen(old, new).select("posting_id", "title", "url", written.alias("written"))
 
 

@@ -28,6 +28,33 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/out").groupBy("posting_id").agg(F.count("*").alias("n"))
 
 
+LATE_ID = "CASE WHEN event_id % 50 = 3 THEN concat('late-', event_id) WHEN event_type = 'purchase' THEN '' ELSE concat(user_id, '-', substring(event_type, 1, 2)) END"
+LATE_BATCH = "CASE WHEN event_id % 10 = 3 THEN 3 WHEN ts < TIMESTAMP_NTZ '2024-01-11' THEN 0 WHEN ts < TIMESTAMP_NTZ '2024-01-21' THEN 1 ELSE 2 END"
+KEPT = "SELECT * FROM f{n} WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.posting_id = f{n}.posting_id AND abs(epoch_us(k.ts) - epoch_us(f{n}.ts)) <= 7 * 86400000000)"
+
+
+@query("stream_dedup_late", f"""
+WITH e AS (SELECT {LATE_ID} AS posting_id, ts, event_id, {LATE_BATCH.replace('TIMESTAMP_NTZ', 'TIMESTAMP')} AS b FROM events),
+f AS (SELECT * FROM e WHERE posting_id <> '' QUALIFY row_number() OVER (PARTITION BY b, posting_id ORDER BY ts, event_id) = 1),
+f0 AS (SELECT * FROM f WHERE b = 0), f1 AS (SELECT * FROM f WHERE b = 1), f2 AS (SELECT * FROM f WHERE b = 2), f3 AS (SELECT * FROM f WHERE b = 3),
+k1 AS ({KEPT.format(n=1, known='f0')}), a1 AS (SELECT * FROM f0 UNION ALL SELECT * FROM k1),
+k2 AS ({KEPT.format(n=2, known='a1')}), a2 AS (SELECT * FROM a1 UNION ALL SELECT * FROM k2),
+k3 AS ({KEPT.format(n=3, known='a2')})
+SELECT posting_id, event_id FROM a2 UNION ALL SELECT posting_id, event_id FROM k3 UNION ALL SELECT posting_id, event_id FROM e WHERE posting_id = ''""")
+def stream_dedup_late(spark, sf):
+    """Four batches with a time to live of seven days; the last one brings late rows, of ids seen and never seen."""
+    root = scratch_path(spark, "stream-late")
+    rows = table(spark, sf, "events").selectExpr(f"{LATE_ID} AS posting_id", "ts AS scraped_at", "event_id", f"{LATE_BATCH} AS b")
+    handle = I.dedup_writer(f"{root}/out", f"{root}/log", order=("event_id",))
+    for b in range(4):
+        part = rows.where(F.col("b") == b).drop("b")
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+        (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out").select("posting_id", "event_id")
+
+
 PAGE = """concat('<html><head><title>', location, ' Jobs, ', title, ', ', CAST(seq AS STRING), ' - listings.example.com</title></head><body>',
   replace(body_text, '&', '&amp;'), '</body></html>')"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -80,10 +81,19 @@ def write_postings_csv(df: DataFrame, path: str, columns: Sequence[str] = POSTIN
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def export_dates(df: DataFrame) -> list[str]:
+    """Dates of the export folders or files that a table reads, oldest first; from their names, no file is opened."""
+    found = (re.search(PARTITION_NAME, f) or re.search(EXPORT_NAME, f) for f in df.inputFiles())
+    return sorted({m[1] for m in found if m})
+
+
 def latest_export(df: DataFrame) -> DataFrame:
-    """Rows of the newest export. The date is found first, so only its folder is read."""
-    newest = df.agg(F.max("export_date")).scalar()
-    return df.where(F.col("export_date") == newest)
+    """Rows of the newest export. Its date comes from the folders' names, so that the filter is a literal and one folder
+    is read; only a table that is no table of export folders is searched for its newest date."""
+    dates = export_dates(df)
+    if dates:
+        return export_for(df, dates[-1])
+    return df.where(F.col("export_date") == df.agg(F.max("export_date")).scalar())
 
 
 def export_for(df: DataFrame, date: str) -> DataFrame:
@@ -96,18 +106,21 @@ def list_exports(spark: SparkSession, path: str, with_counts: bool = True) -> Da
 
     File contents are not read for it; row counts come from a scan that needs no column.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-             .load(path).select("path", "length", "modificationTime"))
+    def scan(reader):
+        return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+
+    # Both sides name a file as Spark's scan does, so they meet whatever the file system.
+    files = scan(spark.read.format("binaryFile")).load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_modification_time").alias("last_modified"))
     date = F.coalesce(blank_to_null(F.regexp_extract("path", EXPORT_NAME, 1)),
                       blank_to_null(F.regexp_extract("path", PARTITION_NAME, 1)), F.lit("unknown"))
-    out = files.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), date.alias("date"),
-        F.round(F.col("length") / 1024, 2).alias("size_kb"), F.col("modificationTime").alias("last_modified"))
+    out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), date.alias("date"),
+                       F.round(F.col("length") / 1024, 2).alias("size_kb"), "last_modified")
     if with_counts:
-        rows = (spark.read.schema(EXPORT_FILE).option("header", True).option("multiLine", True)
-                .option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path))
-        tail = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-        counts = rows.groupBy(tail.alias("path")).agg(F.count(F.lit(1)).alias("job_count"))
+        rows = scan(spark.read.schema(EXPORT_FILE).option("header", True).option("multiLine", True).option("escape", '"')).csv(path)
+        counts = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("job_count"))
+        # A file that the scan gives no row of holds none.
         out = out.join(counts, "path", "left").withColumn("job_count", F.coalesce("job_count", F.lit(0)))
     return out.orderBy(F.desc("date"), "path")
 
