@@ -149,10 +149,13 @@ def city_table(spark: SparkSession, cities: dict[str, str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.create_map(*pairs)).alias("city", "url"))
 
 
-def city_listing(links: DataFrame, cities: dict[str, str], base: str) -> DataFrame:
+def city_listing(links: DataFrame, cities: dict[str, str], base: str, unique: bool = False,
+                 limit: int | None = None) -> DataFrame:
     """Postings read off city listing pages: link, title and what the enclosing row says.
 
-    `links` come from `extract_links` and carry the page address as `url`.
+    `links` come from `extract_links` and carry the page address as `url`. `unique` keeps each job id once over all
+    cities, the first in order of the cities and of their pages (rows without an id count as one id, as a search for
+    equal ids has it); `limit` takes so many rows in that order.
     """
     table = city_table(links.sparkSession, cities)
     tagged = posting_links(links.join(table, "url"), paths=(tags.POSTING_PATH,))
@@ -160,13 +163,19 @@ def city_listing(links: DataFrame, cities: dict[str, str], base: str) -> DataFra
                  null_key="collapse")
     row = F.col("parent_text")
     named = absolutize(once.drop("_key").withColumnRenamed("url", "page_url"), base)
+    place = F.array_position(F.array(*[F.lit(c) for c in cities]), F.col("city"))
+    named = named.withColumn("job_id", job_id(F.col("href"))).withColumn("_city", place)
+    order = ("_city", "page_id", "pos")
+    if unique:
+        named = dedup(named, "job_id", order, null_key="collapse")
+    if limit is not None:
+        named = named.orderBy(*order).limit(limit)
     return named.select(
         "page_id", "pos", F.coalesce(blank_to_null(squeezed(F.col("title"))), F.lit("Job Listing")).alias("title"),
         "url", F.col("city").alias("location"), salary_phrase(row, "listing").alias("salary"),
         short_description(row).alias("description"),
         blank_to_null(tags.employment_type(row, P.EMPLOYMENT_5)).alias("employment_type"),
-        tags.tag_skills(row, P.LISTING_SKILLS).alias("skills"), contact_loose(row).alias("contact"),
-        job_id(F.col("href")).alias("job_id"))
+        tags.tag_skills(row, P.LISTING_SKILLS).alias("skills"), contact_loose(row).alias("contact"), "job_id")
 
 
 def page_kind(df: DataFrame, url: str = "url") -> DataFrame:

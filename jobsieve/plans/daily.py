@@ -9,19 +9,31 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.profile import ExtractionProfile
 from jobsieve.functions.text import half_up_ratio
-from jobsieve.operators.classify import classify_links
+from jobsieve.operators.classify import classify_links, union_classes
 from jobsieve.operators.extract import extract_postings
 from jobsieve.operators.keyed import filter_new, keep_matched, split_new
-from jobsieve.operators.links import absolutize, dedup_links, extract_links, page_cap, posting_links
+from jobsieve.operators.links import absolutize, dedup_links, extract_links, page_cap, posting_links, until_empty
 from jobsieve.operators.query import first_rows
+from jobsieve.session import checkpointed
 
 
-def regular_links(listing_pages: DataFrame, base: str, max_pages: int | None = None) -> DataFrame:
-    """Regular posting links of listing pages (with `page_no`), once per address."""
+def regular_links(listing_pages: DataFrame, base: str, max_pages: int | None = None, stop_at_empty: bool = False,
+                  sponsored: bool = False) -> DataFrame:
+    """Regular posting links of listing pages (with `page_no`), once per address.
+
+    `stop_at_empty` ends the walk at the first page without a regular or sponsored link; the link table, narrow next to
+    the pages, is then kept for the two looks at it when this is called. `sponsored` takes the sponsored links too, and
+    `is_sponsored` tells them apart.
+    """
     pages = listing_pages if max_pages is None else page_cap(listing_pages, max_pages)
     links = posting_links(extract_links(pages.select("page_no", "html")))
-    regular = classify_links(links, "lenient").where(F.col("link_class") == "regular")
-    return dedup_links(absolutize(regular, base).drop("href"))
+    links = classify_links(links, "lenient").where(F.col("link_class").isNotNull())
+    if stop_at_empty:
+        links = until_empty(checkpointed(links), pages.select("page_no").distinct())
+    links = absolutize(links, base).drop("href")
+    c = F.col("link_class")
+    regular = dedup_links(links.where(c == "regular"))
+    return union_classes(regular, dedup_links(links.where(c == "sponsored"))) if sponsored else regular
 
 
 @dataclass

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("postings", "links", "extraction", "store", "files", "streams")
+MODULES = ("postings", "links", "extraction", "store", "files", "streams", "plans")
 
 
 def load():

@@ -386,6 +386,14 @@ CITY_TEXT = ("concat(parent_text, CASE WHEN pos % 3 = 0 THEN concat(' Driver wit
              "CAST(1000000 + page_no AS STRING)) WHEN pos % 3 = 1 THEN ' contract, sales assistant' ELSE '' END)")
 LISTING_WORDS = ("english", "arabic", "driver", "license", "experience", "excel", "computer", "management", "sales", "engineer",
                  "mechanic", "technician", "supervisor", "assistant")
+
+
+def city_links(spark, sf):
+    return fx_links(spark, sf).select(
+        F.col("page_no").alias("page_id"), "pos", "href", F.expr(CITY_PAGE).alias("url"), F.lit("").alias("title"),
+        F.expr(CITY_TEXT).alias("parent_text"))
+
+
 SKILL_LIST = "[" + ", ".join(f"'{w}'" for w in LISTING_WORDS) + "]"
 
 
@@ -404,10 +412,7 @@ SELECT page_no AS page_id, pos, 'Job Listing' AS title, '{BASE}' || href AS url,
   nullif(regexp_extract(t, '(?:\\+966|05|01)[\\d\\s-]{{8,}}', 0), '') AS contact,
   nullif(regexp_extract(href, '/cls/(\\d+)', 1), '') AS job_id FROM o""", V)
 def city_listing(spark, sf):
-    links = fx_links(spark, sf).select(
-        F.col("page_no").alias("page_id"), "pos", "href", F.expr(CITY_PAGE).alias("url"), F.lit("").alias("title"),
-        F.expr(CITY_TEXT).alias("parent_text"))
-    return L.city_listing(links, CITIES, BASE).withColumn("skills", F.array_join("skills", ","))
+    return L.city_listing(city_links(spark, sf), CITIES, BASE).withColumn("skills", F.array_join("skills", ","))
 
 
 @query("challenge_flag", """

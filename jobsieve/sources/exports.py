@@ -81,10 +81,20 @@ def write_postings_csv(df: DataFrame, path: str, columns: Sequence[str] = POSTIN
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def _file_dates(df: DataFrame) -> list[tuple[str, str]]:
+    """(date, path) of the files that a table reads and that a folder's or file's name dates."""
+    found = ((re.search(PARTITION_NAME, f) or re.search(EXPORT_NAME, f), f) for f in df.inputFiles())
+    return [(m[1], f) for m, f in found if m]
+
+
 def export_dates(df: DataFrame) -> list[str]:
     """Dates of the export folders or files that a table reads, oldest first; from their names, no file is opened."""
-    found = (re.search(PARTITION_NAME, f) or re.search(EXPORT_NAME, f) for f in df.inputFiles())
-    return sorted({m[1] for m in found if m})
+    return sorted({day for day, _ in _file_dates(df)})
+
+
+def export_files(df: DataFrame, date: str) -> list[str]:
+    """Paths of one day's files."""
+    return [f for day, f in _file_dates(df) if day == date]
 
 
 def latest_export(df: DataFrame) -> DataFrame:
