@@ -32,7 +32,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
     spark = session("bench", f"local[{cpus}]", {
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+        "spark.sql.shuffle.partitions": cpus, "jobsieve.spread": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
     queries["top_locations"](spark, sf_dir).write.format("noop").mode("overwrite").save()

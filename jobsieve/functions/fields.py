@@ -250,7 +250,7 @@ def rule_section(text: Column, rule) -> Column:
     def from_head(head):
         return F.when(head == "", head).otherwise(
             let(F.substr(text, F.instr(text, head) + F.length(head)), lambda after: cut(head, after)))
-    return let(F.regexp_extract(text, opening, 0), from_head)
+    return let(F.regexp_extract(text, opening, 1), from_head)
 
 
 def _section(text: Column, rules, label, bullet, bounds) -> Column:

@@ -86,16 +86,30 @@ CONTENT_TITLE_PATTERNS = (
     r"(?i)Looking for ([^\n\r]+)",
 )
 
-# A section rule: pattern of the opening, words that end the section (in any case), and
+def _first_on_line(opening: str, ending: str) -> str:
+    """From the first `opening` of a line to the next `ending` on it, as group 1, on the first line that has both.
+
+    The atomic group holds on to a line's first opening: where no ending follows that one, none follows a later one,
+    so a line is read once, however often openings recur.
+    """
+    return rf"(?im)^(?>.*?(?=(?:{opening})))((?:{opening}).*?(?:{ending}))"
+
+
+def _first_in_text(opening: str, ending: str) -> str:
+    """The same over the whole text, line ends included."""
+    return rf"(?is)\A(?>.*?(?=(?:{opening})))((?:{opening}).*?(?:{ending}))"
+
+
+# A section rule: pattern whose group 1 is the opening, words that end the section (in any case), and
 # whether an empty line before a letter ends it too.
 REQUIREMENTS_RULES = (
-    (r"(?i)Requirements:",
+    (r"(?i)(Requirements:)",
      ("What We Offer", "Benefits", "For More Details", "Contact", "Salary", "Position", "Back", "Next"), True),
-    (r"(?i)(?:Valid And Transferable|Experience required|Must have)",
+    (r"(?i)(Valid And Transferable|Experience required|Must have)",
      ("What We Offer", "Benefits", "For More Details", "Communication", "Contact"), False),
-    (r"(?i)(?:Qualifications|Minimum requirements)",
+    (r"(?i)(Qualifications|Minimum requirements)",
      ("What We Offer", "Benefits", "For More Details"), False),
-    (r"(?i)(?:Education|Experience).*?(?:required|needed|must)",
+    (_first_on_line("Education|Experience", "required|needed|must"),
      ("What We Offer", "Benefits", "For More Details"), False),
 )
 REQUIREMENTS_LABEL = r"(?i)(?:✅[\h\v]*)?Requirements:[\h\v]*"
@@ -103,10 +117,10 @@ REQUIREMENTS_BULLET = "✅"
 REQUIREMENTS_LENGTH = (31, 599)
 
 BENEFITS_RULES = (
-    (r"(?i)What We Offer:", ("Requirements", "For More Details", "Contact", "Back", "Next"), True),
-    (r"(?i)(?:Competitive fixed salary|Company will provide|Benefits include)",
+    (r"(?i)(What We Offer:)", ("Requirements", "For More Details", "Contact", "Back", "Next"), True),
+    (r"(?i)(Competitive fixed salary|Company will provide|Benefits include)",
      ("Requirements", "For More Details", "Contact"), False),
-    (r"(?is)(?:Accommodation|Housing|Medical|Insurance).*?(?:provided|included|covered)",
+    (_first_in_text("Accommodation|Housing|Medical|Insurance", "provided|included|covered"),
      ("Requirements", "For More Details", "Contact"), False),
 )
 BENEFITS_LABEL = r"(?i)(?:🎁[\h\v]*)?What We Offer:[\h\v]*"
@@ -126,9 +140,9 @@ MORE_END_MARKERS = END_MARKERS + (
     "Print", "Report", "Previous", "Following", "Search Jobs",
 )
 DESCRIPTION_RULES = (
-    (r"(?i)(?:Hiring|We are looking|Job Details|Position)",
+    (r"(?i)(Hiring|We are looking|Job Details|Position)",
      ("Back", "Next", "Email to a Friend", "Page View Count", "© 2025"), False),
-    (r"(?is)(?:Accommodation|Company will provide).*?(?:Requirements|What We Offer)",
+    (_first_in_text("Accommodation|Company will provide", "Requirements|What We Offer"),
      ("Back", "Next", "Email", "©"), False),
 )
 LONG_STRETCH = r"(?i)(?:\A|(?<=\.))[^.]{200,}(?=Back|Next|Email to a Friend|©|\z)"

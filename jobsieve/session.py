@@ -58,16 +58,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Below this size per core a table is spread by hand; above it the file splits suffice.
-SMALL_BYTES_PER_CORE = 32 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Gives a small table one partition per core before heavy expressions.
+    """Deals the rows over `jobsieve.spread` partitions where the session sets it; unset, the table is left as it is.
 
-    A file of one row group is one task however costly its rows are. The size comes from
-    the plan's file statistics; a large table is left alone, so nothing is shuffled at scale.
+    A file of one row group is one task however costly its rows are. Whoever runs on few such files (a benchmark, a
+    test) asks for this; large tables come in as many splits as Spark makes of them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    parts = int(df.sparkSession.conf.get("jobsieve.spread", "0"))
+    return df.repartition(parts) if parts else df

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from jobsieve.functions import fields as X
@@ -165,3 +167,31 @@ def test_records_of_all_profiles(spark):
     keyed = extract_postings(pages, P.keyed_profile(DOMAIN), "now").first()
     assert keyed["title"] == "Nurse" and keyed["additional_details"]["salary"] == "4150"
     assert "var x" in with_page_text(pages, keep_scripts=True).first()["body_text"]
+
+
+@pytest.mark.parametrize("field, opening", [
+    ("requirements", "Education "), ("benefits", "Medical "), ("benefits", "Accommodation\n"), ("requirements", "Experience x "),
+    ("description", "Accommodation x\n")])
+def test_recurring_openings_take_linear_time(spark, field, opening):
+    import time
+
+    column = {"requirements": X.requirements(T), "benefits": X.benefits(T), "description": X.longest_description(F.lit(""), T)}[field]
+
+    def took(n):
+        df = spark.createDataFrame([(opening * (n // len(opening)),)] * 4, "body_text string").coalesce(1)
+        best = 99
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(F.length(column).alias("n")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert took(256_000) < 6 * took(64_000) + 0.3
+
+
+def test_first_opening_of_a_line_or_text(spark):
+    text = "Experience of years\nEducation level, Education needed here for all staff at the site\nWhat We Offer: x"
+    assert get(spark, X.rule_section(T, P.REQUIREMENTS_RULES[3]), text) == "Education level, Education needed here for all staff at the site\n"
+    text = "Housing and\nMedical, all provided by us Contact"
+    assert get(spark, X.rule_section(T, P.BENEFITS_RULES[2]), text) == "Housing and\nMedical, all provided by us "
+    assert get(spark, X.rule_section(T, P.BENEFITS_RULES[2]), "Housing, Medical") == ""
