@@ -3,9 +3,11 @@ r"""License scans by diagonal voting.
 Every k-gram of words of a document is joined, by hash, to the places where it stands in license templates. A hit
 votes for the diagonal (place in the document minus place in the template); diagonals of one template that lie close
 together are one span, since inserted or missing words shift the diagonal. Spans with enough votes are verified word
-by word against the text; of overlapping ones the best stays.
+by word against the text: they must share LEAST_COVER of their words, and agree in all words that decide between
+relatives (`nd`, `affero`, the version's digits); of overlapping ones the best stays. SPDX lines name their license.
 
-Words are lower-cased (A-Z) runs `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. NULL texts count as empty.
+Words are lower-cased (A-Z) runs `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. NULL texts count as empty; texts may have any length; repeated rows
+give their result once per row; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,7 +56,23 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+             "General Public License as published by the Free Software Foundation"),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                        "International License"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License"),
 )
+# Words of which one makes another license. Versions do so too.
+DECIDING = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike affero lesser library".split())
+SPDX = (r"spdx-license-identifier:[ \t]*\(*([a-z0-9][a-z0-9.+-]*(?:[ \t()]+(?:or|and|with)[ \t()]+[a-z0-9][a-z0-9.+-]*)*)")
 
 
 def _lowered(text: Column) -> Column:
@@ -125,6 +143,14 @@ def aligned(template: list[str], words: list[str]) -> tuple[float, int, int]:
     return sum(b.size for b in blocks) / max(len(template), stop - start), start, stop
 
 
+def agree(template: list[str], words: list[str]) -> bool:
+    """Whether template and span have the same deciding words, and the same numbers where the template has any."""
+    if DECIDING.intersection(template) != DECIDING.intersection(words):
+        return False
+    numbers = [w for w in template if w.isdigit()]
+    return not numbers or numbers == [w for w in words if w.isdigit()]
+
+
 def settled(found: list[tuple[float, int, int, str]]) -> list[tuple[float, int, int, str]]:
     """Of overlapping spans (cover, start, stop, label) the best one: highest cover, then longest, then first."""
     out: list[tuple[float, int, int, str]] = []
@@ -146,8 +172,9 @@ def verified(docs: DataFrame, found: DataFrame, keys: list[str], text: str, temp
                 held = []
                 for s in spans_:
                     share, a, b = aligned(words[s["template"]], own[s["start"]:s["stop"]])
-                    if share >= LEAST_COVER:
-                        held.append((share, s["start"] + a, s["start"] + b, labels[s["template"]]))
+                    a, b = s["start"] + a, s["start"] + b
+                    if share >= LEAST_COVER and agree(words[s["template"]], own[a:b]):
+                        held.append((share, a, b, labels[s["template"]]))
                 rows += [(i, label, a, b, share) for share, a, b, label in settled(held)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -182,11 +209,19 @@ def _places(words: str, phrase: str, low: Column) -> Column:
     return F.when(F.contains(low, F.lit(first)), places).otherwise(F.array().cast("array<int>"))
 
 
+def spdx_labels(low: Column) -> Column:
+    """Identifiers of the SPDX lines of a lower-cased text."""
+    parts = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(SPDX), F.lit(1)), lambda x: F.split(x, r"[ \t()]+")))
+    ids = F.transform(F.filter(parts, lambda x: ~x.isin("or", "and", "with")), lambda x: F.rtrim(x, F.lit(".")))
+    return F.when(F.contains(low, F.lit("spdx-license-identifier:")), F.array_distinct(ids)).otherwise(
+        F.array().cast("array<string>"))
+
+
 def document_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels come from phrases whose words stand consecutively; the scan adds labels of its own. `score` is the
-    best share of a template that was found, 1 where a base phrase was. No label gives ''.
+    best share of a template that was found, 1 where a base phrase or an SPDX line was. No label gives ''.
     """
     text = F.coalesce("text", F.lit(""))
     rows = once(docs, ["doc_id", F.xxhash64("doc_id", text).alias("_row"), F.crc32(text).alias("_sum")],
@@ -194,17 +229,20 @@ def document_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     keys = ["doc_id", "_row", "_sum"]
     names = sorted(PHRASES)
     places = [_places("_words", PHRASES[n], F.col("_low")) for n in names]
-    rows = once(rows, keys, n_words=F.size("_words").cast("bigint"), _places=F.array(*places))
+    rows = once(rows, keys, n_words=F.size("_words").cast("bigint"), _places=F.array(*places),
+                _spdx=spdx_labels(F.col("_low")))
     every = F.flatten("_places")
     base = F.concat_ws(",", *[F.when(F.size(F.get("_places", F.lit(i))) > 0, F.lit(n)) for i, n in enumerate(names)])
     rows = rows.select(*keys, "n_words", F.size(every).cast("bigint").alias("n_base"),
                        F.array_min(every).cast("bigint").alias("first_word"),
-                       F.array_max(every).cast("bigint").alias("last_word"), base.alias("base_labels"))
+                       F.array_max(every).cast("bigint").alias("last_word"), base.alias("base_labels"), "_spdx")
     found = scan(docs, templates).groupBy("_row", "_sum").agg(
         F.collect_set("label").alias("_labels"), F.max("cover").alias("_cover"))
     rows = rows.join(found, ["_row", "_sum"], "left")
     none = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union(F.array_remove(F.split("base_labels", ","), ""), F.coalesce("_labels", none)))
-    score = F.greatest(F.coalesce("_cover", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
+    base = F.array_remove(F.split("base_labels", ","), "")
+    labels = F.array_sort(F.array_union(F.array_union(base, F.col("_spdx")), F.coalesce("_labels", none)))
+    told = (F.col("n_base") > 0) | (F.size("_spdx") > 0)
+    score = F.greatest(F.coalesce("_cover", F.lit(0.0)), F.when(told, 1.0).otherwise(0.0))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
                        F.array_join(labels, ",").alias("labels"), score.alias("score"))

@@ -40,7 +40,11 @@ def plain(text):
                 if t[j:j + L.GRAM] == gram:
                     at = max(i - j, 0)
                     share, a, b = L.aligned(t, w[at:i - j + len(t) + 1])
-                    if share >= L.LEAST_COVER:
+                    own = w[at + a:at + b]
+                    same = {x for x in own if x in L.DECIDING} == {x for x in t if x in L.DECIDING}
+                    digits = [x for x in t if x.isdigit()]
+                    same &= not digits or digits == [x for x in own if x.isdigit()]
+                    if share >= L.LEAST_COVER and same:
                         found.append((-share, a - b, at + a, label, at + b))
     labels, best, taken = set(base), 1.0 if base else 0.0, set()
     for share, _, a, label, b in sorted(set(found)):
@@ -65,6 +69,26 @@ def test_against_plain_scan(docs):
     assert scores[2] == scores[3] == scores[8] == 0 and scores[5] == scores[6] == 1 and 0.75 <= scores[7] < 1
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+     "License as published by the Free Software Foundation, either version 3", "agpl,gpl"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3.0,gpl"),
+    ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 1.", "gpl"),
+    ("Licensed under CC BY-ND 4.0.", "cc-by,cc-by-nd-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "cc-by,cc-by-nc-nd-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"), ("Licensed under CC BY 4.0.", "cc-by,cc-by-4.0"),
+    ("Licensed under CC BY 3.0.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "cc-by-nc-nd-4.0"),
+    ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause.\nx", "apache-2.0,bsd-3-clause,mit"),
+    ("SPDX-License-Identifier:", ""), ("SPDX-License-Identifier: GPL-2.0+ with Classpath-exception-2.0", "classpath-exception-2.0,gpl-2.0+"),
+])
+def test_relatives(spark, text, labels):
+    row = L.document_licenses(spark.createDataFrame([(1, FILL + " " + text)], "doc_id long, text string")).first()
+    assert row.labels == labels and (row.score > 0.75) == bool(labels)
+
+
 def test_words():
     for _, t in DOCS:
         assert L.plain_words(t) == words(t)
