@@ -89,11 +89,11 @@ def with_salary(spark, sf):
 
 DIGITS = "nullif(ltrim(regexp_replace(salary, '[^0-9]', '', 'g'), '0'), '')"
 # Every ninth salary gets so many digits more that no BIGINT, and no exact DOUBLE, holds it.
-LONG = "CASE WHEN seq % 9 = 0 THEN concat(salary, repeat('83', CAST(7 + seq % 5 AS INT))) ELSE salary END"
+DEEP = "CASE WHEN seq % 9 = 0 THEN concat(salary, repeat('83', CAST(7 + seq % 5 AS INT))) ELSE salary END"
 
 
 def long_postings(spark, sf):
-    return fx_postings(spark, sf).withColumn("salary", F.expr(LONG))
+    return fx_postings(spark, sf).withColumn("salary", F.expr(DEEP))
 
 
 @query("posting_counts", f"""
@@ -108,7 +108,7 @@ def posting_counts(spark, sf):
 WITH p AS (SELECT * REPLACE ({long} AS salary) FROM fx_postings)
 SELECT count(*) AS total_jobs, count(*) FILTER (WHERE {digits} IS NOT NULL) AS jobs_with_salary,
   count(*) FILTER (WHERE trim(contact) <> '') AS jobs_with_contact, count(*) FILTER (WHERE trim(email) <> '') AS jobs_with_email,
-  count(*) FILTER (WHERE is_sponsored = 'Yes') AS sponsored_jobs FROM p""".format(long=LONG, digits=DIGITS), P)
+  count(*) FILTER (WHERE is_sponsored = 'Yes') AS sponsored_jobs FROM p""".format(long=DEEP, digits=DIGITS), P)
 def posting_counts_long_digits(spark, sf):
     return stats.posting_counts(long_postings(spark, sf))
 
@@ -169,7 +169,7 @@ def salary_stats(spark, sf):
 
 
 @query("salary_stats_long_digits", f"""
-WITH p AS (SELECT {LONG} AS salary FROM fx_postings), {salary_sql('p')} SELECT * FROM f""", P)
+WITH p AS (SELECT {DEEP} AS salary FROM fx_postings), {salary_sql('p')} SELECT * FROM f""", P)
 def salary_stats_long_digits(spark, sf):
     return stats.salary_stats(long_postings(spark, sf))
 
@@ -207,7 +207,7 @@ def export_stats(spark, sf):
     return _export_stats(fx_postings(spark, sf))
 
 
-@query("export_stats_long_digits", export_sql(LONG), P)
+@query("export_stats_long_digits", export_sql(DEEP), P)
 def export_stats_long_digits(spark, sf):
     return _export_stats(long_postings(spark, sf))
 
