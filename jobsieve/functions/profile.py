@@ -215,6 +215,12 @@ LOWER_LABELS = ("salary", "experience", "location", "company", "education", "ski
 DEFAULT_COUNTRY = "Saudi Arabia"
 NO_TITLE = "No title found"
 NO_DESCRIPTION = "No description found"
+# Sentences of the listing report.
+REPORT_SPONSORED = ('Working correctly - jobs ending with "Sponsored" detected', "No sponsored jobs found")
+REPORT_REGULAR = ("Working correctly - jobs with timestamps detected", "No regular jobs found")
+REPORT_ACCURACY = ((95, "Excellent"), (85, "Good"), (None, "Needs improvement"))
+REPORT_UNKNOWN = (" jobs need pattern review", "All jobs classified successfully")
+
 CATEGORY_TITLE = "Job Category: "
 CATEGORY_DESCRIPTION = "This is a job category page with multiple listings"
 

@@ -11,15 +11,15 @@ from jobsieve.functions import profile as P
 from jobsieve.functions.text import blank_to_null, contains_any, first_keyword, first_match, last_line_value, let, trimmed
 
 # Endings and dates that tell the classes of listing links apart.
-STAMP = r"[A-Za-z0-9_]{3}, [A-Za-z0-9_]{3} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2} [AP]M - (?:\d+ [A-Za-z0-9_]+ ago|an hour ago|a day ago)\z"
-AGO_ENDING = r"\d+ [A-Za-z0-9_]+ ago\z"
+STAMP = r"\w{3}, \w{3} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2} [AP]M - (?:\d+ \w+ ago|an hour ago|a day ago)\z"
+AGO_ENDING = r"\d+ \w+ ago\z"
 FOUND_DATE_PATTERNS = (
     r"\d{1,2}/\d{1,2}/\d{4}",
     r"\d{1,2}-\d{1,2}-\d{4}",
     r"(?i)\d+ hours? ago",
     r"(?i)\d+ days? ago",
     r"(?i)(?:today|yesterday)",
-    r"(?i)[A-Za-z0-9_]+ \d{1,2}, \d{4}",
+    r"(?i)\w+ \d{1,2}, \d{4}",
     r"\d{2}:\d{2}",
 )
 SPONSORED_ENDING = "Sponsored"

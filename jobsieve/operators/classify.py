@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsieve.functions import profile as P
 from jobsieve.functions import tags
 from jobsieve.functions.text import blank_to_null, half_up_ratio, percent_1, trimmed
 from jobsieve.operators.keyed import dedup
@@ -120,15 +121,15 @@ def detailed_links(links: DataFrame, text: str = "parent_text", title: str = "ti
 def quality_band(totals: DataFrame) -> DataFrame:
     """Verdicts on a `class_totals` row."""
     pct = F.col("classified_pct")
+    (least, best), (some, good), (_, rest) = P.REPORT_ACCURACY
+    found, none = zip(P.REPORT_SPONSORED, P.REPORT_REGULAR)
     return totals.select(
         "*",
-        F.when(F.col("sponsored") > 0, 'Working correctly - jobs ending with "Sponsored" detected')
-        .otherwise("No sponsored jobs found").alias("sponsored_detection"),
-        F.when(F.col("regular") > 0, "Working correctly - jobs with timestamps detected")
-        .otherwise("No regular jobs found").alias("regular_detection"),
-        F.when(pct > 95, "Excellent").when(pct > 85, "Good").otherwise("Needs improvement").alias("accuracy"),
-        F.when(F.col("unknown") > 0, F.concat(F.col("unknown").cast("string"), F.lit(" jobs need pattern review")))
-        .otherwise("All jobs classified successfully").alias("unknown_jobs"))
+        F.when(F.col("sponsored") > 0, found[0]).otherwise(none[0]).alias("sponsored_detection"),
+        F.when(F.col("regular") > 0, found[1]).otherwise(none[1]).alias("regular_detection"),
+        F.when(pct > least, best).when(pct > some, good).otherwise(rest).alias("accuracy"),
+        F.when(F.col("unknown") > 0, F.concat(F.col("unknown").cast("string"), F.lit(P.REPORT_UNKNOWN[0])))
+        .otherwise(P.REPORT_UNKNOWN[1]).alias("unknown_jobs"))
 
 
 def run_outcome(counts: DataFrame, processed: str = "processed", extracted: str = "extracted") -> DataFrame:

@@ -22,6 +22,7 @@ def cascade(col, patterns, group=1):
     return "coalesce(" + ", ".join(f"nullif(regexp_extract({col}, '{p}', {group}), '')" for p in patterns) + ", '')"
 
 
+# The patterns of profile.py in the dialect of the SQL engine.
 SALARY = ("(?i)Salary:?\\s*(\\d{3,5})", "(?i)salary\\s+(\\d{3,5})", "(?i)(\\d{4})\\s*(?:SR|SAR|Riyal)", "(?i)(\\d{3,5})\\s*SAR")
 LOCATION = ("(?i)Region:\\s*([^\\n\\r()]+)", "(?i)Location:\\s*\\[([^\\]]+)\\]", "(?i)Location:\\s*([^\\n\\r]+)", "(?i)City:\\s*([^\\n\\r]+)")
 IDS = ("(?i)Posting ID:\\s*(\\d+)", "(?i)Post ID:\\s*(\\d+)", "(?i)ID:\\s*(\\d+)")
@@ -119,8 +120,7 @@ def extract_posted(spark, sf):
                       X.job_id(F.col("url")).alias("job_id"), X.url_tail(F.col("url")).alias("url_tail"))
 
 
-ENDS = ("Back", "Next", "Email to a Friend", "Page View Count", "© 2025", "NEVER PAY ANY KIND", "Facebook", "Twitter")
-MORE_ENDS = (*ENDS, "Print", "Report", "Previous", "Following", "Search Jobs")
+ENDS, MORE_ENDS = P.END_MARKERS, P.MORE_END_MARKERS
 
 
 def until_sql(col, markers):
@@ -150,6 +150,7 @@ def re_all(col, pairs):
     return col
 
 
+# Replacements that lay out a description, in the dialect of the SQL engine.
 CALM = (("[ \\t]+", "' '"), ("\\n\\s*\\n\\s*\\n", "repeat(chr(10), 2)"), ("^\\s+|\\s+$", "''"))
 SHORT_HEADS = (("(?i)Job Details:\\s*", "concat(chr(10), '📋 Job Details:', chr(10))"), ("(?i)Requirements:\\s*", "concat(chr(10), '✅ Requirements:', chr(10))"),
                ("(?i)What We Offer:\\s*", "concat(chr(10), '🎁 What We Offer:', chr(10))"))
@@ -173,7 +174,7 @@ def longer(a, b):
     return f"CASE WHEN length({b}) > length({a}) THEN {b} ELSE {a} END"
 
 
-HEADER_STEPS = ("Chat on WhatsApp", "Contact", "Phone:", "Email:")
+HEADER_STEPS = P.HEADER_END_MARKERS
 
 
 def header_steps(source):

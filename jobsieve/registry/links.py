@@ -95,10 +95,10 @@ def class_totals(spark, sf):
 
 @query("quality_band", f"""
 WITH {TOTALS} SELECT *,
-  CASE WHEN sponsored > 0 THEN 'Working correctly - jobs ending with "Sponsored" detected' ELSE 'No sponsored jobs found' END AS sponsored_detection,
-  CASE WHEN regular > 0 THEN 'Working correctly - jobs with timestamps detected' ELSE 'No regular jobs found' END AS regular_detection,
+  CASE WHEN sponsored > 0 THEN '{P.REPORT_SPONSORED[0]}' ELSE '{P.REPORT_SPONSORED[1]}' END AS sponsored_detection,
+  CASE WHEN regular > 0 THEN '{P.REPORT_REGULAR[0]}' ELSE '{P.REPORT_REGULAR[1]}' END AS regular_detection,
   CASE WHEN classified_pct > 95 THEN 'Excellent' WHEN classified_pct > 85 THEN 'Good' ELSE 'Needs improvement' END AS accuracy,
-  CASE WHEN unknown > 0 THEN CAST(unknown AS VARCHAR) || ' jobs need pattern review' ELSE 'All jobs classified successfully' END AS unknown_jobs
+  CASE WHEN unknown > 0 THEN CAST(unknown AS VARCHAR) || '{P.REPORT_UNKNOWN[0]}' ELSE '{P.REPORT_UNKNOWN[1]}' END AS unknown_jobs
 FROM t""", V)
 def quality_band(spark, sf):
     return C.quality_band(C.class_totals(*visited(spark, sf)))
@@ -384,8 +384,7 @@ CITIES = {name: f"{BASE}/classifieds/{name.lower()}/jobs/" for name in ("Riyadh"
 CITY_PAGE = (f"concat('{BASE}/classifieds/', CASE page_no % 4 WHEN 0 THEN 'riyadh' WHEN 1 THEN 'jeddah' WHEN 2 THEN 'dammam' ELSE 'khobar' END, '/jobs/')")
 CITY_TEXT = ("concat(parent_text, CASE WHEN pos % 3 = 0 THEN concat(' Driver with license, ', CAST(1000 + pos AS STRING), ' SAR, full-time, call 055 ', "
              "CAST(1000000 + page_no AS STRING)) WHEN pos % 3 = 1 THEN ' contract, sales assistant' ELSE '' END)")
-LISTING_WORDS = ("english", "arabic", "driver", "license", "experience", "excel", "computer", "management", "sales", "engineer",
-                 "mechanic", "technician", "supervisor", "assistant")
+LISTING_WORDS = P.LISTING_SKILLS
 
 
 def city_links(spark, sf):
