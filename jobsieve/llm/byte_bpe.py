@@ -4,7 +4,10 @@ Pre-tokenisation needs no regex. Code points become classes by one table lookup;
 (contractions, the last white space of a run) is folded into the classes. Each class is a transition function of a
 small automaton; functions are composed by a table, blocks are composed in parallel and joined by a prefix scan, and
 the state before every character tells whether a token starts there. The resulting byte slices go through a cache
-of merged pieces; new pieces are merged side by side, as rows of a matrix. Tokens of a text cover its bytes without gaps, so their end offsets locate any token range.
+of merged pieces; new pieces are merged side by side, as rows of a matrix. Tokens of a text cover its bytes without gaps, so their end offsets locate any token range, and decoding goes by them.
+
+NULL and empty texts have no ids and no bytes. Texts may have any length (a long one is scanned whole); repeated rows give
+their result once per row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -359,7 +362,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def with_ids(df: DataFrame, name: str = "ids", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """All columns and the packed ids (binary, four bytes each, little-endian) of the text; empty for NULL."""
+    """All columns and the packed ids (binary, four bytes each, little-endian) of the text; empty for NULL. A
+    column of that name is replaced."""
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series(vocabulary(path).encode(texts.tolist()), dtype=object)
@@ -368,7 +372,7 @@ def with_ids(df: DataFrame, name: str = "ids", text_col: str = "text", path: str
 
 
 def with_text(df: DataFrame, name: str = "decoded", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """All columns and the UTF-8 bytes that the packed ids stand for."""
+    """All columns and the UTF-8 bytes that the packed ids stand for. A column of that name is replaced."""
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
         return pd.Series([vocabulary(path).decode(x) for x in ids], dtype=object)

@@ -11,6 +11,9 @@ there are fewer words than a shingle has; none for an empty or NULL text, which
 * Where a bucket still holds several components, its members are compared across components, in blocks. Pairs
   inside one component, which would grow with the square of a group, are never made, and no pair is a row.
 * A pair is a link if 100 * |intersection| >= 80 * |union| on the full sets. Components of the links are the groups.
+
+Texts may have any length; rows that repeat an id are one node; an empty table gives an empty result; columns other than
+id and text are ignored, whatever their names (`kept_documents` keeps them as they are).
 """
 
 from __future__ import annotations
@@ -313,3 +316,34 @@ def kept_documents(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id",
     repeated = (rows.join(again, node, "left_semi").groupBy(node).agg(F.min_by(row, F.to_json(row)).alias("row"))
                 .select("row.*"))
     return rows.join(again, node, "left_anti").select(*own).union(repeated)
+
+
+# Exact groups in SQL. A pair of similarity 0.8 shares one of the rarest fifth (and one more) of either's shingles; such
+# pairs are counted in full. `translate` lowers A-Z only.
+DOCUMENT_GROUPS_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE len(words) WHEN 0 THEN [] WHEN 1 THEN words
+               ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+often AS (SELECT g, count(*) AS f FROM s GROUP BY 1),
+ranked AS (
+    SELECT s.doc_id, s.g, n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f, s.g) AS no
+    FROM s JOIN often USING (g) JOIN sizes USING (doc_id)),
+rare AS (SELECT * FROM ranked WHERE no <= n // 5 + 1),
+pairs AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM rare a JOIN rare b
+    ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (
+    SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g
+    GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+turned AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS b FROM w
+    UNION
+    SELECT reach.doc_id, turned.b FROM reach JOIN turned ON turned.a = reach.b),
+groups AS (SELECT doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)"""

@@ -12,7 +12,11 @@ contexts, and the corpus is summed up, without loss for this network, by how oft
   Adam on mini-batches of contexts weighted with their counts.
 * Tasks evaluate the network once for all contexts and look the tokens of their documents up in that table.
 
-Empty and NULL texts have no tokens, log-likelihood 0 and a NULL mean.
+Empty and NULL texts have no tokens, log-likelihood 0 and a NULL mean. Texts may have any length; repeated rows count as
+often as they stand; an empty table gives an empty result and a network as initialised; other columns are ignored.
+
+The folding bounds the model: letters with different accents, digits, and scripts beyond ASCII are told apart only in
+part, and what the corpus is summed up by stops growing at that many cells.
 """
 
 from __future__ import annotations
@@ -200,7 +204,7 @@ def text_scores(table: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray,
 
 
 def with_score(docs: DataFrame, model: Network, name: str = "lm", text_col: str = "text") -> DataFrame:
-    """All columns and a struct: n_tokens, log_likelihood (sum over the tokens)."""
+    """All columns and a struct: n_tokens, log_likelihood (sum over the tokens). A column of that name is replaced."""
     made: list[np.ndarray] = []
 
     @F.pandas_udf("n_tokens long, log_likelihood double")

@@ -6,7 +6,8 @@ are the mean histograms over all documents of a language. Short texts have no st
 guard: a least number of characters and of words.
 
 NULL texts count as empty (base rule fails). Documents whose language is NULL or not in LANGUAGES are compared with
-the mean over all documents, by character classes only.
+the mean over all documents, by character classes only. Texts may have any length, repeated rows give their result once
+per row, an empty table an empty result; other columns are ignored or, by `kept_documents`, kept as they are.
 """
 
 from __future__ import annotations

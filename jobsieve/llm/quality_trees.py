@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_score(docs: DataFrame, model: Trees, name: str = "score", text_col: str = "text") -> DataFrame:
-    """All columns of the rows and the score."""
+    """All columns of the rows and the score. A column of that name is replaced."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         # Statistics are rounded as in training, so that a threshold treats both alike.

@@ -75,6 +75,6 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
              op6_license_diagonals, op7_revisits, op8_separator_scan, op9_template_leaks, op10_feistel_shards,
              op11_cap_filters, op12_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in found}, {
-        "op7_revisits": revisits.PAGE_REVISITS_SQL, "op11_cap_filters": embedding_groups.LINKED_VECTORS_SQL,
+        "op1_minhash_groups": near_dedup.DOCUMENT_GROUPS_SQL, "op7_revisits": revisits.PAGE_REVISITS_SQL, "op11_cap_filters": embedding_groups.LINKED_VECTORS_SQL,
         "op12_conversation_repair": conversations.DAMAGED_REPAIRS_SQL,
         "op13_hard_negatives": hard_negatives.EMBEDDING_NEGATIVES_SQL}
