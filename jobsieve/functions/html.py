@@ -20,6 +20,7 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 UNSEEN = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
+MARK = "\ue000"           # stands behind the `<` of an opening without an end while ends are searched
 # What stands behind an opening without an end is kept as group 1: if one has no end, no later one has.
 COMMENTS = r"(?s)<!--.*?-->|(<!--.*)"
 TAG = r"(?s)<[^>]*>"
@@ -38,15 +39,35 @@ def without_tags(c: Column) -> Column:
     return let(F.regexp_replace(c, TAG, ""), decoded)
 
 
+def _tags(c: Column, body) -> Column:
+    """`body` of the text up to its last `>`, and the rest as it is: nothing there can be or end a tag."""
+    return let(c, lambda t: let(F.length(F.regexp_extract(t, r"(?s)^.*>", 0)), lambda n: F.concat(
+        body(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t)))))
+
+
 def without_unseen(html: Column) -> Column:
-    """Scripts, styles and comments removed."""
-    return F.regexp_replace(html, UNSEEN, "")
+    """Scripts, styles and comments removed.
+
+    `html` ends with its last `>`. Behind the last end of a kind no opening of that kind has an end; such openings are
+    marked, so that the search for their ends is not made once for each.
+    """
+    def marked(c: Column, opening: str, closing: str) -> Column:
+        return let(c, lambda t: let(F.length(F.regexp_extract(t, f"(?is)^.*{closing}", 0)), lambda n: F.concat(
+            F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), f"(?i)<(?={opening})", f"<{MARK}"))))
+
+    for opening, closing in (("script", "</script"), ("style", "</style"), ("!--", "-->")):
+        html = marked(html, opening, closing)
+    return F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), f"(?i)<{MARK}(?=script|style|!--)", "<")
 
 
 def body_text(html: Column, keep_scripts: bool = False) -> Column:
-    """Text content of the body; script text only on request."""
-    cleaned = F.regexp_replace(html, COMMENTS, "$1") if keep_scripts else without_unseen(html)
-    return without_tags(F.regexp_replace(cleaned, HEAD, ""))
+    """Text content of the body; script text only on request. Takes time in proportion to the page, whatever it holds."""
+    def cleaned(page: Column) -> Column:
+        return F.regexp_replace(page, COMMENTS, "$1") if keep_scripts else without_unseen(page)
+
+    # Twice, because what is cleaned away may hold the last `>`.
+    bare = _tags(_tags(html, cleaned), lambda page: F.regexp_replace(F.regexp_replace(page, HEAD, ""), TAG, ""))
+    return let(bare, decoded)
 
 
 def document_title(html: Column) -> Column:
