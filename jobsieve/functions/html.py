@@ -20,6 +20,9 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 UNSEEN = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
+# The same, and what stands behind the first opening without an end is kept as group 1.
+UNSEEN_OR_REST = UNSEEN + r"|((?:<script[^>]*>|<style[^>]*>|<!--).*)"
+OPENING = r"(?i)<(?:script|style|!--)"
 MARK = "\ue000"           # stands behind the `<` of an opening without an end while ends are searched
 # What stands behind an opening without an end is kept as group 1: if one has no end, no later one has.
 COMMENTS = r"(?s)<!--.*?-->|(<!--.*)"
@@ -48,16 +51,21 @@ def _tags(c: Column, body) -> Column:
 def without_unseen(html: Column) -> Column:
     """Scripts, styles and comments removed.
 
-    `html` ends with its last `>`. Behind the last end of a kind no opening of that kind has an end; such openings are
-    marked, so that the search for their ends is not made once for each.
+    `html` ends with its last `>`. Most pages have no opening without an end, and one replacement does. In the others no
+    opening of a kind has an end behind the last end of that kind; such openings are marked, so that the search for
+    their ends is not made once for each.
     """
     def marked(c: Column, opening: str, closing: str) -> Column:
         return let(c, lambda t: let(F.length(F.regexp_extract(t, f"(?is)^.*{closing}", 0)), lambda n: F.concat(
             F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), f"(?i)<(?={opening})", f"<{MARK}"))))
 
-    for opening, closing in (("script", "</script"), ("style", "</style"), ("!--", "-->")):
-        html = marked(html, opening, closing)
-    return F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), f"(?i)<{MARK}(?=script|style|!--)", "<")
+    def searched(c: Column) -> Column:
+        for opening, closing in (("script", "</script"), ("style", "</style"), ("!--", "-->")):
+            c = marked(c, opening, closing)
+        return F.regexp_replace(F.regexp_replace(c, UNSEEN, ""), f"(?i)<{MARK}(?=script|style|!--)", "<")
+
+    return let(html, lambda page: let(F.regexp_replace(page, UNSEEN_OR_REST, "$1"), lambda out: F.when(
+        out.rlike(OPENING), searched(page)).otherwise(out)))
 
 
 def body_text(html: Column, keep_scripts: bool = False) -> Column:
