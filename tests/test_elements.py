@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,24 @@ def test_rows_of_nested_elements(spark):
     assert [(r.title, r.link_url, r.description, r.date_posted) for r in rows] == [
         ("Job 1", "http://x/cls/1.html", "Told 1", "1 July"), ("inside an anchor", "http://x/out", "inside an anchor", None),
         ("Job 2", "http://x/cls/2.html", "Told 2", "1 July")]
+
+
+def test_results_are_handed_on_in_short_stretches():
+    """Before, what was found in a whole batch of up to 10,000 pages stood in memory at once."""
+    walked = []
+    batch = pa.array(["x" * (E.HANDED_ON // 2)] * 9 + [None])
+    stretches = E.in_stretches(iter([batch, batch[:0]]), lambda page: walked.append(page) or len(walked), pa.int64())
+    assert next(stretches).to_pylist() == [1, 2] and len(walked) == 2
+    assert [x.to_pylist() for x in stretches] == [[3, 4], [5, 6], [7, 8], [9, 10], []]
+
+
+def test_stretches_keep_pages_and_results_together(spark):
+    item = "<li class='job-listing'><a href='/cls/{0}.html'>Job {0}</a></li>"
+    pages = [(i, None if i % 5 == 4 else "<ul>" + item.format(i) * (i * 997 % 9000) + "</ul>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, html string").coalesce(1)
+    links = {r.page_id: r for r in L.extract_links(df).groupBy("page_id").agg(
+        F.count("*").alias("n"), F.min("title").alias("low"), F.max("title").alias("high")).collect()}
+    for i, html in pages:
+        n = html.count("<a ") if html else 0
+        assert (i in links) == (n > 0) and (n == 0 or tuple(links[i]) == (i, n, f"Job {i}", f"Job {i}"))
+    assert L.listing_rows(df, "http://x", "/jobs/").groupBy("page_id").count().agg(F.max("count")).first()[0] == 20
