@@ -101,7 +101,7 @@ def fx_postings(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFra
     """`wide` spreads the orders over all cores, for the heavy text expressions."""
     tables = {t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation")}
     if wide:
-        tables["orders"] = spread(tables["orders"].drop("o_totalprice"))
+        tables["orders"] = spread(tables["orders"].drop("o_totalprice"), narrow=True)
     return spark.sql(FX_POSTINGS, **tables)
 
 

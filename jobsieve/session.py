@@ -58,11 +58,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Deals the rows over `jobsieve.spread` partitions where the session sets it; unset, the table is left as it is.
 
     A file of one row group is one task however costly its rows are. Whoever runs on few such files (a benchmark, a
-    test) asks for this; large tables come in as many splits as Spark makes of them.
+    test) asks for this; large tables come in as many splits as Spark makes of them. `narrow` rows, of which costly text
+    is made later, are dealt out in any case, over the shuffle partitions: moving them is cheap next to one slow task.
     """
-    parts = int(df.sparkSession.conf.get("jobsieve.spread", "0"))
+    conf = df.sparkSession.conf
+    parts = int(conf.get("jobsieve.spread", conf.get("spark.sql.shuffle.partitions") if narrow else "0"))
     return df.repartition(parts) if parts else df
