@@ -332,9 +332,11 @@ def truncate_text(c: Column, n: int, soft_min: int | None = None) -> Column:
     """First n characters plus `...`; with `soft_min`, cut at the last newline beyond it."""
     if soft_min is None:
         return ellipsis(c, n)
-    cut = last_newline(c, n)
-    soft = F.concat(F.substr(c, F.lit(1), cut), F.lit(P.CONTINUED))
-    return F.when((F.length(c) > n) & (cut > soft_min), soft).otherwise(ellipsis(c, n))
+
+    def softly(x):
+        return let(last_newline(x, n), lambda cut: F.when(
+            cut > soft_min, F.concat(F.substr(x, F.lit(1), cut), F.lit(P.CONTINUED))).otherwise(ellipsis(x, n)))
+    return let(c, lambda x: F.when(F.length(x) > n, softly(x)).otherwise(x))
 
 
 # --- blocks of the page ---------------------------------------------------------
