@@ -44,8 +44,8 @@ def without_tags(c: Column) -> Column:
 
 def _tags(c: Column, body) -> Column:
     """`body` of the text up to its last `>`, and the rest as it is: nothing there can be or end a tag."""
-    return let(c, lambda t: let(F.length(F.regexp_extract(t, r"(?s)^.*>", 0)), lambda n: F.concat(
-        body(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t)))))
+    return let(c, lambda t: let(F.substring_index(t, ">", -1), lambda rest: F.concat(
+        body(F.substring(t, F.lit(1), F.length(t) - F.length(rest))), rest)))
 
 
 def without_unseen(html: Column) -> Column:
@@ -64,8 +64,9 @@ def without_unseen(html: Column) -> Column:
             c = marked(c, opening, closing)
         return F.regexp_replace(F.regexp_replace(c, UNSEEN, ""), f"(?i)<{MARK}(?=script|style|!--)", "<")
 
-    return let(html, lambda page: let(F.regexp_replace(page, UNSEEN_OR_REST, "$1"), lambda out: F.when(
-        out.rlike(OPENING), searched(page)).otherwise(out)))
+    return let(html, lambda page: F.when(page.rlike(OPENING), let(
+        F.regexp_replace(page, UNSEEN_OR_REST, "$1"), lambda out: F.when(
+            out.rlike(OPENING), searched(page)).otherwise(out))).otherwise(page))
 
 
 def body_text(html: Column, keep_scripts: bool = False) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobsieve.functions.profile import ExtractionProfile
+from jobsieve.functions.text import blank_to_null
 from jobsieve.operators.extract import extract_postings
-from jobsieve.operators.keyed import dedup, filter_new, seen_rows
+from jobsieve.operators.keyed import NO_KEY, dedup, filter_new, seen_rows
 from jobsieve.operators.keyed import progress as progress_of
 from jobsieve.sources.pages import stream_pages
 from jobsieve.sources.store import append_seen_log, compact_seen_log, expire_seen_log, read_seen_log
@@ -124,7 +125,10 @@ def batch_writer(paths: IngestPaths, ttl_days: int = 7,
             # Pages are parsed in one pass: both counts come with the write.
             seen, kept = Observation(), Observation()
             rows = batch_df.observe(seen, F.count(F.lit(1)).alias("n"))
-            once = dedup(rows, "posting_id", ["scraped_at", "url"])
+            # A row without an id gets a key of its own: two branches, as `keep` has them, would parse each page twice.
+            own = F.concat(F.lit(NO_KEY), F.monotonically_increasing_id().cast("string"))
+            keyed = rows.withColumn("_once", F.coalesce(blank_to_null(F.col("posting_id")), own))
+            once = dedup(keyed, "_once", ["scraped_at", "url"], null_key="collapse").drop("_once")
             known = read_seen_log(spark, paths.seen, since, skip_batch=batch_id)
             fresh = filter_new(once, known).withColumn("export_date", F.lit(day))
             out = fresh.observe(kept, F.count(F.lit(1)).alias("n"))
