@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobsieve.functions import profile as P
 from jobsieve.functions.elements import Pick, Selector
 from jobsieve.functions.html import decoded
+from jobsieve.functions.layout import format_description  # noqa: F401
 from jobsieve.functions.tags import employment_type_loose
 from jobsieve.functions.text import (
     ascii_lower, blank_to_null, contains_any, earliest, ellipsis, first_keyword, first_match, last_line_value,
@@ -306,28 +307,6 @@ def between_header_and_footer(text: Column) -> Column:
     return let(inner, lambda x: F.when(F.length(x) > 100, trimmed(x)))
 
 
-def _calm(c: Column) -> Column:
-    # Single blanks are what the rule leaves, so they need no replacement.
-    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
-    return trimmed(F.regexp_replace(c, r"\n[\h\v]*\n[\h\v]*\n", "\n\n"))
-
-
-def format_description(c: Column, style: str = "long") -> Column:
-    """Calm white space, remove script noise (`long`), put section headings on their own lines."""
-    c = _calm(c)
-    if style == "short":
-        for pattern, heading in P.SHORT_HEADINGS:
-            c = F.regexp_replace(c, pattern, heading)
-        return c
-    for pattern in P.NOISE_PATTERNS:
-        c = F.regexp_replace(c, pattern, "")
-    for pattern, heading in P.LONG_HEADINGS:
-        c = F.regexp_replace(c, pattern, heading)
-    c = F.regexp_replace(c, r"\n[\h\v]*\n[\h\v]*\n", "\n\n")
-    c = F.regexp_replace(c, r"\A[\h\v]*\n+", "")
-    return F.regexp_replace(c, r"\n+[\h\v]*\z", "")
-
-
 def truncate_text(c: Column, n: int, soft_min: int | None = None) -> Column:
     """First n characters plus `...`; with `soft_min`, cut at the last newline beyond it."""
     if soft_min is None:

@@ -155,6 +155,8 @@ NOISE_PATTERNS = (
     r"document\.createElement[^;]*;",
     r"googletag\.cmd[^;]*;",
 )
+# What each of them starts with.
+NOISE_OPENINGS = ("(adsbygoogle", "window.__CF$cv$params", "document.createElement", "googletag.cmd")
 SHORT_HEADINGS = (
     (r"(?i)Job Details:[\h\v]*", "\n📋 Job Details:\n"),
     (r"(?i)Requirements:[\h\v]*", "\n✅ Requirements:\n"),
