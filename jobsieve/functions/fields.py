@@ -202,13 +202,19 @@ def details_map(rows: Column, text: Column | None = None) -> Column:
     """Map of `key: value` rows. Only the text between the first two colons is the value;
     a later row replaces the value of an earlier one. With `text`, the seven known labels
     found in the page text replace or extend the map."""
-    def entry(row):
-        parts = F.split(row, ":")
-        key, value = trimmed(parts[0]), trimmed(F.get(parts, 1))
-        keep = (key != "") & (value != "") & (F.length(key) < 50) & (F.length(value) < 200)
-        return F.when(keep, F.struct(F.regexp_replace(F.lower(key), r"[\h\v]+", "_").alias("k"), value.alias("v")))
+    def halves(row):
+        return F.struct(trimmed(F.substring_index(row, ":", 1)).alias("k"),
+                        trimmed(F.substring_index(F.substring_index(row, ":", 2), ":", -1)).alias("v"))
 
-    entries = F.filter(F.transform(F.filter(rows, lambda r: F.contains(r, F.lit(":"))), entry), lambda e: e.isNotNull())
+    def keep(e):
+        return (e["k"] != "") & (e["v"] != "") & (F.length(e["k"]) < 50) & (F.length(e["v"]) < 200)
+
+    def entry(e):
+        return F.struct(F.regexp_replace(F.lower(e["k"]), r"[\h\v]+", "_").alias("k"), e["v"].alias("v"))
+
+    # Pass by pass: what a lambda says twice is computed twice.
+    halved = F.transform(F.filter(rows, lambda r: F.contains(r, F.lit(":"))), halves)
+    entries = F.transform(F.filter(halved, keep), entry)
     if text is not None:
         known = [F.struct(F.lit(k).alias("k"), labelled_lower(text, k).alias("v")) for k in P.LOWER_LABELS]
         known.insert(4, F.struct(F.lit("employment_type").alias("k"),
@@ -216,9 +222,9 @@ def details_map(rows: Column, text: Column | None = None) -> Column:
         entries = F.concat(entries, F.filter(F.array(*known), lambda e: e["v"].isNotNull()))
 
     def last_of_each(found):
-        keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
-            F.filter(found, lambda e: e["k"] == k), -1)["v"]))
+        columns = F.struct(F.array_distinct(found["k"]).alias("keys"), F.reverse(found["k"]).alias("k"), F.reverse(found["v"]).alias("v"))
+        return let(columns, lambda c: F.map_from_arrays(c["keys"], F.transform(
+            c["keys"], lambda k: F.get(c["v"], F.array_position(c["k"], k).cast("int") - 1))))
     return let(entries, last_of_each)
 
 
