@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobsieve.functions import bytewise as B
 from jobsieve.functions import profile as P
 from jobsieve.functions.elements import Pick, Selector
 from jobsieve.functions.html import decoded
 from jobsieve.functions.layout import format_description  # noqa: F401
 from jobsieve.functions.tags import employment_type_loose
 from jobsieve.functions.text import (
-    ascii_lower, blank_to_null, contains_any, earliest, ellipsis, first_keyword, first_match, last_line_value,
+    blank_to_null, contains_any, earliest, ellipsis, first_keyword, first_match, last_line_value,
     last_newline, let, squeezed, trimmed,
 )
 
@@ -73,8 +75,10 @@ def salary_phrase(source: Column, rule: str = "listing") -> Column:
     """Salary as a phrase; NULL without one.
 
     `listing`: number with currency or period; `free`: text after a salary label;
-    `line` (takes lines): value of the last salary line.
+    `line` (takes lines): value of the last salary line; `lines` takes the text they stand in.
     """
+    if rule == "lines":
+        return B.column(B.line_salary, source)
     if rule == "listing":
         return blank_to_null(trimmed(F.regexp_extract(source, P.LISTING_SALARY, 1)))
     if rule == "free":
@@ -154,10 +158,11 @@ def datetime_of_page(html: Column) -> Column:
     """First `datetime` attribute or date element that holds a date; '' without one."""
     date_tag = (r"""(?is)(<[a-z][^>]*?(?:\sdatetime\s*=|\sclass\s*=\s*["'](?:[^"']*\s)?"""
                 r"""(?:date|posted-date)(?:\s[^"']*)?["'])[^>]*>)([^<]*)""")
-    tags = F.regexp_extract_all(html, F.lit(date_tag), F.lit(1))
-    texts = F.regexp_extract_all(html, F.lit(date_tag), F.lit(2))
-    values = F.zip_with(tags, texts, lambda tag, body: F.coalesce(
-        blank_to_null(F.regexp_extract(tag, r"""(?is)\sdatetime\s*=\s*["']([^"']*)["']""", 1)), decoded(body)))
+    hits = F.regexp_extract_all(html, F.lit(date_tag), F.lit(0))
+    # The page is searched once; a tag ends with its first `>`.
+    values = F.transform(hits, lambda hit: F.coalesce(
+        blank_to_null(F.regexp_extract(F.substring_index(hit, ">", 1), r"""(?is)\sdatetime\s*=\s*["']([^"']*)["']""", 1)),
+        decoded(F.substr(hit, F.instr(hit, ">") + 1))))
     dated = F.filter(values, lambda v: F.regexp_like(v, F.lit(r"\d{4}|\d{2}/\d{2}")))
     return F.coalesce(trimmed(F.get(dated, 0)), F.lit(""))
 
@@ -185,6 +190,16 @@ def labelled(lines: Column, rule) -> Column:
     return last_line_value(lines, lambda line: _labelled_value(line, rule))
 
 
+def labelled_in(text: Column, rule) -> Column:
+    """`labelled` of the lines of a text."""
+    return B.column(B.labelled(rule), text)
+
+
+def location_in(text: Column, cities: Sequence[str] = P.CITIES) -> Column:
+    """`line_location` of the lines of a text."""
+    return B.column(B.line_location(P.LOCATION_LINE, cities), text)
+
+
 def line_location(lines: Column, cities: Sequence[str] = P.CITIES) -> Column:
     """Last line that names a city or carries a location label; the city wins within a line."""
     def value(line):
@@ -195,7 +210,7 @@ def line_location(lines: Column, cities: Sequence[str] = P.CITIES) -> Column:
 
 def labelled_lower(text: Column, label: str) -> Column:
     """Lower-cased text after a label, up to a full stop or line end; NULL without the label."""
-    return blank_to_null(F.regexp_extract(F.lower(text), rf"{label}[\h\v:]+([^.\n]+)", 1))
+    return B.column(B.behind_label(label), F.lower(text))
 
 
 def details_map(rows: Column, text: Column | None = None) -> Column:
@@ -230,56 +245,24 @@ def details_map(rows: Column, text: Column | None = None) -> Column:
 
 # --- sections ----------------------------------------------------------------
 
-def _clean_section(found: Column, label: str, bullet: str) -> Column:
-    flat = squeezed(found)
-    # The label is removed once, at its first place.
-    flat = F.regexp_replace(flat, r"\A((?s:.*?))" + label, "$1")
-    flat = F.regexp_replace(flat, bullet + r"[\h\v]*", "• ")
-    flat = F.regexp_replace(flat, r"(?:^|\n)[\h\v]*[-•*][\h\v]*", "\n• ")
-    return trimmed(F.regexp_replace(flat, r"(?:^|\n)[\h\v]*\d+\.[\h\v]*", "\n• "))
-
-
 def rule_section(text: Column, rule) -> Column:
-    """Section from the rule's opening to its earliest end; '' without the opening.
-
-    The opening is found by a regex, the end by plain substring search behind it.
-    """
-    opening, stops, blank_line = rule
-
-    def cut(head, after):
-        def inner(low):
-            end = earliest(low, [s.lower() for s in stops])
-            if blank_line:
-                end = F.least(end, F.nullif(F.regexp_instr(low, F.lit(r"\n\n[a-z]")), F.lit(0)))
-            return F.concat(head, F.substr(after, F.lit(1), end - 1))
-        return let(ascii_lower(after), inner)
-
-    def from_head(head):
-        return F.when(head == "", head).otherwise(
-            let(F.substr(text, F.instr(text, head) + F.length(head)), lambda after: cut(head, after)))
-    return let(F.regexp_extract(text, opening, 1), from_head)
-
-
-def _section(text: Column, rules, label, bullet, bounds) -> Column:
-    def fitting(rule):
-        return let(_clean_section(rule_section(text, rule), label, bullet),
-                   lambda x: F.when(F.length(x).between(*bounds), x))
-    return F.coalesce(*[fitting(rule) for rule in rules], F.lit(""))
+    """Section from the rule's opening to its earliest end; '' without the opening."""
+    section = B.section_rule(rule)
+    return B.column(lambda t: section(t, t.lower()), text)
 
 
 def requirements(text: Column) -> Column:
     """First requirements section whose cleaned text has a sensible length."""
-    return _section(text, P.REQUIREMENTS_RULES, P.REQUIREMENTS_LABEL, P.REQUIREMENTS_BULLET, P.REQUIREMENTS_LENGTH)
+    return B.column(B.fitting_section(P.REQUIREMENTS_RULES, P.REQUIREMENTS_HEADING, P.REQUIREMENTS_BULLET, P.REQUIREMENTS_LENGTH), text, b"")
 
 
 def benefits(text: Column) -> Column:
-    return _section(text, P.BENEFITS_RULES, P.BENEFITS_LABEL, P.BENEFITS_BULLET, P.BENEFITS_LENGTH)
+    return B.column(B.fitting_section(P.BENEFITS_RULES, P.BENEFITS_HEADING, P.BENEFITS_BULLET, P.BENEFITS_LENGTH), text, b"")
 
 
-def capped_section(text: Column, pattern: str, n: int = 300, flat: bool = False) -> Column:
+def capped_section(text: Column, rule, n: int = 300, flat: bool = False) -> Column:
     """Section as found, at most n characters; `flat` squeezes white space first."""
-    found = F.regexp_extract(text, pattern, 0)
-    return F.substring(squeezed(found), 1, n) if flat else trimmed(F.substring(found, 1, n))
+    return B.column(B.capped(rule, n, flat), text)
 
 
 # --- description --------------------------------------------------------------
@@ -298,19 +281,32 @@ def description(text: Column, marker: str = P.DESCRIPTION_MARKER, marker_skip: i
     return let(F.instr(text, marker), inner)
 
 
+def full_description(text: Column, p: P.ExtractionProfile) -> Column:
+    """Description by marker, then by content patterns, then between header and footer; laid out, at most 1,500 characters."""
+    return B.column(B.full_description(p), text, b"")
+
+
 def longest_description(current: Column, text: Column) -> Column:
     """Longest of the current text and the content patterns."""
-    found = [rule_section(text, rule) for rule in P.DESCRIPTION_RULES]
-    return _pick_longest(current, [*found, F.regexp_extract(text, P.LONG_STRETCH, 0)])
+    def batch(now: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = zip(now.cast(pa.binary()).to_pylist(), texts.cast(pa.binary()).to_pylist())
+        return pa.array([c if c is None or t is None else B.longest(c, t) for c, t in rows], pa.binary()).cast(pa.string(), safe=False)
+    return F.arrow_udf(batch, "string")(current, text)
 
 
 def between_header_and_footer(text: Column) -> Column:
     """Text between the page header and footer when it is over 100 characters; NULL otherwise."""
-    marks = F.array(*[F.struct((F.instr(text, m) - 1).alias("at"), F.lit(len(m)).alias("size"))
-                      for m in P.HEADER_END_MARKERS])
-    start = F.reduce(marks, F.lit(0), lambda pos, m: F.when(m["at"] > pos, m["at"] + m["size"]).otherwise(pos))
-    inner = _until_marker(F.substr(text, start + 1), P.FOOTER_START_MARKERS)
-    return let(inner, lambda x: F.when(F.length(x) > 100, trimmed(x)))
+    return B.column(B.between_marks, text)
+
+
+def short_description_format(c: Column) -> Column:
+    """As `format_description(c, "short")`, in native columns: the short record is made without Python."""
+    # Single blanks are what the rule leaves, so they need no replacement.
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
+    c = trimmed(F.regexp_replace(c, r"\n[\h\v]*\n[\h\v]*\n", "\n\n"))
+    for pattern, heading in P.SHORT_HEADINGS:
+        c = F.regexp_replace(c, pattern, heading)
+    return c
 
 
 def truncate_text(c: Column, n: int, soft_min: int | None = None) -> Column:
@@ -373,8 +369,8 @@ def block_pick(rules=DESCRIPTION_BLOCKS, over: int = 50) -> Pick:
 
 
 def block_picks(rules=CONTENT_BLOCKS, over: int = 100) -> dict[str, Pick]:
-    """Longest table, and longest content block, of more than `over` characters; `longest_block` takes one of them."""
-    return {"table": Pick((TABLE_BLOCK,), "longest", over), "content": Pick(tuple(rules), "longest", over)}
+    """Longest table, and longest content block, of more than `over` characters, squeezed; `longest_block` takes one of them."""
+    return {"table": Pick((TABLE_BLOCK,), "longest", over, flat=True), "content": Pick(tuple(rules), "longest", over, flat=True)}
 
 
 def detail_pick(rules=DETAIL_ROWS) -> Pick:
@@ -384,7 +380,7 @@ def detail_pick(rules=DETAIL_ROWS) -> Pick:
 
 def longest_block(parts: Column) -> Column:
     """Longest table, else the longest content block; '' without one. `parts`: see `block_picks`."""
-    return squeezed(F.coalesce(parts["table"], parts["content"], F.lit("")))
+    return F.coalesce(parts["table"], parts["content"], F.lit(""))
 
 
 def short_description(text: Column, over: int = 50, n: int = 200) -> Column:

@@ -17,8 +17,9 @@ from pyspark.sql.types import StringType
 from jobsieve.functions import profile as P
 from jobsieve.functions.text import SPACES
 
-# What `[\h\v]` matches, in UTF-8.
-_SPACE = rb"(?:[ \t-\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+# What `[\h\v]` matches, in UTF-8: the white space of more than one byte, and all.
+WIDE_SPACES = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_SPACE = rb"(?:[ \t-\r]|" + WIDE_SPACES + rb")"
 _TAKEN = re.compile(_SPACE + rb"*")
 # One look at the next byte settles most lines.
 _BLANK_RUN = re.compile(rb"\n(?=[ \t-\r\xc2\xe1-\xe3])" + _SPACE + rb"*\n" + _SPACE + rb"*\n")
@@ -41,14 +42,18 @@ def _visible(byte: int) -> bool:
     return 0x20 < byte < 0x7F
 
 
+def trim(text: bytes) -> bytes:
+    """Every kind of white space stripped at both ends."""
+    if text and not (_visible(text[0]) and _visible(text[-1])):
+        text = text.decode(errors="surrogateescape").strip(SPACES).encode(errors="surrogateescape")
+    return text
+
+
 def _calm(text: bytes) -> bytes:
     text = text.replace(b"\t", b" ")
     if b"  " in text:
         text = re.sub(rb" {2,}", b" ", text)
-    text = _BLANK_RUN.sub(b"\n\n", text)
-    if text and not (_visible(text[0]) and _visible(text[-1])):
-        text = text.decode(errors="surrogateescape").strip(SPACES).encode(errors="surrogateescape")
-    return text
+    return trim(_BLANK_RUN.sub(b"\n\n", text))
 
 
 def _with_headings(text: bytes, rules) -> bytes:
@@ -72,7 +77,8 @@ def _short(text: bytes) -> bytes:
     return _with_headings(_calm(text), _SHORT)
 
 
-def _long(text: bytes) -> bytes:
+def laid_out(text: bytes) -> bytes:
+    """The `long` form."""
     text = _calm(text)
     for opening, pattern in _NOISE:
         if opening in text:
@@ -94,7 +100,7 @@ def _short_batch(texts: pa.Array) -> pa.Array:
 
 
 def _long_batch(texts: pa.Array) -> pa.Array:
-    return _batch(texts, _long)
+    return _batch(texts, laid_out)
 
 
 def format_description(c: Column, style: str = "long") -> Column:

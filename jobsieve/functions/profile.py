@@ -86,50 +86,61 @@ CONTENT_TITLE_PATTERNS = (
     r"(?i)Looking for ([^\n\r]+)",
 )
 
-def _first_on_line(opening: str, ending: str) -> str:
-    """From the first `opening` of a line to the next `ending` on it, as group 1, on the first line that has both.
+@dataclass(frozen=True)
+class Opening:
+    """What opens a section, in any case: the first of the words; with endings, what stands from there to the next ending.
 
-    The atomic group holds on to a line's first opening: where no ending follows that one, none follows a later one,
-    so a line is read once, however often openings recur.
+    `on_line`: from the first of a line's words to the next ending on that line, on the first line that has both. Else only
+    the first word of the text counts: where no ending follows that one, none follows a later one.
     """
-    return rf"(?im)^(?>.*?(?=(?:{opening})))((?:{opening}).*?(?:{ending}))"
+    words: tuple[str, ...]
+    endings: tuple[str, ...] = ()
+    on_line: bool = False
+
+
+def _any_of(words: str) -> Opening:
+    return Opening(tuple(words.split("|")))
+
+
+def _first_on_line(opening: str, ending: str) -> Opening:
+    return Opening(tuple(opening.split("|")), tuple(ending.split("|")), True)
 
 
-def _first_in_text(opening: str, ending: str) -> str:
-    """The same over the whole text, line ends included."""
-    return rf"(?is)\A(?>.*?(?=(?:{opening})))((?:{opening}).*?(?:{ending}))"
+def _first_in_text(opening: str, ending: str) -> Opening:
+    return Opening(tuple(opening.split("|")), tuple(ending.split("|")))
 
 
-# A section rule: pattern whose group 1 is the opening, words that end the section (in any case), and
-# whether an empty line before a letter ends it too.
+# A section rule: its opening, words that end the section (in any case), and whether an empty line before a letter ends
+# it too.
 REQUIREMENTS_RULES = (
-    (r"(?i)(Requirements:)",
+    (_any_of("Requirements:"),
      ("What We Offer", "Benefits", "For More Details", "Contact", "Salary", "Position", "Back", "Next"), True),
-    (r"(?i)(Valid And Transferable|Experience required|Must have)",
+    (_any_of("Valid And Transferable|Experience required|Must have"),
      ("What We Offer", "Benefits", "For More Details", "Communication", "Contact"), False),
-    (r"(?i)(Qualifications|Minimum requirements)",
+    (_any_of("Qualifications|Minimum requirements"),
      ("What We Offer", "Benefits", "For More Details"), False),
     (_first_on_line("Education|Experience", "required|needed|must"),
      ("What We Offer", "Benefits", "For More Details"), False),
 )
-REQUIREMENTS_LABEL = r"(?i)(?:✅[\h\v]*)?Requirements:[\h\v]*"
+REQUIREMENTS_HEADING = "Requirements:"
 REQUIREMENTS_BULLET = "✅"
 REQUIREMENTS_LENGTH = (31, 599)
 
 BENEFITS_RULES = (
-    (r"(?i)(What We Offer:)", ("Requirements", "For More Details", "Contact", "Back", "Next"), True),
-    (r"(?i)(Competitive fixed salary|Company will provide|Benefits include)",
+    (_any_of("What We Offer:"), ("Requirements", "For More Details", "Contact", "Back", "Next"), True),
+    (_any_of("Competitive fixed salary|Company will provide|Benefits include"),
      ("Requirements", "For More Details", "Contact"), False),
     (_first_in_text("Accommodation|Housing|Medical|Insurance", "provided|included|covered"),
      ("Requirements", "For More Details", "Contact"), False),
 )
-BENEFITS_LABEL = r"(?i)(?:🎁[\h\v]*)?What We Offer:[\h\v]*"
+BENEFITS_HEADING = "What We Offer:"
 BENEFITS_BULLET = "🎁"
 BENEFITS_LENGTH = (21, 499)
 
-CAPPED_REQUIREMENTS = r"(?i)(?:Requirements?|Qualifications?):[\s\S]*?(?=What We Offer|Benefits|Contact|\z)"
-CAPPED_BENEFITS = r"(?i)(?:What We Offer|Benefits?):[\s\S]*?(?=Requirements|Contact|\z)"
-SQUEEZED_REQUIREMENTS = r"(?i)Requirements:[\s\S]*?(?=What We Offer|For More Details|Contact|\z)"
+# Opening and ends of sections of which the first characters are shown.
+CAPPED_REQUIREMENTS = (_any_of("Requirements:|Requirement:|Qualifications:|Qualification:"), ("What We Offer", "Benefits", "Contact"))
+CAPPED_BENEFITS = (_any_of("What We Offer:|Benefits:|Benefit:"), ("Requirements", "Contact"))
+SQUEEZED_REQUIREMENTS = (_any_of("Requirements:"), ("What We Offer", "For More Details", "Contact"))
 
 DESCRIPTION_MARKER = "Chat on WhatsApp"
 END_MARKERS = (
@@ -140,12 +151,14 @@ MORE_END_MARKERS = END_MARKERS + (
     "Print", "Report", "Previous", "Following", "Search Jobs",
 )
 DESCRIPTION_RULES = (
-    (r"(?i)(Hiring|We are looking|Job Details|Position)",
+    (_any_of("Hiring|We are looking|Job Details|Position"),
      ("Back", "Next", "Email to a Friend", "Page View Count", "© 2025"), False),
     (_first_in_text("Accommodation|Company will provide", "Requirements|What We Offer"),
      ("Back", "Next", "Email", "©"), False),
 )
-LONG_STRETCH = r"(?i)(?:\A|(?<=\.))[^.]{200,}(?=Back|Next|Email to a Friend|©|\z)"
+LONG_STRETCH_LENGTH = 200
+LONG_STRETCH_ENDS = ("Back", "Next", "Email to a Friend", "©")
+LONG_STRETCH = rf"(?i)(?:\A|(?<=\.))[^.]{{{LONG_STRETCH_LENGTH},}}(?={'|'.join(LONG_STRETCH_ENDS)}|\z)"
 HEADER_END_MARKERS = ("Chat on WhatsApp", "Contact", "Phone:", "Email:")
 FOOTER_START_MARKERS = ("Back", "Next", "© 2025", "Email to a Friend")
 

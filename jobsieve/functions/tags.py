@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsieve.functions import profile as P
+from jobsieve.functions.bytewise import column, loose_employment
 from jobsieve.functions.text import blank_to_null, contains_any, first_keyword, first_match, last_line_value, let, trimmed
 
 # Endings and dates that tell the classes of listing links apart.
@@ -85,7 +86,7 @@ def employment_type(text: Column, words: Sequence[str] = P.EMPLOYMENT_7) -> Colu
 
 def employment_type_loose(text: Column) -> Column:
     """Leftmost keyword of the text, with an optional space or hyphen; '' when none occurs."""
-    return F.regexp_extract(F.lower(text), P.EMPLOYMENT_LOOSE, 1)
+    return column(loose_employment, F.lower(text))
 
 
 def tag_skills(text: Column, words: Sequence[str] = P.SKILLS) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from jobsieve.functions import fields as X
 from jobsieve.functions import profile as P
 from jobsieve.functions import tags
-from jobsieve.functions.elements import Pick, Selector, page_parts
+from jobsieve.functions.bytewise import column, first_word, words_found
+from jobsieve.functions.elements import BodyText, Pick, Selector, page_parts
 from jobsieve.functions.html import body_text, document_title
 from jobsieve.functions.profile import ExtractionProfile
 from jobsieve.functions.text import blank_to_null, iso_utc, text_lines
@@ -104,15 +105,14 @@ def extract_postings(pages: DataFrame, profile: ExtractionProfile, scraped_at: C
     `pages` has `url` and either `html` or `page_title` and `body_text` (and `html` for the
     `skills` and `keyed` kinds). Interstitial pages give no record.
     """
-    block_kinds = profile.kind in ("skills", "keyed")
-    if "body_text" not in pages.columns:
-        pages = with_page_text(pages, drop_html=not block_kinds)
-    pages = drop_challenge(pages)
     stamp = _stamp(scraped_at)
     if profile.kind == "skills":
         return _skills_records(pages, profile, stamp)
     if profile.kind == "keyed":
         return _keyed_records(pages, profile, stamp)
+    if "body_text" not in pages.columns:
+        pages = with_page_text(pages)
+    pages = drop_challenge(pages)
     sponsored = F.lit("No") if is_sponsored is None else is_sponsored
     keep = ["url", "body_text"]
     out = pages.select(*keep, sponsored.alias("is_sponsored"),
@@ -126,31 +126,39 @@ def extract_postings(pages: DataFrame, profile: ExtractionProfile, scraped_at: C
     return out.withColumn("scraped_at", stamp).select(*POSTING_COLUMNS)
 
 
+def _with_parts(pages: DataFrame, **picks: Pick) -> DataFrame:
+    """Adds `parts`, and `page_title` and `body_text` where the pages have none, in one walk; interstitial pages drop out."""
+    html = F.col("html")
+    if "body_text" in pages.columns:
+        return computed_once(drop_challenge(pages), {"parts": page_parts(html, **picks)})
+    out = computed_once(pages, {"parts": page_parts(html, text=BodyText(), **picks)})
+    # The walk leaves the text of odd pages to the expression for it.
+    return drop_challenge(computed_once(out, {
+        "page_title": document_title(html), "body_text": F.coalesce(F.col("parts.text"), body_text(html))}))
+
+
 def _skills_records(pages: DataFrame, p: ExtractionProfile, stamp: Column) -> DataFrame:
-    html, text, lines, url = F.col("html"), F.col("body_text"), F.col("lines"), F.col("url")
-    # The page is walked once for all blocks.
-    blocks = page_parts(html, heading=Pick((Selector(tag="h1"),), "first"), **X.block_picks())
-    out = computed_once(pages, {"parts": blocks, "lines": text_lines(text)})
+    html, text, url = F.col("html"), F.col("body_text"), F.col("url")
+    lines = text_lines(text)
+    out = _with_parts(pages, heading=Pick((Selector(tag="h1"),), "first"), **X.block_picks())
     parts = F.col("parts")
     return out.select(
         X.url_tail(url).alias("id"), X.job_id(url).alias("job_id"),
         X.title_fallback(F.col("page_title"), F.coalesce(parts["heading"], F.lit("")), lines,
                          p.own_domain).alias("title"),
         "url", X.longest_block(parts).alias("description"),
-        F.coalesce(X.line_location(lines, p.cities), F.lit(p.default_location)).alias("location"),
-        X.salary_phrase(lines, "line").alias("salary"), X.labelled(lines, P.COMPANY_LINE).alias("company"),
+        F.coalesce(X.location_in(text, p.cities), F.lit(p.default_location)).alias("location"),
+        X.salary_phrase(text, "lines").alias("salary"), X.labelled_in(text, P.COMPANY_LINE).alias("company"),
         X.contact_of_lines(lines).alias("contact"),
-        blank_to_null(tags.employment_type(text, p.employment_words)).alias("employment_type"),
-        X.labelled(lines, P.EXPERIENCE_LINE).alias("experience"),
-        X.labelled(lines, P.EDUCATION_LINE).alias("education"), tags.tag_skills(text, p.skills).alias("skills"),
+        blank_to_null(column(first_word(p.employment_words), text)).alias("employment_type"),
+        X.labelled_in(text, P.EXPERIENCE_LINE).alias("experience"),
+        X.labelled_in(text, P.EDUCATION_LINE).alias("education"), words_found(text, p.skills).alias("skills"),
         X.datetime_of_page(html).alias("posted_date"), stamp.alias("scraped_at"))
 
 
 def _keyed_records(pages: DataFrame, p: ExtractionProfile, stamp: Column) -> DataFrame:
-    html, text = F.col("html"), F.col("body_text")
-    blocks = page_parts(html, title=X.title_pick(), block=X.block_pick(), rows=X.detail_pick())
-    parts = F.col("parts")
-    out = computed_once(pages, {"parts": blocks}).select(
+    text, parts = F.col("body_text"), F.col("parts")
+    out = _with_parts(pages, title=X.title_pick(), block=X.block_pick(), rows=X.detail_pick()).select(
         F.coalesce(parts["title"], F.lit(P.NO_TITLE)).alias("title"), "url",
         F.coalesce(parts["block"], F.lit(P.NO_DESCRIPTION)).alias("description"),
         X.details_map(parts["rows"], text).alias("additional_details"), X.preview(text).alias("full_text"))
