@@ -53,17 +53,8 @@ def with_extraction_ok(df: DataFrame, own_host: str, text: str = "body_text", ti
 
 
 def with_full_description(df: DataFrame, profile: ExtractionProfile, text: str = "body_text") -> DataFrame:
-    """Adds `description` by marker, then by content patterns, then between header and footer.
-
-    Each step is a projection of its own, so that no long expression is repeated.
-    """
-    t, d = F.col(text), F.col("description")
-    out = df.withColumn("description", X.description(t, profile.marker, profile.marker_skip, profile.end_markers))
-    out = out.withColumn("description", F.when(F.length(d) < 100, X.longest_description(d, t)).otherwise(d))
-    out = out.withColumn("description", F.when(
-        F.length(d) < 50, F.coalesce(X.between_header_and_footer(t), d)).otherwise(d))
-    out = out.withColumn("description", X.format_description(d, "long"))
-    return out.withColumn("description", X.truncate_text(d, 1500, 1000))
+    """Adds `description` by marker, then by content patterns, then between header and footer."""
+    return df.withColumn("description", X.full_description(F.col(text), profile))
 
 
 def _stamp(scraped_at: Column | str | None) -> Column:
