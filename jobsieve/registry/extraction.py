@@ -342,10 +342,10 @@ SELECT seq, {last_sql(line_rule('company|employer|organization', '(?i)(?:company
   {last_sql(line_rule('education|qualification|degree', '(?i)(?:education|qualification|degree)[\\s:]+(.+)', 100))} AS education,
   {last_sql(f"coalesce({CITY}, {line_rule('location|city|area', '(?i)(?:location|city|area)[\\s:]+(.+)', 50)})")} AS location FROM fx_rich_text""", R)
 def labelled_lines(spark, sf):
-    lined = fx_rich_text(spark, sf).select("seq", text_lines(F.col("body_text")).alias("lines"))
-    lines = F.col("lines")
-    return lined.select("seq", X.labelled(lines, P.COMPANY_LINE).alias("company"), X.labelled(lines, P.EXPERIENCE_LINE).alias("experience"),
-                        X.labelled(lines, P.EDUCATION_LINE).alias("education"), X.line_location(lines).alias("location"))
+    text = F.col("body_text")
+    return fx_rich_text(spark, sf).select(
+        "seq", X.labelled_in(text, P.COMPANY_LINE).alias("company"), X.labelled_in(text, P.EXPERIENCE_LINE).alias("experience"),
+        X.labelled_in(text, P.EDUCATION_LINE).alias("education"), X.location_in(text).alias("location"))
 
 
 @query("detect_city", f"SELECT seq, {last_sql(CITY)} AS city FROM fx_rich_text", R)
