@@ -112,7 +112,7 @@ def extract_postings(pages: DataFrame, profile: ExtractionProfile, scraped_at: C
         out = with_full_description(out, profile)
     else:
         text = X.description(F.col("body_text"), profile.marker, profile.marker_skip, profile.end_markers)
-        out = out.withColumn("description", X.format_description(text, "short"))
+        out = out.withColumn("description", X.short_description_format(text))
         out = out.withColumn("description", X.truncate_text(F.col("description"), 1000))
     return out.withColumn("scraped_at", stamp).select(*POSTING_COLUMNS)
 
